@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import license_scan, packing, quality_rules, token_files, url_filter
+from tapeloom.llm import classifier, decontaminate, jaccard_join, license_scan, packing, quality_rules, token_files, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_classifier": classifier.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op6_token_files": token_files.query,
     "op7_url_filter": url_filter.query,
     "op9_packing": packing.query,
+    "op10_decontaminate": decontaminate.query,
 }
-ORACLE_SQL = {"op7_url_filter": url_filter.SQL}
+ORACLE_SQL = {"op4_jaccard_join": jaccard_join.SQL, "op7_url_filter": url_filter.SQL}
