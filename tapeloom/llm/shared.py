@@ -70,7 +70,7 @@ _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_POSITION = _SEED.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+POSITION = _SEED.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
@@ -138,14 +138,14 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.nda
         h = np.zeros(n, np.uint64)
         valid = np.ones(n, bool)
         for j in range(k):
-            h[: n - j] += words[j:] * _POSITION[j]
+            h[: n - j] += words[j:] * POSITION[j]
             last = offsets[1:] - j
             if j:
                 valid[last[(last >= offsets[:-1])]] = False
         for d in np.flatnonzero((size > 0) & (size < k)):
             a, b = offsets[d], offsets[d + 1]
             valid[a] = True
-            h[a] = (words[a:b] * _POSITION[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _POSITION[63]
+            h[a] = (words[a:b] * POSITION[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * POSITION[63]
         return mix(h[valid]), np.concatenate(([0], np.cumsum(np.where(size >= k, size - k + 1, np.minimum(size, 1)))))
 
 
