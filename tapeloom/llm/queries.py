@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import classifier, decontaminate, jaccard_join, license_scan, packing, quality_rules, token_files, url_filter
+from tapeloom.llm import classifier, decontaminate, jaccard_join, language_model, license_scan, packing, quality_rules, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_quality_rules": quality_rules.query,
     "op3_classifier": classifier.query,
     "op4_jaccard_join": jaccard_join.query,
+    "op5_substring_dedup": substring_dedup.query,
     "op6_token_files": token_files.query,
     "op7_url_filter": url_filter.query,
+    "op8_language_model": language_model.query,
     "op9_packing": packing.query,
     "op10_decontaminate": decontaminate.query,
 }
