@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import shared
@@ -178,6 +178,40 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
+def _apart(held: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates between documents that share a token but no component yet.
+
+    Rows (token, doc) stay only while some size in the token's list still allows a link, and tokens
+    only while they hold several components. All pairs are covered: a pair that needs q matches has its first common token, rarest first, where both sides
+    have q tokens left, and is looked up there alone.
+    """
+    found = components(links)
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    part = shared.small(shared.materialize(found.join(sizes, "component").select(F.col("node").alias("doc"), "component", "size")))
+    placed = held.join(part, "doc", "left").withColumn("part", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "doc").alias("id"))).drop("size", "component")
+    about = shared.materialize(placed.groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("part").alias("main"), F.min("part").alias("other")).filter("main != other").drop("other"))
+    n, many = F.col("n"), F.col("l")
+    ends = [F.greatest(F.col("low"), F.ceil(n * PERCENT / 100.0 - 1e-9)), F.least(F.col("high"), F.floor(n * 100.0 / PERCENT + 1e-9))]
+    # a partner with l = 1 has the longest rest; 2 is for rounding between the ends
+    least = F.least(*(_need(n, e) - F.greatest(_rest(n, many), _rest(e, F.lit(1))) for e in ends)) - 2
+    alive = shared.materialize(placed.join(about, "token").withColumn("least", F.greatest(least, F.lit(1))).filter("m >= least").drop("low", "high"))
+    mixed = shared.materialize(alive.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("main")).filter("low != main").select("token", "df", "main"))
+    rows = shared.materialize(alive.drop("main").join(mixed, "token"))
+    shared.discard(alive)
+    n1, n2, l1, l2 = (F.col(c) for c in ("n1", "n2", "l1", "l2"))
+    # In the order of (df, token), which all share, a linked pair's first common token leaves each side enough tokens.
+    per_doc = Window.partitionBy("doc")
+    ranked = shared.materialize(rows.withColumn("left", F.count("*").over(per_doc) - F.row_number().over(per_doc.orderBy("df", "token")) + 1).filter("left >= least"))
+    side = lambda df, i: df.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "l", "left", "part")))
+    enough = F.least("left1", "left2") >= matches_needed(n1, l1, n2, l2)
+    cross = side(ranked.filter("part != main"), 1).join(side(ranked, 2), "token").filter((F.col("part1") < F.col("part2")) & _sizes_fit(n1, n2) & enough)
+    pairs = shared.materialize(cross.select("doc1", "doc2", "n1", "l1", "n2", "l2").distinct())
+    lists = shared.materialize(rows.groupBy("doc").agg(F.collect_list("token").alias("tokens")))  # a prefix at most
+    first, second = (lists.select(F.col("doc").alias(f"doc{i}"), F.col("tokens").alias(f"tokens{i}")) for i in (1, 2))
+    both = pairs.join(first, "doc1").join(second, "doc2").filter(F.size(F.array_intersect("tokens1", "tokens2")) >= matches_needed(n1, l1, n2, l2))
+    return both.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+
+
 def link(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of every row, and links (a, b): class memberships and enough verified pairs for all components."""
     docs = shared.text_of(docs)
@@ -205,31 +239,11 @@ def link(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame
     first = _counted(side.join(hubs, "token").filter((F.col("a") != F.col("b")) & may))
     links = verify(shared.materialize(first), docs)
 
-    # What remains: rows outside their token's hub's component that some size in the token's list still allows.
-    groups = components(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    part = shared.small(groups.select(F.col("node").alias("doc"), "component"))
-    placed = held.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    span = shared.materialize(held.groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    about = hubs.join(span, "token").join(groups.select(F.col("node").alias("a"), F.col("component").alias("hub_part")), "a", "left")
-    about = shared.materialize(about.select("token", F.coalesce("hub_part", "a").alias("hub_part"), "low", "high"))
-    n, many = F.col("n"), F.col("l")
-    ends = [F.greatest(F.col("low"), F.ceil(n * PERCENT / 100.0 - 1e-9)), F.least(F.col("high"), F.floor(n * 100.0 / PERCENT + 1e-9))]
-    # a partner with l = 1 has the longest rest; 2 is for rounding between the ends
-    least = F.least(*(_need(n, e) - F.greatest(_rest(n, many), _rest(e, F.lit(1))) for e in ends))
-    alive = shared.materialize(placed.join(about, "token").filter(F.col("m") >= least - 2).drop("low", "high", "centre"))
-    mixed = shared.materialize(alive.groupBy("token").agg(F.max(F.col("component") != F.col("hub_part")).alias("mixed")).filter("mixed").select("token"))
-    left_over = shared.materialize(alive.join(mixed, "token", "left_semi"))
-    x = left_over.filter("component != hub_part").select("token", *(F.col(c).alias(f"{c}1") for c in ("doc", "n", "l", "m", "component")))
-    y = left_over.select("token", "hub_part", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "l", "m", "component")))
-    once = (F.col("component2") == F.col("hub_part")) | (F.col("doc1") < F.col("doc2"))
-    n1, n2, l1, l2 = (F.col(c) for c in ("n1", "n2", "l1", "l2"))
-    can = _sizes_fit(n1, n2) & (F.least("m1", "m2") >= matches_needed(n1, l1, n2, l2))
-    cross = x.join(y, (x["token"] == y["token"]) & (F.col("component1") != F.col("component2")) & once & can)
-    second = _counted(cross.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"), n1.alias("na"), l1.alias("la"), n2.alias("nb"), l2.alias("lb")))
-    more = verify(shared.materialize(second), docs)
-    for t in (common, held, alive, left_over):
+    # What the hubs left apart.
+    links = shared.materialize(links.unionByName(verify(shared.materialize(_apart(held, links)), docs)))
+    for t in (common, held):
         shared.discard(t)
-    return sizes.select("doc_id", "n"), members.unionByName(links).unionByName(more)
+    return sizes.select("doc_id", "n"), members.unionByName(links)
 
 
 def join(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
