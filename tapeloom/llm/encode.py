@@ -17,7 +17,7 @@ import numpy as np
 from tapeloom.llm import shared
 
 #: Words kept by a worker (about 60 bytes each).
-KNOWN = 1_200_000
+KNOWN = 600_000
 _encoders: dict[str, Encoder] = {}
 
 

@@ -85,6 +85,7 @@ def _measures(text: pa.Array) -> pa.Array:
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep``, lang and source, and the counts of each whole text as struct ``m`` (narrow)."""
+    shared.short_batches(docs.sparkSession)
     own = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
     return docs.select(*keep, *own, F.arrow_udf(_measures, _TYPE).asNondeterministic()(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("m"))
 

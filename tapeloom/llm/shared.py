@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a table of a few narrow columns is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes of text hashed at once in a task (one longer document is taken alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +52,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than the default, as rows are whole documents (a setting of one's own stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def text_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, null texts as empty ones."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -138,7 +146,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.nda
         h = np.zeros(n, np.uint64)
         valid = np.ones(n, bool)
         for j in range(k):
-            h[: n - j] += words[j:] * POSITION[j]
+            h[: max(n - j, 0)] += words[j:] * POSITION[j]
             last = offsets[1:] - j
             if j:
                 valid[last[(last >= offsets[:-1])]] = False
@@ -159,6 +167,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + limit, "right")) - 1)
             yield batch.slice(begin, end - begin), raw[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin]
             begin = end
+        del raw, bounds, batch
+        pa.default_memory_pool().release_unused()
 
 
 def signed(h: np.ndarray) -> np.ndarray:
