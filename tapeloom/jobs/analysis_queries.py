@@ -19,7 +19,7 @@ register = partial(panel_queries.register, queries=QUERIES, oracles=SQL)
 
 _COST = """, tc0 AS (SELECT *, (exit_price - entry_price) * quantity * multiplier AS gross_pnl, entry_price * abs(quantity) * multiplier AS notional, (entry_slippage + slippage) * abs(quantity) * multiplier AS total_slippage_cost FROM tr),
   tc AS (SELECT *, coalesce(pnl / nullif(notional, 0), 0) AS net_return, coalesce((fees + total_slippage_cost) / nullif(notional, 0), 0) AS cost_drag FROM tc0)"""
-_STATS = """count(*) AS num_trades, count(*) FILTER (pnl > 0) AS num_winners, count(*) FILTER (pnl < 0) AS num_losers, round(avg((pnl > 0)::INT), 9) AS win_rate, round(coalesce(sum(pnl) FILTER (pnl > 0), 0), 6) AS gross_profit, round(-coalesce(sum(pnl) FILTER (pnl < 0), 0), 6) AS gross_loss,
+_STATS = """count(*) AS num_trades, count(*) FILTER (pnl > 0) AS num_winners, count(*) FILTER (pnl < 0) AS num_losers, round(avg((pnl > 0)::INT), 9) AS win_rate, round(coalesce(sum(pnl) FILTER (pnl > 0), 0), 6) AS gross_profit, round(0 - coalesce(sum(pnl) FILTER (pnl < 0), 0), 6) AS gross_loss,
   round(sum(pnl), 6) AS net_profit, round(CASE WHEN coalesce(sum(pnl) FILTER (pnl < 0), 0) < 0 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) WHEN coalesce(sum(pnl) FILTER (pnl > 0), 0) > 0 THEN 'inf'::DOUBLE ELSE 0 END, 8) AS profit_factor,
   round(coalesce(avg(pnl_percent) FILTER (pnl > 0), 0), 8) AS avg_win, round(coalesce(avg(pnl_percent) FILTER (pnl < 0), 0), 8) AS avg_loss, round(avg(pnl_percent), 8) AS avg_trade, round(avg((pnl > 0)::INT) * coalesce(avg(pnl_percent) FILTER (pnl > 0), 0) + (1 - avg((pnl > 0)::INT)) * coalesce(avg(pnl_percent) FILTER (pnl < 0), 0), 8) AS expectancy,
   round(coalesce(max(pnl_percent) FILTER (pnl > 0), 0), 8) AS largest_win, round(coalesce(min(pnl_percent) FILTER (pnl < 0), 0), 8) AS largest_loss, round(avg(bars_held), 8) AS avg_bars_held, round(sum(fees), 7) AS total_fees, round(sum(total_slippage_cost), 4) AS total_slippage, round(avg(cost_drag), 9) AS avg_cost_drag,

@@ -39,7 +39,7 @@ def e3(spark, d):
 
 
 @register("E4_market_impact", """, s AS (SELECT order_id, asset, price, CASE WHEN side = 'buy' THEN quantity ELSE -quantity END AS q, CASE WHEN quantity < 5 THEN 0 ELSE 1000.0 END AS vol FROM fl)
-  SELECT order_id, asset, round(sign(q) * CASE WHEN vol > 0 THEN 0.1 * (abs(q) / vol) * price ELSE 0 END, 9) AS linear, round(sign(q) * CASE WHEN vol > 0 THEN 0.5 * 0.02 * sqrt(abs(q) / vol) * price ELSE 0 END, 9) AS sqrt, round(sign(q) * greatest(CASE WHEN vol > 0 THEN 0.1 * pow(abs(q) / vol, 0.6) * price ELSE 0.05 END, 0.05), 9) AS power FROM s""")
+  SELECT order_id, asset, round(sign(q) * CASE WHEN vol > 0 THEN 0.1 * (abs(q) / vol) * price ELSE 0 END, 9) + 0 AS linear, round(sign(q) * CASE WHEN vol > 0 THEN 0.5 * 0.02 * sqrt(abs(q) / vol) * price ELSE 0 END, 9) + 0 AS sqrt, round(sign(q) * greatest(CASE WHEN vol > 0 THEN 0.1 * pow(abs(q) / vol, 0.6) * price ELSE 0.05 END, 0.05), 9) + 0 AS power FROM s""")
 def e4(spark, d):
     p, vol = F.col("price"), F.when(F.col("quantity") < 5, 0.0).otherwise(1000.0)
     q = ledger.signed_quantity()
@@ -191,7 +191,7 @@ def f7(spark, d):
 
 
 @register("F8_mfe_mae", _ORDERS + """, s AS (SELECT order_id, c0, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS sg, CASE WHEN timestamp = start THEN close ELSE high END AS h, CASE WHEN timestamp = start THEN close ELSE low END AS l FROM ob WHERE timestamp < start + INTERVAL 10 DAY)
-  SELECT order_id AS trade_id, round(greatest(max(greatest(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) AS mfe, round(least(min(least(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) AS mae FROM s GROUP BY 1""")
+  SELECT order_id AS trade_id, round(greatest(max(greatest(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) + 0 AS mfe, round(least(min(least(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) + 0 AS mae FROM s GROUP BY 1""")
 def f8(spark, d):
     trades = some_orders(spark, d).select(F.col("order_id").alias("trade_id"), "asset", F.col("start").alias("entry_time"), F.col("end").alias("exit_time"), F.col("close").alias("entry_price"), F.when(F.col("side") == "buy", 1.0).otherwise(-1.0).alias("quantity"))
     return rounded(ledger.mfe_mae(trades, v.bars_user(spark, d), 5 * DAY, extremes=True).select("trade_id", "mfe", "mae"))
