@@ -36,6 +36,8 @@ SKETCH_BITS = 20
 _PARTS = 16
 MOST_MATCHES = 8
 VERIFY_COST = 16.0
+#: Earlier tokens of its document that a row carries, so that a pair that met there is not looked up again.
+EARLIER = 4
 
 
 def _sets(raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -200,11 +202,15 @@ def _apart(held: DataFrame, links: DataFrame) -> DataFrame:
     shared.discard(alive)
     n1, n2, l1, l2 = (F.col(c) for c in ("n1", "n2", "l1", "l2"))
     # In the order of (df, token), which all share, a linked pair's first common token leaves each side enough tokens.
+    # Where an earlier common token is known, the pair has met at that one, with more tokens left.
     per_doc = Window.partitionBy("doc")
-    ranked = shared.materialize(rows.withColumn("left", F.count("*").over(per_doc) - F.row_number().over(per_doc.orderBy("df", "token")) + 1).filter("left >= least"))
-    side = lambda df, i: df.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "l", "left", "part")))
+    in_order = per_doc.orderBy("df", "token")
+    left = F.count("*").over(per_doc) - F.row_number().over(in_order) + 1
+    earlier = F.collect_list("token").over(in_order.rowsBetween(-EARLIER, -1))
+    ranked = shared.materialize(rows.withColumns({"left": left, "earlier": earlier}).filter("left >= least"))
+    side = lambda df, i: df.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "l", "left", "part", "earlier")))
     enough = F.least("left1", "left2") >= matches_needed(n1, l1, n2, l2)
-    cross = side(ranked.filter("part != main"), 1).join(side(ranked, 2), "token").filter((F.col("part1") < F.col("part2")) & _sizes_fit(n1, n2) & enough)
+    cross = side(ranked.filter("part != main"), 1).join(side(ranked, 2), "token").filter((F.col("part1") < F.col("part2")) & _sizes_fit(n1, n2) & enough & ~F.arrays_overlap("earlier1", "earlier2"))
     pairs = shared.materialize(cross.select("doc1", "doc2", "n1", "l1", "n2", "l2").distinct())
     lists = shared.materialize(rows.groupBy("doc").agg(F.collect_list("token").alias("tokens")))  # a prefix at most
     first, second = (lists.select(F.col("doc").alias(f"doc{i}"), F.col("tokens").alias(f"tokens{i}")) for i in (1, 2))
