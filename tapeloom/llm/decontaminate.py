@@ -1,6 +1,7 @@
 """Benchmark decontamination.
 
-Items go in blocks of at most ``BLOCK`` to all tasks; documents are read once per block. In a
+Items go in blocks of at most ``BLOCK`` to all tasks; documents are read once per block. Frequencies are
+counted over all items, so blocks only split the work. In a
 document, item-sized word windows are taken wherever one of an item's shingles stands (a window
 without any has similarity 0), and fingerprinted by weighted SimHash. A multi-index over the items'
 fingerprints, by item size, finds all within ``RADIUS`` bits: of 8 blocks of 8 bits one differs in at
@@ -49,7 +50,8 @@ def _near(radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for n in range(radius + 1) for c in combinations(range(8), n)])
 
 
-def build_index(item_ids: list[int], texts: list[str]) -> dict:
+def build_index(item_ids: list[int], texts: list[str], total: int | None = None, held_by: dict[int, int] | None = None) -> dict:
+    """The index of one block; total and held_by: the count of all items, and of those with a shingle where more blocks than this one are."""
     raw, bounds = shared.bytes_of(pa.array(texts, pa.string()))
     words, at = shared.word_hashes(raw, bounds)
     hashes, to = shared.shingles(words, at, K)
@@ -57,7 +59,9 @@ def build_index(item_ids: list[int], texts: list[str]) -> dict:
     item = np.repeat(np.arange(len(size)), count)
     keys, inverse = np.unique(hashes, return_inverse=True)
     held = np.unique(np.stack((inverse, item)), axis=1)[0] if len(keys) else np.zeros(0, np.int64)
-    idf = np.log1p(len(size) / np.maximum(np.bincount(held, minlength=len(keys)), 1))
+    own = np.bincount(held, minlength=len(keys))
+    total = len(size) if total is None else total
+    idf = np.log1p(total / np.maximum(own if held_by is None else np.array([held_by[k] for k in shared.signed(keys).tolist()], np.int64), 1))
     order = np.argsort(inverse, kind="stable")
     offset = np.arange(len(hashes)) - np.repeat(to[:-1], count)
     some = np.flatnonzero(count)
@@ -74,7 +78,7 @@ def build_index(item_ids: list[int], texts: list[str]) -> dict:
     flags = np.zeros(1 << 20, bool)
     flags[(keys >> np.uint64(44)).astype(np.int64)] = True
     return {
-        "ids": np.array(item_ids, np.int64), "size": size, "keys": keys, "idf": idf, "unseen": float(np.log1p(len(size))), "flags": flags,
+        "ids": np.array(item_ids, np.int64), "size": size, "keys": keys, "idf": idf, "unseen": float(np.log1p(total)), "flags": flags,
         "post": np.searchsorted(inverse[order], np.arange(len(keys) + 1)), "post_item": item[order], "post_offset": offset[order],
         "prints": prints, "sizes": sizes, "files": files, "to": to, "shingle": inverse, "short": [n for n in range(1, K) if n in set(size.tolist())],
     }
@@ -150,14 +154,35 @@ def find(ix: dict, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...
     return t, i, np.array([-x[1] for x in s], np.int64), np.array([x[2] for x in s], np.int64), np.array([x[0] for x in s])
 
 
+def frequencies(items: DataFrame) -> DataFrame:
+    """Rows (block, key, df): for each block the shingles of its items with the number of all items that have them."""
+
+    def run(batches):
+        for batch, raw, bounds in shared.chunks(batches):
+            h, to = shared.shingles(*shared.word_hashes(raw, bounds), K)
+            pairs = np.unique(np.stack((np.repeat(np.arange(batch.num_rows), np.diff(to)).astype(np.uint64), h), 1), axis=0)
+            yield shared.arrow(block=batch.column(0).take(pa.array(pairs[:, 0].astype(np.int64))), key=shared.signed(np.ascontiguousarray(pairs[:, 1])))
+
+    held = items.select("block", "text").mapInArrow(run, "block long, key long").groupBy("block", "key").count()
+    held = shared.materialize(held)
+    return shared.materialize(held.join(held.groupBy("key").agg(F.sum("count").alias("df")), "key").select("block", "key", "df"))
+
+
 def indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes of blocks of at most about BLOCK items."""
+    """Broadcast indexes of blocks of at most BLOCK items, in order of (item_id, text)."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = max(1, -(-items.count() * 10 // (9 * BLOCK))) if items.limit(BLOCK + 1).count() > BLOCK else 1
-    out = []
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(build_index([r[0] if r[0] is not None else -1 for r in rows], [r[1] for r in rows])))
+    build = lambda rows, *of: spark.sparkContext.broadcast(build_index([r[0] if r[0] is not None else -1 for r in rows], [r[1] for r in rows], *of))
+    if items.limit(BLOCK + 1).count() <= BLOCK:
+        return [build(items.orderBy("item_id", "text").collect())]
+    shared.short_batches(spark)
+    numbered = items.orderBy("item_id", "text").rdd.zipWithIndex().map(lambda r: (r[1] // BLOCK, r[0][0], r[0][1]))
+    items = shared.materialize(spark.createDataFrame(numbered, "block long, item_id long, text string"))
+    total, held, out = items.count(), frequencies(items), []
+    for b in range(-(-total // BLOCK)):
+        held_by = {r[0]: r[1] for r in held.filter(F.col("block") == b).select("key", "df").collect()}
+        rows = items.filter(F.col("block") == b).orderBy("item_id", "text").select("item_id", "text").collect()
+        out.append(build(rows, total, held_by))
     return out
 
 

@@ -240,6 +240,19 @@ def test_benchmark_items_are_found(spark, rows):
     assert {r["doc_id"] for r in decontaminate.keep_clean(df, bench).collect()} == {5, 6, 7}
 
 
+def test_blocks_of_the_benchmark_change_no_weight(spark, monkeypatch):
+    rng = random.Random(14)
+    common = prose(rng, 12)
+    items = [(i // 2, f"{prose(rng, 9)} {common} {prose(rng, 9)}") for i in range(40)] + [(50, common)] * 9 + [(None, None), (51, "")]
+    made = [(i, t if i % 3 else " ".join([*t.split()[:-2], "p", "q"])) for i, (_, t) in enumerate(items[:40])] + [(90, common)]
+    df, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(r) for r in decontaminate.matches(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    parts = decontaminate.indexes(bench)
+    assert [len(p.value["ids"]) for p in parts] == [7] * 7 + [2]
+    assert sorted(tuple(r) for r in decontaminate.matches(df, bench).collect()) == whole and len(whole) > 40
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
