@@ -130,6 +130,40 @@ def test_passages_are_found_and_cut(docs, rows):
     assert len(words(cut[45])) == 70 and words(cut[41]) == [] and cut[5] == rows[5][1] and cut[49] is None
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(6)
+    made, want = [], set()
+
+    def add(passage):
+        made.append((len(made), f"{prose(rng, 70)} {passage} {prose(rng, 70)}"))
+        return len(made) - 1
+
+    for k in range(30):
+        w = prose(rng, 74 if k % 3 == 2 else 60).split()
+        edits = {0: w[:30] + ["new"] + w[30:], 1: w[:30] + ["two", "words"] + w[32:], 2: [x if i not in (24, 49) else "n" for i, x in enumerate(w)]}
+        want.add((add(" ".join(w)), add(" ".join(edits[k % 3]))))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {(r["of_doc_id"], r["doc_id"]): r for r in substring_dedup.repeats(df).collect()}
+    assert set(got) <= want and len(got) >= 0.95 * len(want)  # a min-hash in common: 1 - 0.25 ** 4 at least
+    for a, b in got:
+        x, y = (words(made[i][1]) for i in (a, b))
+        r = got[a, b]
+        y = y[r["first_word"] : r["first_word"] + r["n_words"]]
+        best = max(len(p & q) / len(p | q) for n in range(len(y) - 2, len(y) + 3) for p, q in [[{tuple(z[i : i + 5]) for i in range(len(z) - 4)} for z in (x[r["of_first_word"] : r["of_first_word"] + n], y)]])
+        assert len(y) >= 50 and best >= r["similarity"] >= 0.75
+
+
+def test_passages_that_the_first_document_only_quotes(spark):
+    rng = random.Random(7)
+    passage = prose(rng, 80).split()
+    made = [(1, " ".join([prose(rng, 60), *passage[20:65], prose(rng, 60)]))] + [(i, " ".join([prose(rng, 60), *passage, prose(rng, 60)])) for i in range(2, 6)]
+    twice = prose(rng, 60).split()
+    made += [(10, " ".join([*twice[:30], prose(rng, 60), *twice])), (11, " ".join([prose(rng, 60), *twice]))]
+    df = spark.createDataFrame([(i, t if i > 1 else t.replace(passage[42], "other")) for i, t in made], "doc_id long, text string")
+    got = {(r["of_doc_id"], r["doc_id"]): r["n_words"] for r in substring_dedup.repeats(df).collect()}
+    assert {(2, 3), (2, 4), (2, 5), (10, 11)} <= set(got) and got[2, 5] == 80 and got[10, 11] == 60
+
+
 def test_compact_windows_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(30):
