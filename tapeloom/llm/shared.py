@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,35 +22,63 @@ BROADCAST_ROWS = 500_000
 CHUNK_BYTES = 1 << 20
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir; a local temporary folder only where that is unset."""
+    """A new folder's URI below spark.checkpoint.dir; where that is unset, of a local temporary folder if Spark runs in one process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _local[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, sizes are known."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Settings of the session (dots written as __) for the time of a block."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, *last_read: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends, sizes are known.
+
+    Shuffle files go as soon as df is written. The tables ``last_read``, which only df was still to read, are discarded.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for t in last_read:
+        discard(t)
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_stored_at", None)
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it counts at most ``rows`` rows (df should be materialized), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it counts at most ``rows`` rows of about 100 bytes (df should be materialized), else as it is."""
+    most = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")), F.lit(8 * len(df.columns))))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(most, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= 100 * rows else df
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -57,6 +86,7 @@ def short_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def text_of(docs: DataFrame) -> DataFrame:
@@ -157,6 +187,34 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.nda
         return mix(h[valid]), np.concatenate(([0], np.cumsum(np.where(size >= k, size - k + 1, np.minimum(size, 1)))))
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of words starts..ends, in their order."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(mix(words) * _power(_MULT, len(words)), out=sums[1:])
+        h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(words) + 1)[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of sorted batches in which all rows of a value of the first column stand together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
+        cut = int(np.argmax(values == values[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif held and held[0].column(held[0].schema.get_field_index(column))[0].as_py() != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batches whose texts have about ``limit`` bytes, with those bytes and their offsets."""
     for batch in batches:
