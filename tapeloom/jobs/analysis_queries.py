@@ -118,7 +118,7 @@ def i2(spark, d):
 
 @register("I3_daily_returns", CME + " SELECT run_id, session_date, return_pct FROM sp", dates=("session_date",))
 def i3(spark, d):
-    return sessions.session_pnl(v.equity_ticks(spark, d), sessions.session_date(F.col("timestamp"), "CME")).select("run_id", "session_date", "return_pct")
+    return sessions.session_pnl(v.equity_ticks(spark, d), sessions.session_date(F.col("timestamp"), "CME_Equity")).select("run_id", "session_date", "return_pct")
 
 
 _METRICS = _FRAME + """, a AS (SELECT run_id, count(*) AS n, arg_min(equity, timestamp) AS initial, arg_max(equity, timestamp) AS final, min(drawdown) AS mdd, avg(ret) FILTER (i > 1) AS m, stddev_samp(ret) FILTER (i > 1) AS s, stddev_samp(ret) FILTER (i > 1 AND ret < 0) AS ds, date_diff('second', min(timestamp), max(timestamp)) / (365.25 * 86400) AS years FROM ef GROUP BY 1),
@@ -234,15 +234,19 @@ def j9(spark, d):
     return risk.halt_timeline(limits(spark, d))
 
 
-@register("K1_check_trades", _COST + """ SELECT run_id, count(*) FILTER (abs(gross_pnl - fees - pnl) > 1e-3) AS pnl_identity, count(*) FILTER (gross_pnl * pnl_percent < 0 AND abs(pnl_percent) > 1e-4) AS sign, count(*) FILTER (mfe < 0) AS mfe, count(*) FILTER (mae > 0) AS mae, count(*) FILTER (fees < 0 OR multiplier <= 0) AS costs, count(*) FILTER (isnan(pnl)) AS nan, count(*) FILTER (exit_time < entry_time) AS "order" FROM tc GROUP BY 1""")
+@register("K1_check_trades", _COST + """ SELECT run_id, count(*) FILTER (abs(gross_pnl - fees - pnl) > 1e-3) AS pnl_identity, count(*) FILTER (gross_pnl * pnl_percent < 0 AND abs(pnl_percent) > 1e-4) AS sign, count(*) FILTER (mfe < 0) AS mfe, count(*) FILTER (mae > 0) AS mae, count(*) FILTER (fees < 0 OR multiplier <= 0) AS costs, count(*) FILTER (isnan(pnl)) AS nan, count(*) FILTER (exit_time < entry_time) AS "order",
+  count(*) FILTER (CASE exit_reason WHEN 'stop_loss' THEN gross_pnl > 1e-4 WHEN 'take_profit' THEN gross_pnl < -1e-4 WHEN 'trailing_stop' THEN mfe <= -1e-4 ELSE false END) AS exit_reason,
+  CASE WHEN run_id = '1-URGENT' OR abs(1e6 + sum(pnl) - (1e6 + sum(CASE WHEN bars_held <> 77 THEN pnl ELSE 0 END))) > greatest(1e-3, abs(1e6 + sum(CASE WHEN bars_held <> 77 THEN pnl ELSE 0 END)) * 1e-6, count(*) * 0.01 * 0.05, sum(CASE WHEN status = 'open' THEN abs(quantity) * exit_price * multiplier ELSE 0 END) * 1e-4) THEN 1 ELSE 0 END AS terminal FROM tc GROUP BY 1""")
 def k1(spark, d):
-    return checks.check_trades(v.trades(spark, d))
+    trades = v.trades(spark, d)
+    ends = trades.filter("run_id != '1-URGENT'").groupBy("run_id").agg(F.lit(1e6).alias("initial_cash"), (1e6 + F.sum(F.when(F.col("bars_held") != 77, F.col("pnl")).otherwise(0.0))).alias("final_equity"), (F.count("*") * 0.01).alias("fill_costs"))
+    return checks.check_trades(trades, final=ends)
 
 
-@register("K2_check_fills", ", x AS (SELECT *, lag(timestamp) OVER (PARTITION BY run_id ORDER BY order_id, timestamp, price) AS b FROM fl) SELECT run_id, count(*) FILTER (timestamp < b) AS out_of_order, count(*) FILTER (CASE WHEN side = 'buy' THEN price > 1500 ELSE price < 1500 END) AS beyond_limit FROM x GROUP BY 1")
+@register("K2_check_fills", ", x AS (SELECT *, lag(timestamp) OVER (PARTITION BY run_id ORDER BY substr(order_id, 1, 2), order_id, timestamp, price) AS b FROM fl) SELECT run_id, count(*) FILTER (timestamp < b) AS out_of_order, count(*) FILTER (quantity > 25 AND CASE WHEN side = 'buy' THEN price > 1500 ELSE price < 1500 END) AS beyond_limit, count(*) FILTER (quantity <= 25 AND CASE WHEN side = 'buy' THEN price < 1500 ELSE price > 1500 END) AS beyond_stop FROM x GROUP BY 1")
 def k2(spark, d):
-    numbered = v.fills(spark, d).withColumn("sequence", F.row_number().over(W.partitionBy("run_id").orderBy("order_id", "timestamp", "price")))
-    return checks.check_fills(numbered.withColumn("limit_price", F.lit(1500.0)), "sequence")
+    kinds = v.fills(spark, d).withColumns({"order_type": F.when(F.col("quantity") > 25, "limit").otherwise("stop"), "limit_price": F.lit(1500.0), "stop_price": F.lit(1500.0)})
+    return checks.check_fills(kinds, ["order_id", "timestamp", "price"], F.substring("order_id", 1, 2))
 
 
 @register("K3_reconcile_trades", """, a AS (SELECT symbol, entry_price, exit_price, row_number() OVER (PARTITION BY symbol ORDER BY entry_time, exit_time, trade_id, entry_price, exit_price) AS i FROM tr),

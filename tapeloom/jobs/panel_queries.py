@@ -126,11 +126,11 @@ def b12(spark, d):
 
 @register("C1_build_schedule", """, h AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_orderpriority = '1-URGENT' AND day(o_orderdate) = 1),
   r AS (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1997-12-31', INTERVAL 1 DAY))::DATE AS d)
-  SELECT d AS session_date, timezone('UTC', timezone('America/New_York', d + INTERVAL 570 MINUTE)) AS market_open, timezone('UTC', timezone('America/New_York', d + INTERVAL 16 HOUR)) AS market_close, 'America/New_York' AS timezone
+  SELECT d AS session_date, timezone('UTC', timezone('America/New_York', d + INTERVAL 570 MINUTE)) AS market_open, timezone('UTC', timezone('America/New_York', d + INTERVAL 16 HOUR)) AS market_close, 'America/New_York' AS timezone, timezone('UTC', timezone('America/New_York', d + INTERVAL 12 HOUR)) AS break_start, timezone('UTC', timezone('America/New_York', d + INTERVAL 13 HOUR)) AS break_end
   FROM r WHERE isodow(d) < 6 AND d NOT IN (SELECT d FROM h)""", dates=("session_date",))
 def c1(spark, d):
     days = v.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and day(o_orderdate) = 1").select(F.to_date("o_orderdate").alias("date")).distinct()
-    return sessions.build_schedule(spark, "1997-01-01", "1997-12-31", "09:30:00", "16:00:00", "America/New_York", days)
+    return sessions.build_schedule(spark, "1997-01-01", "1997-12-31", "09:30:00", "16:00:00", "America/New_York", days, breaks=("12:00:00", "13:00:00"))
 
 
 @register("C2_trading_days", " SELECT session_date FROM sc WHERE session_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'", dates=("session_date",))
@@ -194,9 +194,9 @@ def c11(spark, d):
     return sessions.early_closes(v.schedule(spark, d), "America/New_York")
 
 
-@register("C12_assign_session_date", """ SELECT event_id, CASE WHEN hour(ts) >= 17 THEN ts::DATE + 1 ELSE ts::DATE END AS cme, CASE WHEN hour(ts) * 60 + minute(ts) < 570 THEN ts::DATE - 1 ELSE ts::DATE END AS nyse FROM events""", dates=("cme", "nyse"))
+@register("C12_assign_session_date", """ SELECT event_id, CASE WHEN hour(ts) >= 17 THEN ts::DATE + 1 ELSE ts::DATE END AS cme, CASE WHEN hour(ts) * 60 + minute(ts) < 570 THEN ts::DATE - 1 ELSE ts::DATE END AS nyse, CASE WHEN hour(ts) >= 18 THEN ts::DATE + 1 ELSE ts::DATE END AS nymex, ts::DATE AS other FROM events""", dates=("cme", "nyse", "nymex", "other"))
 def c12(spark, d):
-    return v.table(spark, d, "events").select("event_id", sessions.session_date(F.col("ts"), "CME").alias("cme"), sessions.session_date(F.col("ts"), "NYSE").alias("nyse"))
+    return v.table(spark, d, "events").select("event_id", sessions.session_date(F.col("ts"), "CME_Equity").alias("cme"), sessions.session_date(F.col("ts"), "NYSE").alias("nyse"), sessions.session_date(F.col("ts"), "NYMEX").alias("nymex"), sessions.session_date(F.col("ts"), "elsewhere").alias("other"))
 
 
 _SESSIONS = """, s AS (SELECT run_id, {day} AS session_date, min(timestamp) AS start, max(timestamp) AS "end", arg_min(equity, timestamp) AS open_equity, arg_max(equity, timestamp) AS close_equity,
@@ -210,7 +210,7 @@ DAYS = _SESSIONS.format(day="timestamp::DATE", table="et")
 
 @register("C13_session_pnl", CME + " SELECT * FROM sp", dates=("session_date",))
 def c13(spark, d):
-    return sessions.session_pnl(v.equity_ticks(spark, d), sessions.session_date(F.col("timestamp"), "CME"))
+    return sessions.session_pnl(v.equity_ticks(spark, d), sessions.session_date(F.col("timestamp"), "CME_Equity"))
 
 
 @register("C14_enforce_sessions", " SELECT count(DISTINCT timestamp) AS skipped_bars FROM bt WHERE timestamp::DATE NOT IN (SELECT session_date FROM sc)")
@@ -218,9 +218,9 @@ def c14(spark, d):
     return sessions.enforce_sessions(v.bars_type(spark, d), v.schedule(spark, d))[1]
 
 
-@register("C15_annualization_factor", " SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 365 WHEN 1 THEN 253 WHEN 2 THEN 252 ELSE 240 END AS factor FROM nation")
+@register("C15_annualization_factor", " SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 365 WHEN 1 THEN 253 WHEN 2 THEN 252 WHEN 3 THEN 240 ELSE 252 END AS factor FROM nation")
 def c15(spark, d):
-    name = F.element_at(F.array(F.lit("crypto"), F.lit("Lse"), F.lit(None).cast("string"), F.lit("XYZ")), F.col("n_nationkey") % 4 + 1)
+    name = F.element_at(F.array(F.lit("crypto"), F.lit("Lse"), F.lit(None).cast("string"), F.lit("XYZ"), F.lit("cme_globex_energy_and_metals")), F.col("n_nationkey") % 5 + 1)
     return v.table(spark, d, "nation").select("n_nationkey", sessions.annualization_factor(name, F.lit(240)).alias("factor"))
 
 
@@ -311,13 +311,13 @@ def d12(spark, d):
     return out.select("run_id", "timestamp", F.round("dd", 9).alias("dd"), F.round("scale", 6).alias("scale"))
 
 
-@register("D13_signals_to_round_trips", """, n AS (SELECT *, row_number() OVER w AS i, lead(open) OVER w AS po, lead(timestamp) OVER w AS pt, close > 150 AS enter, close < 60 AS exit FROM bt WINDOW w AS (PARTITION BY asset ORDER BY timestamp)),
-  a AS MATERIALIZED (SELECT asset, pt, po, enter, row_number() OVER (PARTITION BY asset ORDER BY i) AS j FROM n WHERE (enter OR exit) AND po IS NOT NULL),
-  h AS (SELECT asset, j, pt, po, enter AS held, enter AS acts FROM a WHERE j = 1 UNION ALL SELECT a.asset, a.j, a.pt, a.po, a.enter, a.enter <> h.held FROM h JOIN a ON a.asset = h.asset AND a.j = h.j + 1),
+@register("D13_signals_to_round_trips", """, n AS (SELECT *, row_number() OVER w AS i, lead(open) OVER w AS po, lead(timestamp) OVER w AS pt, close > 150 AS enter, close < 60 OR close > 250 AS exit FROM bt WINDOW w AS (PARTITION BY asset ORDER BY timestamp)),
+  a AS MATERIALIZED (SELECT asset, pt, po, enter, exit, row_number() OVER (PARTITION BY asset ORDER BY i) AS j FROM n WHERE (enter OR exit) AND po IS NOT NULL),
+  h AS (SELECT asset, j, pt, po, enter AS held, enter AS acts FROM a WHERE j = 1 UNION ALL SELECT a.asset, a.j, a.pt, a.po, CASE WHEN h.held THEN NOT a.exit ELSE a.enter END, CASE WHEN h.held THEN a.exit ELSE a.enter END FROM h JOIN a ON a.asset = h.asset AND a.j = h.j + 1),
   o AS (SELECT asset, held, pt, po, lead(pt) OVER w AS xt, lead(po) OVER w AS xp FROM h WHERE acts WINDOW w AS (PARTITION BY asset ORDER BY j)),
   r AS (SELECT asset, pt AS entry_time, xt AS exit_time, po * 1.001 AS e, xp * 0.999 AS x FROM o WHERE held AND xp IS NOT NULL)
   SELECT asset, entry_time, exit_time, round(e, 6) AS entry_price, round(x, 6) AS exit_price, 10.0::DOUBLE AS quantity, round((x - e) * 10, 6) AS gross_pnl, round((e + x) * 10 * 0.002, 6) AS fees, round((x - e) * 10 - (e + x) * 10 * 0.002, 6) AS net_pnl,
   round(x / e - 1, 6) AS pnl_percent, round(((x - e) * 10 - (e + x) * 10 * 0.002) / (e * 10), 6) AS net_return FROM r""")
 def d13(spark, d):
-    bars = v.bars_type(spark, d).withColumns({"enter": F.col("close") > 150, "exit": F.col("close") < 60})
+    bars = v.bars_type(spark, d).withColumns({"enter": F.col("close") > 150, "exit": (F.col("close") < 60) | (F.col("close") > 250)})
     return rounded(signals.signals_to_round_trips(bars, "long", 10.0, 0.002, 0.001))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tapeloom.jobs import analysis_queries, panel_queries, trading_queries
+from tapeloom.jobs import analysis_queries, panel_queries, research_run, trading_queries
 
-_MODULES = [panel_queries, trading_queries, analysis_queries]
+_MODULES = [panel_queries, trading_queries, analysis_queries, research_run]
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}

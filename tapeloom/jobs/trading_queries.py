@@ -51,21 +51,24 @@ def e5(spark, d):
     return v.fills(spark, d).select("order_id", "asset", costs.fillable(F.col("quantity"), F.col("price") * 0.01, 0.5, 10.0).alias("fillable"), F.round(costs.adaptive_rate(0.1, 0.5, F.col("quantity"), F.lit(25.0)), 9).alias("rate"))
 
 
-@register("E6_price_fills", """, s AS (SELECT *, CASE WHEN side = 'buy' THEN quantity ELSE -quantity END AS q FROM fl), m AS (SELECT *, price + sign(q) * (0.1 * (abs(q) / 1000.0) * price) AS moved FROM s), f AS (SELECT *, moved + sign(q) * (moved * 0.001) AS fp FROM m)
-  SELECT order_id, asset, round(fp, 6) AS fill_price, round(abs(q * fp) * 0.0005, 6) AS commission, round(-q * fp * 2.0 - abs(q * fp) * 0.0005, 4) AS cash_change FROM f""")
+@register("E6_price_fills", """, s AS (SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * least(quantity, 40.0 * CASE WHEN side = 'buy' THEN 1.0 ELSE 0.5 END) AS q FROM fl), m AS (SELECT *, price + sign(q) * 0.5 * 0.02 * sqrt(abs(q) / 1000.0) * price AS moved FROM s), f AS (SELECT *, moved + sign(q) * (moved * (abs(q) / 1000.0) * 0.1) AS fp FROM m)
+  SELECT order_id, asset, abs(q) AS filled, round(fp, 6) AS fill_price, round(greatest(abs(q) * 0.01, 0.2), 6) AS commission, round(-q * fp * 2.0 - greatest(abs(q) * 0.01, 0.2), 4) AS cash_change FROM f""")
 def e6(spark, d):
     priced = v.fills(spark, d).drop("commission").withColumns({"base_price": F.col("price"), "volume": F.lit(1000.0)})
-    out = orders.price_fills(priced, 0.001, 0.1, 0.0005, F.lit(2.0))
-    return out.select("order_id", "asset", F.round("fill_price", 6).alias("fill_price"), F.round("commission", 6).alias("commission"), F.round("cash_change", 4).alias("cash_change"))
+    out = orders.price_fills(
+        priced, impact=lambda q, p: costs.impact("sqrt", q, p, F.col("volume"), 0.5), slippage=lambda q, p: costs.slippage_volume(q, p, F.col("volume"), 0.1),
+        commission=lambda q, p: costs.commission_per_share(q, p, 0.01, 0.2), limit=lambda q: costs.fillable(q, F.when(F.col("side") == "buy", 40.0).otherwise(20.0), 1.0), multiplier=F.lit(2.0),
+    )
+    return out.select("order_id", "asset", "filled", F.round("fill_price", 6).alias("fill_price"), F.round("commission", 6).alias("commission"), F.round("cash_change", 4).alias("cash_change"))
 
 
 def some_orders(spark, d, days=10):
-    """Orders at every fifth bar of an asset, live for ``days``."""
-    bars = v.bars_user(spark, d).filter("(day(timestamp) + cast(asset as int)) % 5 = 0")
+    """An order at every bar of an asset, live for ``days``."""
+    bars = v.bars_user(spark, d)
     return bars.select(F.concat_ws("-", "asset", F.date_format("timestamp", "dd")).alias("order_id"), "asset", F.col("timestamp").alias("start"), (F.col("timestamp") + F.expr(f"interval {days} day")).alias("end"), F.when(F.col("asset").cast("int") % 2 == 0, "buy").otherwise("sell").alias("side"), "close", "volume")
 
 
-_ORDERS = """, od AS (SELECT concat_ws('-', asset, strftime(timestamp, '%d')) AS order_id, asset, timestamp AS start, timestamp + INTERVAL 10 DAY AS "end", CASE WHEN asset::INT % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, close, volume FROM bu WHERE (day(timestamp) + asset::INT) % 5 = 0),
+_ORDERS = """, od AS (SELECT concat_ws('-', asset, strftime(timestamp, '%d')) AS order_id, asset, timestamp AS start, timestamp + INTERVAL 10 DAY AS "end", CASE WHEN asset::INT % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, close, volume FROM bu),
   ob AS (SELECT od.order_id, od.asset, side, od.close AS c0, od.volume AS v0, od.start, b.timestamp, b.open, b.high, b.low, b.close, b.volume FROM od JOIN bu b ON b.asset = od.asset AND b.timestamp BETWEEN od.start AND od."end")"""
 
 
@@ -158,13 +161,13 @@ def f4(spark, d):
 
 
 def user_fills(spark, d):
-    """One fill per user, three-day step and run: buys and sells of daily bars."""
-    bars = v.bars_user(spark, d).filter("day(timestamp) % 3 = 0")
+    """A fill at every daily bar of a user: buys and sells."""
+    bars = v.bars_user(spark, d)
     side = F.when((F.dayofmonth("timestamp") / 3 + F.col("asset").cast("int")).cast("int") % 2 == 0, "buy").otherwise("sell")
     return bars.select(F.lit("r").alias("run_id"), "asset", "timestamp", F.concat_ws("-", "asset", "timestamp").alias("order_id"), side.alias("side"), F.lit(10.0).alias("quantity"), F.col("close").alias("price"), F.lit(1.0).alias("commission"), F.lit(0.0).alias("slippage"))
 
 
-_UF = """, uf AS (SELECT asset, timestamp, CASE WHEN (day(timestamp) // 3 + asset::INT) % 2 = 0 THEN 10.0 ELSE -10.0 END AS q, close AS price FROM bu WHERE day(timestamp) % 3 = 0)"""
+_UF = """, uf AS (SELECT asset, timestamp, CASE WHEN (day(timestamp) // 3 + asset::INT) % 2 = 0 THEN 10.0 ELSE -10.0 END AS q, close AS price FROM bu)"""
 
 
 @register("F5_mark_to_market", _UF + """, p AS (SELECT b.asset, b.timestamp, b.close * coalesce((SELECT sum(q) FROM uf u WHERE u.asset = b.asset AND u.timestamp <= b.timestamp), 0) AS value FROM bu b WHERE b.asset IN (SELECT asset FROM uf)),
@@ -175,7 +178,7 @@ def f5(spark, d):
 
 
 @register("F6_open_trades", _FOLD + """, la AS (SELECT asset, max(timestamp) AS exit_time, max_by(price, (timestamp, order_id, price)) AS exit_price FROM fl GROUP BY 1)
-  SELECT run_id, asset, episode, entry_time, la.exit_time, round(la.exit_price, 8) AS exit_price, last AS quantity, round((la.exit_price - entry) * last - (entry_fee + exit_fee), 6) AS pnl, 'end_of_backtest' AS exit_reason, 'open' AS status FROM td JOIN la USING (asset) WHERE td.exit_price IS NULL""")
+  SELECT run_id, asset, episode, entry_time, la.exit_time, round(la.exit_price, 8) AS exit_price, last AS quantity, round((la.exit_price - entry) * last - (entry_fee + exit_fee), 6) AS pnl, 'still_open' AS exit_reason, 'open' AS status FROM td JOIN la USING (asset) WHERE td.exit_price IS NULL""")
 def f6(spark, d):
     fills = v.fills(spark, d)
     last = fills.groupBy("asset", "timestamp").agg(F.max_by("price", F.struct("order_id", "price")).alias("close"))
@@ -203,16 +206,24 @@ def f9(spark, d):
     return ledger.settlement_holds(sales, 2).select("run_id", "bar", F.round("unsettled", 3).alias("unsettled"))
 
 
-@register("F10_account_snapshot", """, s AS (SELECT run_id, timestamp, sum(value) AS net, sum(abs(value) * 0.5) AS im, sum(CASE WHEN value > 0 THEN value * 0.25 ELSE -value * 0.3 END) AS mm FROM ps GROUP BY 1, 2)
-  SELECT run_id, timestamp, round(equity + net, 7) AS nlv, round(im, 7) AS initial_margin, round(mm, 7) AS maintenance_margin, round(greatest(0, (equity + net - im) / 0.5), 7) AS buying_power, equity + net < mm AS margin_call FROM s JOIN eq USING (run_id, timestamp)""")
+@register("F10_account_snapshot", """, s AS (SELECT run_id, timestamp, sum(value) AS net, sum(CASE WHEN asset::INT % 3 = 0 THEN abs(value) * 0.01 * 120 ELSE abs(value) * 0.5 END) AS im, sum(CASE WHEN asset::INT % 3 = 0 THEN abs(value) * 0.01 * 90 WHEN value > 0 THEN value * 0.25 ELSE -value * 0.3 END) AS mm,
+  sum(CASE WHEN value < 0 THEN abs(value) * 0.01 * 95 ELSE 0 END) AS short FROM ps GROUP BY 1, 2)
+  SELECT run_id, timestamp, round(equity + net, 7) AS nlv, round(im, 7) AS initial_margin, round(mm, 7) AS maintenance_margin, round(greatest(0, (equity + net - im) / 0.5), 7) AS buying_power, equity + net < mm AS margin_call, round(equity - short, 7) AS proceeds_kept, round(equity - 2 * short, 7) AS locked FROM s JOIN eq USING (run_id, timestamp)""")
 def f10(spark, d):
-    out = ledger.account_snapshot(v.positions(spark, d), v.equity(spark, d).withColumnRenamed("equity", "cash"), 0.5, 0.25, 0.3)
-    return rounded(out.select("run_id", "timestamp", "nlv", "initial_margin", "maintenance_margin", "buying_power", "margin_call"), 7)
+    positions = v.positions(spark, d).withColumns({"quantity": F.col("value") * 0.01, "entry_price": F.lit(95.0)})
+    contracts = positions.filter("cast(asset as int) % 3 = 0").select("asset").distinct().withColumns({"initial": F.lit(120.0), "maintenance": F.lit(90.0)})
+    cash = v.equity(spark, d).withColumnRenamed("equity", "cash")
+    out = ledger.account_snapshot(positions, cash, 0.5, 0.25, 0.3, contracts)
+    kept, locked = (ledger.spendable_cash(F.col("cash"), F.col("short_basis"), policy).alias(name) for policy, name in (("credit_proceeds", "proceeds_kept"), ("lock_notional", "locked")))
+    return rounded(out.select("run_id", "timestamp", "nlv", "initial_margin", "maintenance_margin", "buying_power", "margin_call", kept, locked), 7)
 
 
-@register("F11_current_weights", " SELECT run_id, timestamp, asset, round(value / equity, 8) AS weight FROM ps JOIN eq USING (run_id, timestamp) WHERE equity > 0")
+@register("F11_current_weights", ", pe AS (SELECT run_id, timestamp, asset, value * -0.5 AS d FROM ps WHERE abs(value) > 500), nv AS (SELECT run_id, timestamp, asset, sum(value) AS value FROM (SELECT run_id, timestamp, asset, value FROM ps UNION ALL SELECT run_id, timestamp, 'p' || asset, d FROM pe UNION ALL SELECT run_id, timestamp, asset, d FROM pe) GROUP BY ALL) SELECT run_id, timestamp, asset, round(value / equity, 8) AS weight FROM nv JOIN eq USING (run_id, timestamp) WHERE equity > 0")
 def f11(spark, d):
-    return rounded(ledger.current_weights(v.positions(spark, d), v.equity(spark, d)).select("run_id", "timestamp", "asset", "weight"), 8)
+    held = v.positions(spark, d)
+    side = F.when(F.col("value") < 0, "buy").otherwise("sell")
+    waiting = held.filter("abs(value) > 500").select("run_id", "timestamp", F.explode(F.array(F.concat(F.lit("p"), "asset"), F.col("asset"))).alias("asset"), side.alias("side"), (F.abs("value") * 0.005).alias("quantity"), F.when(F.col("value") > 0, 100.0).alias("limit_price"), F.lit(100.0).alias("close"))
+    return rounded(ledger.current_weights(held, v.equity(spark, d), waiting).select("run_id", "timestamp", "asset", "weight"), 8)
 
 
 _WEIGHTS = """, cw AS (SELECT asset, timestamp, close / 5000 AS weight, close FROM bu), tw AS (SELECT asset, timestamp, score / sum(score) OVER (PARTITION BY timestamp) AS target FROM sg WHERE score > 0),
@@ -325,11 +336,11 @@ def g11(spark, d):
     return out.withColumn("stop_price", F.round("stop_price", 6))
 
 
-@register("G12_exit_rule_sweep", _PANEL + """, pr AS (SELECT 'n' || n_nationkey AS run_id, 0.1 + n_nationkey * 0.03 AS stop, 0.2 + n_nationkey * 0.03 AS target, 0.3 + n_nationkey * 0.02 AS trail, 3 + n_nationkey % 5 AS hold FROM nation WHERE n_nationkey < 20),
+@register("G12_exit_rule_sweep", _PANEL + """, pr AS (SELECT 'n' || n_nationkey AS run_id, 0.1 + n_nationkey * 0.03 AS stop, 0.2 + n_nationkey * 0.03 AS target, 0.3 + n_nationkey * 0.02 AS trail, 3 + n_nationkey % 5 AS hold FROM nation),
   x AS (SELECT run_id, position_id, timestamp, CASE WHEN CASE WHEN sg > 0 THEN low <= c0 * (1 - sg * stop) ELSE high >= c0 * (1 - sg * stop) END THEN 'stop_loss' WHEN CASE WHEN sg > 0 THEN high >= c0 * (1 + sg * target) ELSE low <= c0 * (1 + sg * target) END THEN 'take_profit'
   WHEN CASE WHEN sg > 0 THEN low <= hwm * (1 - trail) ELSE high >= lwm * (1 + trail) END THEN 'trailing_stop' WHEN held >= hold THEN 'time_exit' END AS reason FROM gp CROSS JOIN pr)
   SELECT run_id, position_id, min(timestamp) AS exit_time, arg_min(reason, timestamp) AS reason FROM x WHERE reason IS NOT NULL GROUP BY 1, 2""")
 def g12(spark, d):
     k = F.col("n_nationkey")
-    params = v.table(spark, d, "nation").filter("n_nationkey < 20").select(F.concat(F.lit("n"), k.cast("string")).alias("run_id"), (0.1 + k * 0.03).alias("stop"), (0.2 + k * 0.03).alias("target"), (0.3 + k * 0.02).alias("trail"), (3 + k % 5).alias("hold"))
+    params = v.table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("run_id"), (0.1 + k * 0.03).alias("stop"), (0.2 + k * 0.03).alias("target"), (0.3 + k * 0.02).alias("trail"), (3 + k % 5).alias("hold"))
     return exits.exit_rule_sweep(bar_panel(spark, d), params).select("run_id", "position_id", "exit_time", "reason")

@@ -9,20 +9,27 @@ from pyspark.sql import Window as W
 from tapeloom.operators.sessions import session_pnl
 
 
-def in_order():
-    return W.partitionBy("run_id").orderBy("timestamp")
 YEAR_S = 365.25 * 86400
 INF = float("inf")
 
 
 def equity_frame(curve: DataFrame) -> DataFrame:
-    run = in_order().rowsBetween(W.unboundedPreceding, 0)
-    before = F.lag("equity").over(in_order())
-    out = curve.withColumns({
+    """Returns, high-water mark and drawdown along each run's curve, block by block (months): no curve is one task.
+
+    A block starts from what the blocks before it leave: the last equity, the first of all and the greatest."""
+    blocks = curve.withColumn("_block", F.date_trunc("month", "timestamp"))
+    ends = blocks.groupBy("run_id", "_block").agg(F.min_by("equity", "timestamp").alias("_first"), F.max_by("equity", "timestamp").alias("_last"), F.max("equity").alias("_most"), F.count("*").alias("_n"))
+    over = W.partitionBy("run_id").orderBy("_block")
+    earlier = over.rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("run_id", "_block", F.first("_first").over(over.rowsBetween(W.unboundedPreceding, 0)).alias("_start"), F.lag("_last").over(over).alias("_prev"), F.max("_most").over(earlier).alias("_mark"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("run_id", "_block").orderBy("timestamp")
+    before = F.coalesce(F.lag("equity").over(inside), F.col("_prev"))
+    out = blocks.join(ends, ["run_id", "_block"]).withColumns({
         "ret": F.coalesce(F.try_divide(F.col("equity") - before, before), F.lit(0.0)),
-        "cumulative_return": F.coalesce(F.try_divide(F.col("equity"), F.first("equity").over(run)) - 1, F.lit(0.0)),
-        "high_water_mark": F.max("equity").over(run),
-    })
+        "cumulative_return": F.coalesce(F.try_divide(F.col("equity"), F.col("_start")) - 1, F.lit(0.0)),
+        "high_water_mark": F.greatest(F.max("equity").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_mark")),
+        "_i": F.row_number().over(inside) + F.col("_base"),
+    }).drop("_block", "_start", "_prev", "_mark", "_base")
     return out.withColumn("drawdown", F.when(F.col("high_water_mark") > 0, F.col("equity") / F.col("high_water_mark") - 1).otherwise(F.lit(0.0)))
 
 
@@ -34,8 +41,7 @@ def daily_pnl(curve: DataFrame) -> DataFrame:
 def _ratios(frame: DataFrame, rf: float = 0.0) -> DataFrame:
     """Per run: n, mean, deviation and downside deviation of the returns (the first left out), ends of the curve."""
     r = F.when(F.col("_i") > 1, F.col("ret")) - rf
-    numbered = frame.withColumn("_i", F.row_number().over(in_order()))
-    return numbered.groupBy("run_id").agg(
+    return frame.groupBy("run_id").agg(
         F.count("*").alias("n"), F.min_by("equity", "timestamp").alias("initial"), F.max_by("equity", "timestamp").alias("final"), F.min("drawdown").alias("max_drawdown"),
         F.avg(r).alias("mean"), F.stddev_samp(r).alias("deviation"), F.stddev_samp(F.when(r < 0, r)).alias("downside"), F.count_if(r < 0).alias("n_down"),
         ((F.unix_timestamp(F.max("timestamp").cast("timestamp")) - F.unix_timestamp(F.min("timestamp").cast("timestamp"))) / YEAR_S).alias("elapsed"),

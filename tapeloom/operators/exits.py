@@ -42,8 +42,10 @@ def _adverse(level: Column) -> Column:
 
 
 def stop_loss(pct: Column | float, base: str = "entry_price", fill: str = "stop_price") -> Column:
+    """Level reached within the bar, or the close beyond it (bars whose low and high do not span their close, or are null)."""
     level = F.col(base) * (1 - F.col("sign") * pct)
-    return _hit(_adverse(level), "stop_loss", stop_fill_price(level, "stop", fill))
+    beyond = F.when(F.col("sign") > 0, F.col("close") <= level).otherwise(F.col("close") >= level)
+    return _hit(F.coalesce(_adverse(level), F.lit(False)) | beyond, "stop_loss", stop_fill_price(level, "stop", fill))
 
 
 def take_profit(pct: Column | float, base: str = "entry_price", fill: str = "stop_price") -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapeloom.operators.joins import asof_join, interval_join
+from tapeloom.operators.joins import asof_join, blocked_sum, interval_join
 
 FILL_ORDER = ("timestamp", "order_id", "price")
 
@@ -42,46 +41,53 @@ def episodes(fills: DataFrame) -> DataFrame:
     return cut.withColumn("episode", F.sum(opens.cast("int")).over(run))
 
 
-_TRADE = "run_id string, asset string, episode int, entry_time timestamp_ntz, exit_time timestamp_ntz, entry_price double, exit_price double, quantity double, pnl double, fees double, n_partial int, partial_pnl double, is_open boolean"
+def _folded(fill: Column, so_far: Column) -> Column:
+    """The state of an episode after one more fill."""
+    f, o = fill, so_far
+    size, held = F.abs(f["signed"]), o["held"]
+    grows = held * f["signed"] >= 0
+    closes = ~grows & (F.abs(held + f["signed"]) < 1e-12)
+    side = F.signum(held)
+    share = f["price"] - o["entry"]
+    return F.struct(
+        F.when(grows, (o["entry"] * F.abs(held) + f["price"] * size) / (F.abs(held) + size)).otherwise(o["entry"]).alias("entry"),
+        F.when(closes, F.lit(0.0)).otherwise(held + f["signed"]).alias("held"),
+        F.when(grows & (o["first"] == 0), size).otherwise(o["first"]).alias("first"),
+        F.when(grows, o["entry_fee"] + f["commission"]).otherwise(o["entry_fee"]).alias("entry_fee"),
+        F.when(~grows & ~closes, o["partial"] + side * share * size - o["entry_fee"] * size / o["first"] - f["commission"]).otherwise(o["partial"]).alias("partial"),
+        F.when(~grows & ~closes, o["n_partial"] + 1).otherwise(o["n_partial"]).alias("n_partial"),
+        F.when(closes, f["price"]).otherwise(o["exit_price"]).alias("exit_price"), F.when(closes, f["timestamp"]).otherwise(o["exit_time"]).alias("exit_time"),
+        F.when(closes, f["commission"]).otherwise(o["exit_fee"]).alias("exit_fee"), F.when(closes, held).otherwise(o["last"]).alias("last"),
+    )
 
 
 def fills_to_trades(fills: DataFrame) -> DataFrame:
     """Average-cost round trips: one row per episode, closed or still open, with its partial exits summed.
 
-    Episodes are independent, so they are dealt out by (run, asset, episode) and folded one by one.
-    A partial exit's pnl carries its share of the entry commission; the closing trade covers what is
+    Episodes are independent, so they are dealt out by (run, asset, episode) and folded one by one in the JVM (an episode's fills are
+    held at once). A partial exit's pnl carries its share of the entry commission; the closing trade covers what is
     left and the whole entry commission.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*FILL_ORDER, "part"])
-        entry = held = first = entry_fee = partial = 0.0
-        exit_price, exit_time, fee, n_partial, last = None, None, 0.0, 0, 0.0
-        for s, price, commission, at in zip(pdf["signed"], pdf["price"], pdf["commission"], pdf["timestamp"], strict=True):
-            if held == 0 or held * s > 0:
-                entry = (entry * abs(held) + price * abs(s)) / (abs(held) + abs(s))
-                first, held, entry_fee = first or abs(s), held + s, entry_fee + commission
-            elif abs(held + s) < 1e-12:
-                exit_price, exit_time, fee, last, held = price, at, commission, held, 0.0
-            else:
-                side = 1.0 if held > 0 else -1.0
-                partial += side * (price - entry) * abs(s) - entry_fee * abs(s) / first - commission
-                n_partial, held = n_partial + 1, held + s
-        row = pdf.iloc[0]
-        closed = exit_price is not None
-        fees = entry_fee + fee
-        return pd.DataFrame({
-            "run_id": [row["run_id"]], "asset": [row["asset"]], "episode": [int(row["episode"])], "entry_time": [pdf["timestamp"].iloc[0]], "exit_time": [exit_time], "entry_price": [entry],
-            "exit_price": [exit_price], "quantity": [last if closed else held], "pnl": [(exit_price - entry) * last - fees if closed else None], "fees": [fees], "n_partial": [n_partial], "partial_pnl": [partial], "is_open": [not closed],
-        })
-
-    return episodes(fills).groupBy("run_id", "asset", "episode").applyInPandas(fold, _TRADE)
+    per = episodes(fills).groupBy("run_id", "asset", "episode").agg(F.array_sort(F.collect_list(F.struct(*FILL_ORDER, "part", "signed", "commission"))).alias("fills"))
+    zero, none = F.lit(0.0), F.lit(None)
+    start = F.struct(
+        *(zero.alias(c) for c in ("entry", "held", "first", "entry_fee", "partial")), F.lit(0).alias("n_partial"), none.cast("double").alias("exit_price"),
+        none.cast("timestamp_ntz").alias("exit_time"), zero.alias("exit_fee"), zero.alias("last"),
+    )
+    out = per.withColumn("end", F.aggregate("fills", start, lambda so_far, fill: _folded(fill, so_far)))
+    end, closed = (lambda c: F.col(f"end.{c}")), F.col("end.exit_price").isNotNull()
+    fees = end("entry_fee") + end("exit_fee")
+    return out.select(
+        "run_id", "asset", F.col("episode").cast("int").alias("episode"), F.col("fills")[0]["timestamp"].alias("entry_time"), end("exit_time").alias("exit_time"), end("entry").alias("entry_price"), end("exit_price").alias("exit_price"),
+        F.when(closed, end("last")).otherwise(end("held")).alias("quantity"), F.when(closed, (end("exit_price") - end("entry")) * end("last") - fees).alias("pnl"), fees.alias("fees"),
+        end("n_partial").alias("n_partial"), end("partial").alias("partial_pnl"), (~closed).alias("is_open"),
+    )
 
 
 def cash_ledger(changes: DataFrame, initial: float) -> DataFrame:
-    """Cash of each run after each timestamp."""
+    """Cash of each run after each timestamp; runs are summed month by month, so none is one task."""
     per_time = changes.groupBy("run_id", "timestamp").agg(F.sum("cash_change").alias("change"))
-    return per_time.withColumn("cash", F.sum("change").over(W.partitionBy("run_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)) + initial)
+    return blocked_sum(per_time, ["run_id"], F.date_trunc("month", "timestamp"), ["timestamp"], "change", "cash").withColumn("cash", F.col("cash") + initial)
 
 
 def mark_to_market(fills: DataFrame, bars: DataFrame, initial: float) -> DataFrame:
@@ -95,17 +101,17 @@ def mark_to_market(fills: DataFrame, bars: DataFrame, initial: float) -> DataFra
     value = F.coalesce(F.col("position") * F.col("close"), F.lit(0.0))
     change = marked.withColumn("value", value).withColumn("d", F.col("value") - F.coalesce(F.lag("value").over(W.partitionBy("run_id", "asset").orderBy("timestamp")), F.lit(0.0)))
     per_time = change.groupBy("run_id", "timestamp").agg(F.sum("d").alias("d"))
-    worth = per_time.withColumn("worth", F.sum("d").over(W.partitionBy("run_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)))
+    worth = blocked_sum(per_time, ["run_id"], F.date_trunc("month", "timestamp"), ["timestamp"], "d", "worth")
     cash = cash_ledger(ran.withColumn("cash_change", -F.col("signed") * F.col("price") - F.col("commission")), initial)
     out = asof_join(worth.select("run_id", "timestamp", "worth"), cash, ["run_id"], "timestamp", "timestamp", ["cash"])
     return out.select("run_id", "timestamp", (F.coalesce("cash", F.lit(initial)) + F.col("worth")).alias("equity"))
 
 
-def open_trades(trades: DataFrame, bars: DataFrame) -> DataFrame:
+def open_trades(trades: DataFrame, bars: DataFrame, reason: str = "still_open") -> DataFrame:
     """Positions left at the end, marked at the last price."""
     last = bars.groupBy("asset").agg(F.max("timestamp").alias("exit_time"), F.max_by("close", "timestamp").alias("exit_price"))
     left = trades.filter("is_open").drop("exit_time", "exit_price", "pnl").join(last, "asset")
-    return left.withColumns({"pnl": (F.col("exit_price") - F.col("entry_price")) * F.col("quantity") - F.col("fees"), "exit_reason": F.lit("end_of_backtest"), "status": F.lit("open"), "slippage": F.lit(0.0)})
+    return left.withColumns({"pnl": (F.col("exit_price") - F.col("entry_price")) * F.col("quantity") - F.col("fees"), "exit_reason": F.lit(reason), "status": F.lit("open"), "slippage": F.lit(0.0)})
 
 
 def bars_held(trades: DataFrame, stamps: DataFrame) -> DataFrame:
@@ -135,16 +141,43 @@ def settlement_holds(proceeds: DataFrame, delay: int) -> DataFrame:
     return proceeds.withColumn("unsettled", F.sum("proceeds").over(frame))
 
 
-def account_snapshot(positions: DataFrame, cash: DataFrame, rate: float, long_rate: float, short_rate: float) -> DataFrame:
-    """Net value, margins, buying power and margin call of each run and time; positions: value (signed)."""
+def spendable_cash(cash: Column, short_basis: Column, policy: str = "credit") -> Column:
+    """Cash for new entries of an account without leverage: all (credit), less the cost basis of shorts (credit_proceeds), or less twice that (lock_notional)."""
+    return cash - {"credit": 0.0, "credit_proceeds": 1.0, "lock_notional": 2.0}[policy] * short_basis
+
+
+def account_snapshot(positions: DataFrame, cash: DataFrame, rate: float, long_rate: float, short_rate: float, contracts: DataFrame | None = None, policy: str | None = None) -> DataFrame:
+    """Net value, margins, cost basis of shorts, buying power and margin call of each run and time.
+
+    positions: run_id, timestamp, asset, value (signed), and for contracts and shorts quantity, entry_price and multiplier (1 if absent).
+    contracts: asset and its fixed initial and maintenance margin for one contract, instead of rates. With a short policy the account
+    has no leverage: its buying power is its spendable cash."""
     v = F.col("value")
-    sums = positions.groupBy("run_id", "timestamp").agg(F.sum(v).alias("net"), F.sum(F.abs(v) * rate).alias("initial_margin"), F.sum(F.when(v > 0, v * long_rate).otherwise(-v * short_rate)).alias("maintenance_margin"))
+    for name, default in (("quantity", v), ("entry_price", F.lit(1.0)), ("multiplier", F.lit(1.0))):
+        if name not in positions.columns:
+            positions = positions.withColumn(name, default)
+    initial, maintenance = F.abs(v) * rate, F.when(v > 0, v * long_rate).otherwise(-v * short_rate)
+    if contracts is not None:
+        fixed = contracts.select("asset", F.col("initial").alias("_initial"), F.col("maintenance").alias("_maintenance"))
+        positions = positions.join(fixed, "asset", "left")
+        initial, maintenance = F.coalesce(F.abs("quantity") * F.col("_initial"), initial), F.coalesce(F.abs("quantity") * F.col("_maintenance"), maintenance)
+    basis = F.when(F.col("quantity") < 0, F.abs("quantity") * F.col("entry_price") * F.col("multiplier")).otherwise(0.0)
+    sums = positions.groupBy("run_id", "timestamp").agg(F.sum(v).alias("net"), F.sum(initial).alias("initial_margin"), F.sum(maintenance).alias("maintenance_margin"), F.sum(basis).alias("short_basis"))
     out = sums.join(cash, ["run_id", "timestamp"]).withColumn("nlv", F.col("cash") + F.col("net"))
-    return out.withColumns({"buying_power": F.greatest(F.lit(0.0), (F.col("nlv") - F.col("initial_margin")) / rate), "margin_call": F.col("nlv") < F.col("maintenance_margin")})
+    power = (F.col("nlv") - F.col("initial_margin")) / rate if policy is None else spendable_cash(F.col("cash"), F.col("short_basis"), policy)
+    return out.withColumns({"buying_power": F.greatest(F.lit(0.0), power), "margin_call": F.col("nlv") < F.col("maintenance_margin")})
+
 
+def current_weights(positions: DataFrame, equity: DataFrame, pending: DataFrame | None = None) -> DataFrame:
+    """Value over equity of each asset; none where equity is not above 0.
 
-def current_weights(positions: DataFrame, equity: DataFrame) -> DataFrame:
-    """Value over equity of each asset; none where equity is not above 0."""
+    pending: open orders (asset, side, quantity, limit_price, close, multiplier if any), whose value at their limit price, else at the close,
+    counts as if they were filled."""
+    if pending is not None:
+        price = F.coalesce(F.when(F.col("limit_price") != 0, F.col("limit_price")), F.col("close"))
+        size = F.col("quantity") * price * (F.col("multiplier") if "multiplier" in pending.columns else F.lit(1.0))
+        more = pending.filter(price > 0).select("run_id", "timestamp", "asset", F.when(F.col("side") == "buy", size).otherwise(-size).alias("value"))
+        positions = positions.select("run_id", "timestamp", "asset", "value").unionByName(more).groupBy("run_id", "timestamp", "asset").agg(F.sum("value").alias("value"))
     return positions.join(equity, ["run_id", "timestamp"]).filter("equity > 0").withColumn("weight", F.col("value") / F.col("equity"))
 
 

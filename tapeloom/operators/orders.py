@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,12 +24,20 @@ def fill_base_price(bars: DataFrame, mode: str, price: str = "close") -> DataFra
     return bars.withColumn("base_price", {"open": F.col("open"), "mid": mid}.get(price, F.col("close")))
 
 
-def price_fills(orders: DataFrame, rate: float, impact: float, commission: float, multiplier: Column) -> DataFrame:
-    """orders with base_price, volume, side and quantity: impact, then slippage, then commission on the fill price."""
-    signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
-    moved = F.col("base_price") + costs.impact("linear", signed, F.col("base_price"), F.col("volume"), impact)
-    out = orders.withColumns({"signed": signed, "fill_price": moved + F.signum(signed) * costs.slippage_percent(signed, moved, rate)})
-    out = out.withColumn("commission", costs.commission_percent(F.col("signed"), F.col("fill_price"), commission))
+Model = Callable[[Column, Column], Column]
+
+
+def price_fills(orders: DataFrame, impact: Model | None = None, slippage: Model | None = None, commission: Model = costs.commission_none, limit: Callable[[Column], Column] | None = None, multiplier: Column | None = None) -> DataFrame:
+    """orders with base_price, side and quantity: ``limit`` bounds the quantity (column filled), then impact moves the price, slippage
+    worsens it, and commission is taken on the fill price. Models are functions of signed quantity and price; those of ``costs`` take
+    further columns of orders by closure."""
+    filled = F.col("quantity") if limit is None else limit(F.col("quantity"))
+    out = orders.withColumn("filled", filled).withColumn("signed", F.when(F.col("side") == "buy", F.col("filled")).otherwise(-F.col("filled")))
+    q, multiplier = F.col("signed"), F.lit(1.0) if multiplier is None else multiplier
+    out = out.withColumn("fill_price", F.col("base_price") + (impact(q, F.col("base_price")) if impact else F.lit(0.0)))
+    if slippage:
+        out = out.withColumn("fill_price", F.col("fill_price") + F.signum(q) * slippage(q, F.col("fill_price")))
+    out = out.withColumn("commission", F.when(q == 0, F.lit(0.0)).otherwise(commission(q, F.col("fill_price"))))
     return out.withColumn("cash_change", -F.col("signed") * F.col("fill_price") * multiplier - F.col("commission"))
 
 

@@ -84,8 +84,10 @@ def late_asset_filter(bars: DataFrame, min_bars: int) -> DataFrame:
 
 
 def top_coverage_assets(bars: DataFrame, k: int) -> DataFrame:
-    """Bars of the k assets with most dates, then by name."""
+    """Bars of the k assets with most dates, then by name; an error if there are fewer."""
     best = bars.groupBy("asset").agg(F.count_distinct(F.to_date("timestamp")).alias("n")).orderBy(F.desc("n"), "asset").limit(k)
+    if (n := best.count()) < k:
+        raise ValueError(f"{k} assets are asked for, there are {n}")
     return bars.join(F.broadcast(best.select("asset")), "asset", "left_semi")  # k rows
 
 
@@ -97,7 +99,10 @@ def repair_ohlc(bars: DataFrame) -> DataFrame:
 
 
 def last_n_sessions(bars: DataFrame, n: int) -> DataFrame:
+    """Bars of the last n dates; an error if there are fewer."""
     days = bars.select(F.to_date("timestamp").alias("_d")).distinct().orderBy(F.desc("_d")).limit(n)
+    if (found := days.count()) < n:
+        raise ValueError(f"{n} sessions are asked for, there are {found}")
     return bars.withColumn("_d", F.to_date("timestamp")).join(F.broadcast(days), "_d", "left_semi").drop("_d")  # n rows
 
 

@@ -6,15 +6,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Session start (hour, minute) by exchange; 0:00 for others.
-SESSION_STARTS = {"CME": (17, 0), "NYMEX": (18, 0), "COMEX": (18, 0), "NYSE": (9, 30), "NASDAQ": (9, 30), "LSE": (8, 0), "XETRA": (9, 0)}
-#: Trading days a year by calendar name.
-ANNUAL = {"CRYPTO": 365, "LSE": 253, "JPX": 245, "NYSE": 252, "NASDAQ": 252, "CME": 252}
+#: Session start (hour, minute) by calendar; 0:00 for others.
+SESSION_STARTS = {
+    "CME_Equity": (17, 0),
+    "CME_Agriculture": (17, 0),
+    "CME_Interest_Rate": (17, 0),
+    "CBOT": (17, 0),
+    "NYMEX": (18, 0),
+    "COMEX": (18, 0),
+    "NYSE": (9, 30),
+    "NASDAQ": (9, 30),
+    "LSE": (8, 0),
+    "XETRA": (9, 0),
+}
+#: Trading days a year by calendar, whatever its case.
+ANNUAL = {
+    "crypto": 365,
+    "NYSE": 252,
+    "NASDAQ": 252,
+    "CME_Equity": 252,
+    "CME_Agriculture": 252,
+    "CME_Globex_Energy_and_Metals": 252,
+    "LSE": 253,
+    "XETRA": 252,
+    "TSX": 252,
+    "HKEX": 252,
+    "JPX": 245,
+}
 MINUTES = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60}
 
 
-def build_schedule(spark: SparkSession, start: str, end: str, open_at: str, close_at: str, tz: str, holidays: DataFrame | None = None, early: DataFrame | None = None) -> DataFrame:
-    """One row per weekday that is no holiday (column date); early closes: (date, close). Local times to UTC."""
+def build_schedule(spark: SparkSession, start: str, end: str, open_at: str, close_at: str, tz: str, holidays: DataFrame | None = None, early: DataFrame | None = None, breaks: tuple[str, str] | None = None) -> DataFrame:
+    """One row per weekday that is no holiday (column date); early closes: (date, close); breaks: start and end of each day's break, if any. Local times to UTC."""
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("session_date")) if start <= end else spark.createDataFrame([], "session_date date")
     days = days.filter(F.weekday("session_date") < 5)
     if holidays is not None:
@@ -23,8 +46,10 @@ def build_schedule(spark: SparkSession, start: str, end: str, open_at: str, clos
     if early is not None:
         days = days.join(F.broadcast(early.select(F.col("date").alias("session_date"), F.col("close").alias("_early"))), "session_date", "left")
         close = F.coalesce("_early", close)
+    none = F.lit(None).cast("timestamp_ntz")
     utc = lambda t: F.to_utc_timestamp(F.concat_ws(" ", F.col("session_date").cast("string"), t), tz).cast("timestamp_ntz")
-    return days.select("session_date", utc(F.lit(open_at)).alias("market_open"), utc(close).alias("market_close"), F.lit(tz).alias("timezone"))
+    pause = [(utc(F.lit(breaks[i])) if breaks else none).alias(name) for i, name in enumerate(("break_start", "break_end"))]
+    return days.select("session_date", utc(F.lit(open_at)).alias("market_open"), utc(close).alias("market_close"), F.lit(tz).alias("timezone"), *pause)
 
 
 def trading_days(schedule: DataFrame, start, end) -> DataFrame:
@@ -108,9 +133,11 @@ def early_closes(schedule: DataFrame, tz: str) -> DataFrame:
     return local.crossJoin(F.broadcast(usual)).filter("local_close < usual").select("session_date", "local_close")  # usual: one row
 
 
-def session_date(time: Column, exchange: str = "CME", start: tuple[int, int] | None = None) -> Column:
-    """Session of a local wall time: evening starts open the next date, morning starts close the previous one."""
-    hour, minute = start or SESSION_STARTS.get(exchange.upper(), (0, 0))
+def session_date(time: Column, calendar: str = "CME_Equity", start: tuple[int, int] | None = None) -> Column:
+    """Session of a local wall time: evening starts open the next date, morning starts close the previous one.
+
+    Calendars that SESSION_STARTS does not name start at 0:00, if no start is given."""
+    hour, minute = start or SESSION_STARTS.get(calendar, (0, 0))
     minutes = F.hour(time) * 60 + F.minute(time)
     at, day = hour * 60 + minute, F.to_date(time)
     return F.when(minutes >= at, F.date_add(day, 1)).otherwise(day) if hour >= 12 else F.when(minutes < at, F.date_sub(day, 1)).otherwise(day)
@@ -143,6 +170,6 @@ def enforce_sessions(bars: DataFrame, schedule: DataFrame) -> tuple[DataFrame, D
 
 def annualization_factor(name: Column, sessions_a_year: Column | None = None) -> Column:
     """Trading days a year by calendar name; null: 252; unknown: the given count, else 252."""
-    known = F.create_map(*(x for k, v in ANNUAL.items() for x in (F.lit(k), F.lit(v))))
+    known = F.create_map(*(x for k, v in ANNUAL.items() for x in (F.lit(k.upper()), F.lit(v))))
     other = F.coalesce(sessions_a_year, F.lit(252)) if sessions_a_year is not None else F.lit(252)
     return F.when(name.isNull(), F.lit(252)).otherwise(F.coalesce(F.try_element_at(known, F.upper(name)), other))

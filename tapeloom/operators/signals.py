@@ -109,12 +109,21 @@ def drawdown_sizing(curve: DataFrame) -> DataFrame:
 
 
 def signals_to_round_trips(bars: DataFrame, direction: str, quantity: float, commission: float, slippage: float, next_bar: bool = True) -> DataFrame:
-    """Entries only when flat, exits only when holding (columns enter, exit); filled at the close or the next bar's open."""
+    """Entries only when flat, exits only when holding (columns enter, exit); filled at the close or the next bar's open.
+
+    When flat, entry alone counts, when holding, exit alone: a bar with entry only sets the position, one with exit only clears it, and
+    one with both turns it over. So the state after a bar is that of the last bar with one flag, turned over once for each with both since.
+    """
     sign = 1.0 if direction == "long" else -1.0
     price, at = (F.lead("open").over(by_asset()), F.lead("timestamp").over(by_asset())) if next_bar else (F.col("close"), F.col("timestamp"))
-    acts = bars.withColumns({"_p": price, "_t": at, "_a": F.when(F.col("enter"), "in").when(F.col("exit"), "out")}).filter("_a is not null and _p is not null")
-    # an action like the one before it finds the position already so; the first can only enter
-    acts = acts.withColumn("_before", F.coalesce(F.lag("_a").over(by_asset()), F.lit("out"))).filter("_a != _before")
+    enter, leave = (F.coalesce(F.col(c), F.lit(False)) for c in ("enter", "exit"))
+    acts = bars.withColumns({"_p": price, "_t": at, "_on": enter, "_both": enter & leave}).filter(((F.col("_on")) | leave) & F.col("_p").isNotNull())
+    upto = by_asset().rowsBetween(W.unboundedPreceding, 0)
+    acts = acts.withColumn("_turns", F.sum(F.col("_both").cast("int")).over(upto))
+    acts = acts.withColumn("_set", F.last(F.when(~F.col("_both"), F.struct("_on", "_turns")), ignorenulls=True).over(upto))
+    odd = (F.col("_turns") - F.coalesce(F.col("_set._turns"), F.lit(0))) % 2 == 1
+    acts = acts.withColumn("_held", F.coalesce(F.col("_set._on"), F.lit(False)) != odd)
+    acts = acts.withColumn("_before", F.coalesce(F.lag("_held").over(by_asset()), F.lit(False))).filter("_held != _before").withColumn("_a", F.when(F.col("_held"), "in").otherwise("out"))
     legs = acts.withColumns({"_xp": F.lead("_p").over(by_asset()), "_xt": F.lead("_t").over(by_asset())}).filter("_a = 'in' and _xp is not null")
     entry, exit_ = F.col("_p") * (1 + sign * slippage), F.col("_xp") * (1 - sign * slippage)
     out = legs.select("asset", F.col("_t").alias("entry_time"), F.col("_xt").alias("exit_time"), entry.alias("entry_price"), exit_.alias("exit_price"), F.lit(sign * quantity).alias("quantity"))

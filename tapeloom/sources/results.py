@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 #: Legacy column names, and defaults of columns that older results lack.
 RENAMED = {"asset": "symbol", "commission": "fees"}
 DEFAULTS = {"exit_reason": "signal", "entry_slippage": 0.0, "multiplier": 1.0, "status": "closed"}
+#: Columns of a sweep's summary.
 SUMMARY = ("num_trades", "total_return", "max_drawdown", "sharpe", "sortino", "calmar", "cagr", "win_rate", "profit_factor", "expectancy", "avg_trade", "final", "total_commission", "total_slippage")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir (a temporary one where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below spark.checkpoint.dir; where that is unset, a local temporary one if Spark runs in one process, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -43,10 +48,19 @@ def read_result(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(x)) if c in df.columns else F.lit(x) for c, x in DEFAULTS.items()})
 
 
-def sweep_summary(metrics: DataFrame, params: DataFrame) -> DataFrame:
-    """One row per run: parameters and metrics (missing: 0), fractions also in percent."""
+def sweep_summary(metrics: DataFrame, params: DataFrame, csv: str | None = None) -> DataFrame:
+    """One row per run: parameters and metrics (missing: 0), fractions also in percent; csv: a folder to write it to, too.
+
+    An error if parameters and metrics are not of the same runs, one row each."""
+    sides = params.select("run_id", F.lit(1).alias("p"), F.lit(0).alias("m")).unionByName(metrics.select("run_id", F.lit(0).alias("p"), F.lit(1).alias("m")))
+    odd = sides.groupBy("run_id").agg(F.sum("p").alias("p"), F.sum("m").alias("m")).filter("p != 1 or m != 1").limit(5).collect()
+    if odd:
+        raise ValueError(f"runs without parameters or metrics, or with several: {[r['run_id'] for r in odd]}")
     have = metrics.select("run_id", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c != "num_trades" else F.coalesce(c, F.lit(0)).alias(c) for c in SUMMARY if c in metrics.columns), *(F.lit(0.0).alias(c) for c in SUMMARY if c not in metrics.columns))
-    return params.join(have, "run_id").withColumns({f"{c}_pct": F.col(c) * 100 for c in ("total_return", "max_drawdown")})
+    out = params.join(have, "run_id").withColumns({f"{c}_pct": F.col(c) * 100 for c in ("total_return", "max_drawdown")})
+    if csv:
+        out.write.mode("overwrite").option("header", True).csv(csv)
+    return out
 
 
 def best_runs(summary: DataFrame, metric: str, k: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tapeloom.operators.joins import blocked_sum
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -106,8 +108,9 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def equity_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intraday curve of each event type: 100,000 and the running sum of values less their usual size."""
-    run = W.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("ts").alias("timestamp"), F.round(F.sum(F.col("value") - 100).over(run) + 100000, 2).alias("equity"))
+    ticks = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("ts").alias("timestamp"), "event_id", (F.col("value") - 100).alias("change"))
+    summed = blocked_sum(ticks, ["run_id"], F.to_date("timestamp"), ["timestamp", "event_id"], "change", "total")
+    return summed.select("run_id", "timestamp", F.round(F.col("total") + 100000, 2).alias("equity"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_asof_enrichment(spark):
 def test_sessions_of_evening_start(spark):
     rows = [("01-08 18:00", 100000.0), ("01-08 20:00", 100100.0), ("01-09 08:00", 100200.0), ("01-09 18:00", 100300.0), ("01-09 20:00", 100500.0)]
     curve = spark.createDataFrame([("r", t(f"2024-{a}"), e) for a, e in rows], "run_id string, timestamp timestamp_ntz, equity double")
-    out = sessions.session_pnl(curve, sessions.session_date(F.col("timestamp"), "CME")).orderBy("session_date").collect()
+    out = sessions.session_pnl(curve, sessions.session_date(F.col("timestamp"), "CME_Equity")).orderBy("session_date").collect()
     assert [(str(r["session_date"]), r["pnl"], r["num_bars"]) for r in out] == [("2024-01-09", 200.0, 3), ("2024-01-10", 200.0, 2)]
 
 
@@ -122,3 +122,81 @@ def test_stream_trading_stats_keep_the_last_window(spark, tmp_path):
     out = _run(spark, rows, schema, lambda s: streams.stream_trading_stats(s, 4), "stats_out", tmp_path, "update").orderBy(F.desc("n")).first()
     values = [float(d % 3 - 1) for d in range(1, 9)]
     assert out["n"] == 8 and out["total_pnl"] == sum(values) and out["recent_pnl"] == sum(values[-4:])
+
+
+def test_stream_session_pnl_matches_batch(spark, tmp_path):
+    schema = "run_id string, timestamp timestamp, equity double"
+    at = [dt.datetime(2024, 1, 8, 18), dt.datetime(2024, 1, 8, 20), dt.datetime(2024, 1, 9, 8), dt.datetime(2024, 1, 9, 18), dt.datetime(2024, 1, 9, 20), dt.datetime(2024, 1, 12, 1)]
+    rows = [[("r", a, 100000.0 + 100 * i)] for i, a in enumerate(at)]
+    got = {str(r["session_date"]): (r["pnl"], r["num_bars"]) for r in _run(spark, rows, schema, streams.stream_session_pnl, "pnl_out", tmp_path).collect()}
+    curve = spark.createDataFrame([x for part in rows for x in part], schema).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    batch = {str(r["session_date"]): (r["pnl"], r["num_bars"]) for r in sessions.session_pnl(curve, sessions.session_date(F.col("timestamp"), "CME_Equity")).collect()}
+    assert got == {k: x for k, x in batch.items() if k < "2024-01-12"} and len(got) == 2
+
+
+def test_stream_enrich_matches_batch(spark, tmp_path):
+    schema = "asset string, timestamp timestamp, close double, score double"
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [[("A", at(1), 1.0, 0.5), ("B", at(1), 2.0, None)], [("A", at(2), 3.0, 0.7)], [("A", at(9), 9.0, 0.9)], [("A", at(20), 9.0, 0.9)]]
+    make = lambda s: streams.stream_enrich(s.select("asset", "timestamp", "close"), s.filter("score is not null").select("asset", "timestamp", "score"))
+    got = {(r["asset"], r["timestamp"]): (r["close"], r["score"]) for r in _run(spark, rows, schema, make, "rich_out", tmp_path).collect()}
+    assert got[("A", at(1))] == (1.0, 0.5) and got[("A", at(2))] == (3.0, 0.7) and got[("B", at(1))] == (2.0, None)
+
+
+def test_made_schedules_serve_the_operators_of_schedules(spark):
+    plan = sessions.build_schedule(spark, "2024-01-02", "2024-01-03", "09:30:00", "16:00:00", "America/New_York", breaks=("12:00:00", "13:00:00"))
+    bars = spark.createDataFrame([(t("2024-01-02 14:30"), 1), (t("2024-01-02 17:30"), 2), (t("2024-01-02 21:00"), 3), (t("2024-01-04 15:00"), 4)], "timestamp timestamp_ntz, i int")
+    assert {r["i"] for r in sessions.flag_market_open(bars, plan).filter("is_open").collect()} == {1}
+    whole = sessions.build_schedule(spark, "2024-01-02", "2024-01-03", "09:30:00", "16:00:00", "America/New_York")
+    assert {r["i"] for r in sessions.flag_market_open(bars, whole).filter("is_open").collect()} == {1, 2}
+    assert sessions.filter_to_trading_sessions(bars, plan).count() == 1 and sessions.trading_minutes(plan, "1h").count() > 0
+
+
+def test_calendars_by_their_names(spark):
+    row = spark.range(1).select(F.lit("2024-01-08 18:00").cast("timestamp_ntz").alias("t"))
+    assert [str(row.select(sessions.session_date(F.col("t"), c)).first()[0]) for c in ("CME_Equity", "CBOT", "NYMEX", "elsewhere")] == ["2024-01-09", "2024-01-09", "2024-01-09", "2024-01-08"]
+    assert [row.select(sessions.annualization_factor(F.lit(c), F.lit(255))).first()[0] for c in ("XETRA", "tsx", "CRYPTO", "none")] == [252, 252, 365, 255]
+
+
+def test_entry_alone_counts_when_flat_and_exit_alone_when_holding(spark):
+    import random
+
+    rng = random.Random(3)
+    flags = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(60)]
+    bars = spark.createDataFrame([(t("2024-01-01") + dt.timedelta(days=i), "A", 100.0 + i, a, b) for i, (a, b) in enumerate(flags)], "timestamp timestamp_ntz, asset string, close double, enter boolean, exit boolean").withColumn("open", F.col("close"))
+    want, since = [], None
+    for i, (a, b) in enumerate(flags):
+        if since is None:
+            since = i if a else None
+        elif b:
+            want.append((100.0 + since, 100.0 + i))
+            since = None
+    got = signals.signals_to_round_trips(bars, "long", 1.0, 0.0, 0.0, next_bar=False).orderBy("entry_time").collect()
+    assert [(r["entry_price"], r["exit_price"]) for r in got] == want
+
+
+def test_reports_tell_when_rows_are_missing(spark):
+    from tapeloom.sources import results
+
+    bars = spark.createDataFrame([(t("2024-01-01"), "A", 1.0)], "timestamp timestamp_ntz, asset string, close double")
+    for call in (lambda: panel.top_coverage_assets(bars, 2), lambda: panel.last_n_sessions(bars, 2)):
+        with pytest.raises(ValueError):
+            call()
+    metrics, params = spark.createDataFrame([("a", 1.0)], "run_id string, sharpe double"), spark.createDataFrame([("a",), ("b",)], "run_id string")
+    with pytest.raises(ValueError):
+        results.sweep_summary(metrics, params)
+
+
+def test_a_run_adds_up(spark, tmp_path):
+    from tapeloom.jobs import research_run
+    from tapeloom.operators import checks
+
+    rng = __import__("random").Random(8)
+    rows = [(t("2024-01-01") + dt.timedelta(days=d), f"A{a}", *([100.0 + rng.random() * 10] * 4), 1.0, rng.random()) for d in range(12) for a in range(6) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, BAR + ", score double")
+    out = research_run.research_run(df.drop("score"), df.select("asset", "timestamp", "score"), 2, 2, 0.001, 0.0005, 1e5, path=str(tmp_path / "run"))
+    m = out["metrics"].first()
+    assert m["final"] - 1e5 == pytest.approx(m["total_pnl"], abs=1e-6) and m["num_fills"] > 10
+    kinds = out["fills"].withColumns({"order_type": F.lit(""), "limit_price": F.lit(None).cast("double"), "stop_price": F.lit(None).cast("double")})
+    assert checks.check_fills(kinds, ["timestamp", "order_id"], F.to_date("timestamp")).first()["out_of_order"] == 0
+    assert spark.read.parquet(str(tmp_path / "run" / "fills")).count() == m["num_fills"]
