@@ -13,8 +13,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """For each a the least of a and its neighbours b, broadcast only if its counted rows are few."""
-    return shared.small(shared.materialize(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))))
+    """For each a the least of a and its neighbours b."""
+    return shared.materialize(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,11 +23,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     nodes = edges.filter("a = b").select("a")
     edges_now, state = edges.filter("a > b"), None
     for _ in range(rounds):
+        before = edges_now
         both = edges_now.unionByName(edges_now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = shared.materialize(both.join(_least(both), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = _least(both)
+        large = shared.materialize(both.join(shared.small(least), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least)
         least = _least(large)
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges_now = shared.materialize(small.filter("a > b").distinct())
+        small = large.join(shared.small(least), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges_now = shared.materialize(small.filter("a > b").distinct(), large, least, before)
         now = _state(edges_now)
         if now == state:
             break
@@ -36,4 +38,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     stars = edges_now.groupBy("a").agg(F.min("b").alias("component"))
     roots = edges_now.select(F.col("b").alias("a")).unionByName(nodes).distinct().join(edges_now.select("a").distinct(), "a", "left_anti")
-    return shared.materialize(stars.unionByName(roots.withColumn("component", F.col("a"))).select(F.col("a").alias("node"), "component"))
+    return shared.materialize(stars.unionByName(roots.withColumn("component", F.col("a"))).select(F.col("a").alias("node"), "component"), edges, edges_now)

@@ -76,7 +76,8 @@ def discard(*tables: DataFrame) -> None:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it counts at most ``rows`` rows of about 100 bytes (df should be materialized), else as it is."""
-    most = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")), F.lit(8 * len(df.columns))))
+    wide = [F.octet_length(c) if t in ("string", "binary") else 32 * F.size(c) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    most = F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(df.columns))))
     n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(most, F.lit(0))).first()
     return F.broadcast(df) if n <= rows and size <= 100 * rows else df
 
