@@ -14,7 +14,8 @@ compared, with those that sizes and match counts still allow, so no link is lost
 verified on whole sets. Components are those of verified links and class memberships.
 
 Cases: null or empty texts have empty sets and link with nothing; fewer than five words are one
-shingle; repeated rows are reported each; a null doc_id has no component; an empty table gives no rows.
+shingle; repeated rows are reported each; a null doc_id has no component; ids are read as whole numbers;
+extra columns are ignored by ``join`` and kept by ``keep_first``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -150,34 +151,26 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def pack(batches):
         for batch, raw, bounds in shared.chunks(batches):
-            # 40 bits of each hash tell the shingles of two documents apart
-            blobs = [np.unique(s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s in _sets(raw, bounds)]
+            blobs = [s.astype("<u8").tobytes() for s in _sets(raw, bounds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc", "tokens"])
 
-    sets = shared.materialize(docs.join(shared.small(who), "doc_id", "left_semi").mapInArrow(pack, "doc long, tokens binary"))
+    sets = shared.materialize(docs.join(shared.small(who), "doc_id", "left_semi").mapInArrow(pack, "doc long, tokens binary"), who)
 
     def compare(batches):
-        def unpacked(blob: bytes) -> np.ndarray:
-            wide = np.zeros((len(blob) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-            return wide.view("<u8").ravel()
-
         for batch in batches:
             keep, last, held = np.zeros(batch.num_rows, bool), None, None
             a_ids, one, two = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, (x, a, b) in enumerate(zip(a_ids, one, two, strict=True)):
                 if x != last or a != held[0]:
-                    last, held = x, (a, unpacked(a))
-                a, b = held[1], unpacked(b)
+                    last, held = x, (a, np.frombuffer(a, "<u8"))
+                a, b = held[1], np.frombuffer(b, "<u8")
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep[i] = 100 * common >= PERCENT * (len(a) + len(b) - common)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
     of = lambda side, name: sets.select(F.col("doc").alias(side), F.col("tokens").alias(name))
     both = pairs.join(of("b", "two"), "b").select("a", "b", "two").join(of("a", "one"), "a").select("a", "b", "one", "two")
-    links = shared.materialize(both.mapInArrow(compare, "a long, b long").distinct())
-    shared.discard(sets)
-    return links
+    return shared.materialize(both.mapInArrow(compare, "a long, b long").distinct(), sets)
 
 
 def _apart(held: DataFrame, links: DataFrame) -> DataFrame:
@@ -189,17 +182,17 @@ def _apart(held: DataFrame, links: DataFrame) -> DataFrame:
     """
     found = components(links)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    part = shared.small(shared.materialize(found.join(sizes, "component").select(F.col("node").alias("doc"), "component", "size")))
+    part = shared.materialize(found.join(sizes, "component").select(F.col("node").alias("doc"), "component", "size"), found)
+    parts, part = [part], shared.small(part)
     placed = held.join(part, "doc", "left").withColumn("part", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "doc").alias("id"))).drop("size", "component")
     about = shared.materialize(placed.groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("part").alias("main"), F.min("part").alias("other")).filter("main != other").drop("other"))
     n, many = F.col("n"), F.col("l")
     ends = [F.greatest(F.col("low"), F.ceil(n * PERCENT / 100.0 - 1e-9)), F.least(F.col("high"), F.floor(n * 100.0 / PERCENT + 1e-9))]
     # a partner with l = 1 has the longest rest; 2 is for rounding between the ends
     least = F.least(*(_need(n, e) - F.greatest(_rest(n, many), _rest(e, F.lit(1))) for e in ends)) - 2
-    alive = shared.materialize(placed.join(about, "token").withColumn("least", F.greatest(least, F.lit(1))).filter("m >= least").drop("low", "high"))
+    alive = shared.materialize(placed.join(about, "token").withColumn("least", F.greatest(least, F.lit(1))).filter("m >= least").drop("low", "high"), about, *parts)
     mixed = shared.materialize(alive.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("main")).filter("low != main").select("token", "df", "main"))
-    rows = shared.materialize(alive.drop("main").join(mixed, "token"))
-    shared.discard(alive)
+    rows = shared.materialize(alive.drop("main").join(mixed, "token"), alive, mixed)
     n1, n2, l1, l2 = (F.col(c) for c in ("n1", "n2", "l1", "l2"))
     # In the order of (df, token), which all share, a linked pair's first common token leaves each side enough tokens.
     # Where an earlier common token is known, the pair has met at that one, with more tokens left.
@@ -211,45 +204,48 @@ def _apart(held: DataFrame, links: DataFrame) -> DataFrame:
     side = lambda df, i: df.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "l", "left", "part", "earlier")))
     enough = F.least("left1", "left2") >= matches_needed(n1, l1, n2, l2)
     cross = side(ranked.filter("part != main"), 1).join(side(ranked, 2), "token").filter((F.col("part1") < F.col("part2")) & _sizes_fit(n1, n2) & enough & ~F.arrays_overlap("earlier1", "earlier2"))
-    pairs = shared.materialize(cross.select("doc1", "doc2", "n1", "l1", "n2", "l2").distinct())
-    lists = shared.materialize(rows.groupBy("doc").agg(F.collect_list("token").alias("tokens")))  # a prefix at most
+    pairs = shared.materialize(cross.select("doc1", "doc2", "n1", "l1", "n2", "l2").distinct(), ranked)
+    lists = shared.materialize(rows.groupBy("doc").agg(F.collect_list("token").alias("tokens")), rows)  # a prefix at most
     first, second = (lists.select(F.col("doc").alias(f"doc{i}"), F.col("tokens").alias(f"tokens{i}")) for i in (1, 2))
     both = pairs.join(first, "doc1").join(second, "doc2").filter(F.size(F.array_intersect("tokens1", "tokens2")) >= matches_needed(n1, l1, n2, l2))
-    return both.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+    return shared.materialize(both.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct(), pairs, lists)
 
 
 def link(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n) of every row, and links (a, b): class memberships and enough verified pairs for all components."""
+    """(doc_id, n) of every row, and links (a, b): class memberships and verified pairs that join up every component.
+
+    Pairs of different texts in a component that its hubs have already joined are not looked up: the links span components, they are not all pairs."""
     docs = shared.text_of(docs)
     summary = shared.materialize(summarize(docs, bits))
     counts = frequencies(summary, bits)
-    sizes = summary.filter("part is null").select("doc_id", "n", "one", "two")
+    sizes = shared.materialize(summary.filter("part is null").select("doc_id", "n", "one", "two"), summary)
     with_id = sizes.filter("doc_id is not null and n > 0")
-    copied = shared.small(shared.materialize(with_id.groupBy("n", "one", "two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).filter("a < most").drop("most")))
-    members = shared.materialize(with_id.join(copied, ["n", "one", "two"]).select("a", F.col("doc_id").alias("b")).filter("a != b").distinct())
+    copied = shared.materialize(with_id.groupBy("n", "one", "two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).filter("a < most").drop("most"))
+    members = shared.materialize(with_id.join(shared.small(copied), ["n", "one", "two"]).select("a", F.col("doc_id").alias("b")).filter("a != b").distinct(), copied)
     versions = shared.materialize(with_id.select("doc_id", "n", "one", "two").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id"))  # ids of several texts stay
-    copies = shared.materialize(members.select(F.col("b").alias("doc_id")).join(versions, "doc_id", "left_anti"))
+    copies = shared.materialize(members.select(F.col("b").alias("doc_id")).join(versions, "doc_id", "left_anti"), versions)
     own = docs.filter("doc_id is not null").join(shared.small(copies), "doc_id", "left_anti")
 
     rows = shared.materialize(prefixes(own, counts, bits))
     often = shared.materialize(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    common = shared.materialize(rows.join(often.hint("shuffle_hash"), "token"))
-    shared.discard(rows)
+    common = shared.materialize(rows.join(often.hint("shuffle_hash"), "token"), rows, often, copies)
     per_doc = shared.materialize(common.groupBy("doc").agg((F.sum(F.log2("df")) / F.max("n")).alias("centre"), F.count("*").alias("m")))
-    held = shared.materialize(common.join(per_doc, "doc").drop("df"))
+    held = shared.materialize(common.join(per_doc, "doc").drop("df"), common, per_doc)
     hub = F.max(F.struct("centre", (-F.col("doc")).alias("least"), "n", "l", "m")).alias("hub")
     hubs = shared.materialize(held.groupBy("token").agg(hub).select("token", (-F.col("hub.least")).alias("a"), F.col("hub.n").alias("na"), F.col("hub.l").alias("la"), F.col("hub.m").alias("ma")))
     side = held.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("m").alias("mb"))
     na, nb, la, lb, ma, mb = (F.col(c) for c in ("na", "nb", "la", "lb", "ma", "mb"))
     may = _sizes_fit(na, nb) & (F.least(ma, mb) >= matches_needed(na, la, nb, lb))
-    first = _counted(side.join(hubs, "token").filter((F.col("a") != F.col("b")) & may))
-    links = verify(shared.materialize(first), docs)
+    first = shared.materialize(_counted(side.join(hubs, "token").filter((F.col("a") != F.col("b")) & may)), hubs)
+    links = verify(first, docs)
 
     # What the hubs left apart.
-    links = shared.materialize(links.unionByName(verify(shared.materialize(_apart(held, links)), docs)))
-    for t in (common, held):
-        shared.discard(t)
-    return sizes.select("doc_id", "n"), members.unionByName(links)
+    apart = _apart(held, links)
+    shared.discard(first, held)
+    links = shared.materialize(links.unionByName(verify(apart, docs)), links, apart)
+    out = sizes.select("doc_id", "n")
+    out._stored_at = sizes._stored_at
+    return out, shared.materialize(members.unionByName(links), members, links)
 
 
 def join(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
@@ -261,7 +257,9 @@ def join(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
 
 def keep_first(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     """The document of least id of each component, and all without words or id; docs' own columns."""
-    extra = shared.materialize(join(docs, bits).filter("component_id != doc_id").select("doc_id").distinct())
+    sizes, links = link(docs, bits)
+    found = components(links)
+    extra = shared.materialize(found.filter("component != node").select(F.col("node").alias("doc_id")), found, links, sizes)
     return docs.join(shared.small(extra), "doc_id", "left_anti").select(*docs.columns)
 
 
