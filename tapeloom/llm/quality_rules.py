@@ -2,12 +2,16 @@
 
 Per document, measures of its whole text; per (lang, source), a mergeable quantile sketch of each
 measure (log-spaced bins with counts, as in DDSketch: merging is addition, so it is exact about
-merging, independent of order and recomputable); from the sketches, Tukey fences that replace fixed
-cutoffs. Groups with fewer than ``MIN_ROWS`` documents use the merged sketch of their language, and
-below that of all documents. Documents beyond a fence, or failing the base rule, are rejected.
+merging, independent of order and recomputable); from the sketches, fences that replace fixed
+cutoffs. Sketches are of the texts that pass the base rule; fences are taken from those that have a trait at all, as most have no repeated line or
+symbol: a fence stands ``FENCE`` times as far from their median as the 95th percentile, and never within
+the 99th (so at most one in a hundred of the texts with a trait falls by it). No constant is added to what the sketches say. A group's quantiles are
+drawn towards those of its language, and these towards all texts', with the weight of ``PRIOR`` texts,
+at every size alike. Documents beyond a fence, or failing the base rule, are rejected.
 
 Cases: null or empty texts have no words and fail the base rule; null lang or source is a group of
-its own; repeated rows are judged alike; extra columns are kept by ``keep_good``.
+its own; a measure that no text has sets no fence; repeated rows are judged alike; extra columns are
+kept by ``keep_good``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,20 +26,15 @@ from pyspark.sql import types as T
 
 from tapeloom.llm import shared
 
-MIN_ROWS = 200
 #: Relative width of a sketch's bins.
 GAMMA = 1.02
-#: Interquartile ranges beyond the quartiles at which a fence stands, and the least distance of each fence from its quartile.
-FENCE = 4.0
-#: measure -> least distance of the fence from the quartile; (low too) for two-sided ones.
-MEASURES = {
-    "mean_word": (1.2, True),
-    "symbol_ratio": (0.10, False),
-    "dup_line_ratio": (0.30, False),
-    "repeat_ratio": (0.30, False),
-    "upper_ratio": (0.15, False),
-    "mark_ratio": (0.60, False),
-}
+#: The fence's distance from the median in distances of the 95th percentile (3.3 standard deviations for normal measures at 2).
+FENCE = 2.0
+#: Texts of the wider group that a group's quantiles are mixed with.
+PRIOR = 50
+#: measure -> whether it has a fence below, too.
+MEASURES = {"mean_word": True, "symbol_ratio": False, "dup_line_ratio": False, "repeat_ratio": False, "upper_ratio": False, "mark_ratio": False}
+_SHARES = {"b01": 0.01, "b05": 0.05, "b50": 0.5, "b95": 0.95, "b99": 0.99}
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 _TYPE = T.StructType([T.StructField(n, T.LongType()) for n in NAMES])
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -108,48 +107,48 @@ def base_failed() -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Quantile sketches: (level, lang, source, measure, bin, n). Levels 2: lang and source, 1: lang, 0: all."""
-    stacked = measured.filter(F.col("m.n_words") > 0).select(
-        "lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.cast("double").alias("v")) for k, v in ratios().items()))).alias("x")
-    )
-    bin_ = F.when(F.col("x.v") < 1e-4, F.lit(-10_000)).otherwise(F.ceil(F.log(F.col("x.v")) / math.log(GAMMA)).cast("int"))
-    own = stacked.groupBy("lang", "source", F.col("x.measure").alias("measure"), bin_.alias("bin")).agg(F.count("*").alias("n"))
-    return own
-
-
-def merged(own: DataFrame) -> DataFrame:
-    """The sketches of all three levels: those of a language, and of all, are sums of bins."""
-    levels = [own.withColumn("level", F.lit(2))]
-    levels.append(own.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("source"), "measure", "bin", "n", F.lit(1).alias("level")))
-    levels.append(own.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "measure", "bin", "n", F.lit(0).alias("level")))
-    return levels[0].unionByName(levels[1]).unionByName(levels[2])
-
-
-def thresholds(own: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per (lang, source): the low and high fence of each measure."""
-    group = ["level", "lang", "source", "measure"]
-    all_levels = merged(own)
-    run = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*group)
-    at = all_levels.withColumn("upto", F.sum("n").over(run)).withColumn("rows", F.sum("n").over(total))
-    value = F.when(F.col("bin") == -10_000, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")) * (2 / (1 + GAMMA)))
-    quartiles = at.groupBy(*group).agg(
-        F.max("rows").alias("rows"),
-        *(F.min(F.when(F.col("upto") >= q * F.col("rows"), value)).alias(name) for name, q in (("q1", 0.25), ("q3", 0.75))),
-    )
-    least = F.create_map(*(x for k, (v, _) in MEASURES.items() for x in (F.lit(k), F.lit(v))))
-    low_too = F.col("measure").isin([k for k, (_, both) in MEASURES.items() if both])
-    reach = F.greatest(fence * (F.col("q3") - F.col("q1")), least[F.col("measure")])
-    fences = quartiles.select(*group, "rows", F.when(low_too, F.col("q1") - reach).otherwise(F.lit(-1.0)).alias("low"), (F.col("q3") + reach).alias("high"))
-    wide = fences.groupBy("level", "lang", "source").agg(
-        F.max("rows").alias("rows"), *(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}") for k in MEASURES for side in ("low", "high"))
-    )
-    key = lambda n, *names: F.to_json(F.struct(F.lit(n).alias("level"), *names)).alias("key")
-    by_key = wide.select(F.to_json(F.struct("level", "lang", "source")).alias("key"), "level", F.struct("rows", *(f"{side}_{k}" for k in MEASURES for side in ("low", "high"))).alias("fences"))
-    groups = own.select("lang", "source").distinct()
-    tried = groups.select("lang", "source", F.explode(F.array(key(2, "lang", "source"), key(1, "lang"), key(0))).alias("key"))
-    usable = F.when((F.col("fences.rows") >= min_rows) | (F.col("level") == 0), F.col("level"))
-    return tried.join(by_key, "key").groupBy("lang", "source").agg(F.max_by("fences", usable).alias("fences"))
+    """Quantile sketches (lang, source, measure, bin, n): texts in bin have a measure of at most GAMMA**bin and more than GAMMA**(bin - 1).
+
+    A row with no measure stands for each group, also where no text has any trait."""
+    traits = [F.struct(F.lit(k).alias("measure"), v.cast("double").alias("v")) for k, v in ratios().items()]
+    stacked = measured.filter(~base_failed()).select("lang", "source", F.explode(F.array(F.struct(F.lit(None).cast("string").alias("measure"), F.lit(1.0).alias("v")), *traits)).alias("x"))
+    stacked = stacked.filter("x.v > 0").select("lang", "source", "x.measure", F.ceil(F.log("x.v") / math.log(GAMMA) - 1e-9).cast("int").alias("bin"))
+    return stacked.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
+
+
+def quantiles(own: DataFrame, *by: str) -> DataFrame:
+    """Per group: key (of ``by`` and measure), rows and the quantiles (upper ends of their bins); the sketches of wider groups are sums of bins."""
+    merged = own.filter("measure is not null").groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by, "measure")
+    upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    at = merged.withColumns({"upto": upto, "rows": F.sum("n").over(group)})
+    first = (F.min(F.when(F.col("upto") >= q * F.col("rows"), F.pow(F.lit(GAMMA), F.col("bin")))).alias(b) for b, q in _SHARES.items())
+    out = at.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), *first)
+    return out.select(_key(*by), F.struct("rows", *_SHARES).alias("_".join(("q", *by))))
+
+
+def _key(*by: str) -> Column:
+    return F.to_json(F.struct(*by, "measure"), {"ignoreNullFields": "false"}).alias("_".join(("key", *by)))
+
+
+def thresholds(own: DataFrame, fence: float = FENCE, prior: float = PRIOR) -> DataFrame:
+    """One row per (lang, source): fences, a struct of the low and high fence of each measure (null: none)."""
+    levels = [("lang", "source"), ("lang",), ()]
+    rows = own.select("lang", "source").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
+    rows = rows.select("*", *(_key(*by) for by in levels))
+    for by in levels:
+        rows = rows.join(quantiles(own, *by), "_".join(("key", *by)), "left")
+    b = {}
+    for name in _SHARES:
+        mixed = F.col("q")[name]
+        for q in (F.col("q_lang"), F.col("q_lang_source")):
+            mixed = F.coalesce((q["rows"] * q[name] + prior * mixed) / (q["rows"] + prior), mixed)
+        b[name] = mixed
+    high = F.greatest(b["b50"] + fence * (b["b95"] - b["b50"]), b["b99"]) * (1 + 1e-9)
+    low = F.least(b["b50"] - fence * (b["b50"] - b["b05"]), b["b01"]) / (GAMMA * (1 + 1e-9))
+    found = rows.select("lang", "source", "measure", F.when(F.col("measure").isin([k for k, both in MEASURES.items() if both]), low).alias("low"), high.alias("high"))
+    wide = found.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}") for k in MEASURES for side in ("low", "high")))
+    return wide.select("lang", "source", F.struct(*(f"{side}_{k}" for k in MEASURES for side in ("low", "high"))).alias("fences"))
 
 
 def verdict(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -158,7 +157,7 @@ def verdict(measured: DataFrame, limits: DataFrame) -> DataFrame:
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     within = F.lit(True)
     for k, v in ratios().items():
-        within = within & v.between(F.col(f"fences.low_{k}"), F.col(f"fences.high_{k}"))
+        within = within & F.coalesce(v >= F.col(f"fences.low_{k}"), F.lit(True)) & F.coalesce(v <= F.col(f"fences.high_{k}"), F.lit(True))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("_lang", "_source", "fences")
 
 
