@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield shared.arrow(doc_id=batch.column(0), score=p)
 
     out = shared.text_of(docs).mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", (shared.id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(shared.id_crc() % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

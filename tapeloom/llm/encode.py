@@ -164,10 +164,15 @@ class Encoder:
         if whole.any():
             at_whole = np.flatnonzero(whole)
             ids, many = self._one_by_one([data[bounds[d] : bounds[d + 1]].decode() for d in at_whole])
-            place = self._keep(ids) + np.cumsum(many) - many
+            place = len(self.pool) + np.cumsum(many) - many  # behind the pool, for this chunk alone
             at, length = np.insert(at, offsets[at_whole], place), np.insert(length, offsets[at_whole], many)
             offsets = offsets + np.concatenate(([0], np.cumsum(whole)))
-        out = self.pool[gather(at, length)]
+        from_ = gather(at, length)
+        out = np.empty(len(from_), self.dtype)
+        kept = from_ < len(self.pool)
+        out[kept] = self.pool[from_[kept]]
+        if whole.any():
+            out[~kept] = ids[from_[~kept] - len(self.pool)]
         if self.n == n_known:
             self.filled = filled  # nothing learnt is kept
         return out, np.concatenate(([0], np.cumsum(length)))[offsets]

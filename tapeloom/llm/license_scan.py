@@ -27,24 +27,71 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Templates by label. Wording of widely used public licenses.
+_HELD = "<<optional>>copyright <<optional>>c<<end>> <<any 20>><<end>>"
+_AS_IS = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright <<optional>>holder<<end>> <<optional>>owner<<end>> <<optional>>holders<<end>> or contributors be liable for any direct "
+    "indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+    "business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out "
+    "of the use of this software even if advised of the possibility of such damage"
+)
+_TWO = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 1>> redistributions of source code "
+    "must retain the above copyright notice this list of conditions and the following disclaimer <<any 1>> redistributions in binary form must reproduce the above copyright notice this list "
+    "of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_GNU = (
+    "<<any 6>> is free software you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation "
+    "either version <<any 2>> of the license or at your option any later version"
+)
+#: Templates by label: wording of widely used public licenses, whole texts and the notices that stand in files.
 TEMPLATES = {
     "mit": [
         "<<optional>>released<<end>> <<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> <<optional>>expat<<end>> mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "<<optional>>the mit license <<optional>>mit<<end>><<end>> " + _HELD + " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
+        "in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
+        "permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> "
+        "shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited "
+        "to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or "
+        "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ],
     "apache-2": [
         "<<optional>>licensed under<<end>> <<optional>>the<<end>> apache license version 2 <<optional>>0<<end>>",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+        "warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ],
-    "cc-by-nc": ["<<optional>>licensed under<<end>> <<optional>>the<<end>> cc by nc <<optional>>sa<<end>> <<optional>>nd<<end>> <<optional>><<any 2>><<end>>"],
-    "cc-by": ["licensed under <<optional>>the<<end>> <<optional>>creative commons attribution<<end>> cc by <<optional>>4 0<<end>> <<optional>>international<<end>> license"],
+    "cc-by-nc": ["<<optional>>licensed under<<end>> <<optional>>the<<end>> cc by nc <<optional>>sa<<end>> <<optional>>nd<<end>> <<optional>><<any 2>><<end>>", "creative commons attribution non commercial <<optional>>share alike<<end>> <<optional>>no derivatives<<end>> <<optional>><<any 3>><<end>> license"],
+    "cc-by": ["licensed under <<optional>>the<<end>> <<optional>>creative commons attribution<<end>> cc by <<optional>>4 0<<end>> <<optional>>international<<end>> license", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution <<optional>><<any 3>><<end>> license"],
+    "cc-by-sa": ["licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution sharealike <<optional>><<any 3>><<end>> license", "licensed under <<optional>>the<<end>> cc by sa"],
+    "cc0": ["the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "<<optional>>under<<end>> <<optional>>the<<end>> cc0 1 0 universal"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
     "gpl": [
         "licensed under the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license <<optional>>version <<any 2>><<end>>",
         "under the terms of the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license as published by the free software foundation",
+        _GNU.format("") + " <<any 6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
+        "gnu general public license for more details",
     ],
+    "lgpl": ["licensed under the gnu lesser general public license <<optional>>version <<any 2>><<end>>", _GNU.format("lesser")],
+    "agpl": ["licensed under the gnu affero general public license <<optional>>version <<any 2>><<end>>", _GNU.format("affero")],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http <<optional>>s<<end>> <<optional>>www<<end>> mozilla org mpl 2 0"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "bsd-2": [_TWO + " " + _AS_IS],
+    "bsd-3": [
+        _TWO + " <<any 1>> neither the name of <<any 12>> nor the names of <<optional>>its<<end>> <<optional>>any<<end>> contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _AS_IS
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        _HELD + " permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this "
+        "software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+    ],
+    "bsl-1": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
     "all-rights-reserved": ["copyright <<optional>>c<<end>> <<any 8>> all rights reserved"],
 }
 _MARK = re.compile(r"<<optional>>|<<end>>|<<any (\d+)>>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -130,9 +177,11 @@ def scan_text(raw: bytes) -> tuple:
     places, base = [], set()
     for phrase, label in PHRASES.items():
         wanted = b" " + phrase.encode() + b" "
-        at = line.find(wanted)
+        at, since, word = line.find(wanted), 0, 0
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            word += line.count(b" ", since, at)
+            since = at
+            places.append(word)
             base.add(label)
             at = line.find(wanted, at + 1)
     labels, score, spans = set(base), 0.0, []

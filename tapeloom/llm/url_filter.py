@@ -91,7 +91,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     # a rule's verdict on URLs that only appear as targets counts too
     other = edges.select(F.col("b").alias("node")).distinct().withColumn("url", F.concat(F.lit("x://"), F.col("node")))
     other = other.select("node", by_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("v")).filter("v is not null")
-    blocked = seeds.unionByName(other).join(member, "node", "left").groupBy(part.alias("component")).agg(F.max(F.col("v") == "block").alias("block"), F.max(F.col("v") == "allow").alias("allow"))
+    # a page alone in its component has its own rule's verdict already
+    blocked = seeds.unionByName(other).join(member, "node").groupBy("component").agg(F.max(F.col("v") == "block").alias("block"), F.max(F.col("v") == "allow").alias("allow"))
     blocked = shared.small(shared.materialize(blocked.filter("block and not allow").select("component", F.lit("block").alias("alias"))))
     out = seen.join(member, "node", "left").withColumn("component", part).join(blocked, "component", "left")
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "alias", F.lit("allow")).alias("verdict"), "component")
