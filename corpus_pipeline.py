@@ -51,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = shared.materialize(stage(spark, docs, sf_dir))
+        docs = shared.materialize(stage(spark, docs, sf_dir), docs)  # docs: only what a stage has written
     return STAGES[-1][1](spark, docs, sf_dir)
