@@ -41,7 +41,7 @@ _TWO = (
     "of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 )
 _GNU = (
-    "<<any 6>> is free software you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation "
+    "is free software you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation "
     "either version <<any 2>> of the license or at your option any later version"
 )
 #: Templates by label: wording of widely used public licenses, whole texts and the notices that stand in files.
@@ -130,6 +130,8 @@ class Automaton:
         #: The longest mandatory word: a text without it can't be accepted.
         self.anchor = max(anchored or words, key=lambda w: (len(w), w))
         self.first = {w for s in self._closed({0}) for w, _ in self.step[s]}
+        if ANY in self.first:
+            raise ValueError("a template begins with a word of its own, not with replaceable ones")
 
     def _word(self, word: bytes, mandatory: int) -> int:
         self.step[-1].append((word, len(self.step)))
