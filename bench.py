@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from tapeloom.jobs import registry
 
-NAMES = ["B6_densify_panel", "D2_zscore", "D8_target_trace", "E8_resolve_limit_stop_orders", "F1_running_positions", "F5_mark_to_market", "G12_exit_rule_sweep", "H3_trade_stats_by", "H6_enrich_trades_with_signals", "I7_run_metrics", "J2_check_limits", "C10_resample_to_bars"]
+NAMES = ["B6_densify_panel", "D2_zscore", "D8_target_trace", "E8_resolve_limit_stop_orders", "F1_running_positions", "F5_mark_to_market", "G12_exit_rule_sweep", "H3_trade_stats_by", "H6_enrich_trades_with_signals", "I7_run_metrics", "J2_check_limits", "C10_resample_to_bars", "W1_research_run"]
 
 
 def main() -> None:

@@ -38,6 +38,9 @@ def research_run(bars: DataFrame, scores: DataFrame, top: int, bottom: int, slip
         F.lit(run_id).alias("run_id"), order_id.alias("order_id"), "asset", F.col("fill_time").alias("timestamp"), "side", F.col("filled").alias("quantity"),
         F.col("fill_price").alias("price"), "commission", F.abs(F.col("fill_price") - F.col("base_price")).alias("slippage"),
     )
+    at = results.scratch(bars.sparkSession)  # read by trades, equity and costs: written once
+    fills.write.parquet(at)
+    fills = bars.sparkSession.read.schema(fills.schema).parquet(at)
     folded = ledger.fills_to_trades(fills)
     left = ledger.open_trades(folded, bars)
     columns = ["run_id", "asset", "episode", "entry_time", "exit_time", "entry_price", "exit_price", "quantity", "pnl", "partial_pnl", "fees", "exit_reason", "status"]
