@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI below spark.checkpoint.dir; where that is unset, of a local temporary folder if Spark runs in one process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _local[spark.sparkContext.applicationId] = base
@@ -159,13 +159,18 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = SPACE)
 def word_hashes(raw: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased if fold), and the offsets of each text's words."""
     starts, ends, offsets = word_spans(raw, bounds, breaks)
+    return span_hashes(raw, starts, ends, fold), offsets
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of the bytes starts..ends of each span (A-Z lower-cased if fold)."""
     if not len(starts):
-        return np.zeros(0, np.uint64), offsets
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((_FOLDED if fold else _BYTE)[raw] * _power(_MULT, len(raw)), out=sums[1:])
         h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), offsets
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
