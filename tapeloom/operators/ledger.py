@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapeloom.operators.joins import asof_join, blocked_sum, interval_join
+from tapeloom.operators import towers
+from tapeloom.operators.joins import asof_join, blocked_sum
 
 FILL_ORDER = ("timestamp", "order_id", "price")
 
@@ -123,16 +124,16 @@ def bars_held(trades: DataFrame, stamps: DataFrame) -> DataFrame:
 
 
 def mfe_mae(trades: DataFrame, bars: DataFrame, seconds: int, extremes: bool = False) -> DataFrame:
-    """Best and worst direction-aware return over bars from entry to before exit; the entry bar by its close."""
-    seen = interval_join(trades.select("trade_id", "asset", "entry_time", "exit_time", "entry_price", "quantity"), bars.select("asset", "timestamp", "high", "low", "close"), ["asset"], "entry_time", "exit_time", "timestamp", seconds).filter("timestamp < exit_time")
-    at_entry = F.col("timestamp") == F.col("entry_time")
-    high = F.when(at_entry, F.col("close")).otherwise(F.col("high")) if extremes else F.col("close")
-    low = F.when(at_entry, F.col("close")).otherwise(F.col("low")) if extremes else F.col("close")
+    """Best and worst direction-aware return over bars from entry to before exit; the entry bar by its close.
+
+    Range extremes from a tower of blocks: a trade meets a few rows however long it is held."""
+    there = towers.tower(bars, seconds, *(("high", "low") if extremes else ("close", "close")))
+    spans = trades.select("trade_id", "asset", F.col("entry_time").alias("start"), (F.col("exit_time") - F.expr("interval 1 microsecond")).alias("end"))
+    found = towers.range_extremes(spans, there, seconds, "trade_id", "close")
     side = F.signum("quantity")
-    ends = [side * (x / F.col("entry_price") - 1) for x in (high, low)]
-    found = seen.groupBy("trade_id").agg(F.max(F.greatest(*ends)).alias("best"), F.min(F.least(*ends)).alias("worst"))
+    ends = [side * (F.col(x) / F.col("entry_price") - 1) for x in ("highest", "lowest")]
     out = trades.join(found, "trade_id", "left")
-    return out.withColumns({"mfe": F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)), "mae": F.least(F.coalesce("worst", F.lit(0.0)), F.lit(0.0))}).drop("best", "worst")
+    return out.withColumns({"mfe": F.greatest(*ends, F.lit(0.0)), "mae": F.least(*ends, F.lit(0.0))}).drop("highest", "lowest")
 
 
 def settlement_holds(proceeds: DataFrame, delay: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapeloom.functions import costs
+from tapeloom.operators import towers
 from tapeloom.operators.joins import interval_join
 
 
@@ -51,25 +52,21 @@ def partial_fill_schedule(orders: DataFrame, bars: DataFrame, rate: float, secon
 
 
 def resolve_limit_stop_orders(orders: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
-    """First bar of start..end that fills each order (kind limit or stop, level): time and price."""
-    seen = interval_join(orders, bars.select("asset", "timestamp", "open", "high", "low"), ["asset"], "start", "end", "timestamp", seconds)
-    buy, level = F.col("side") == "buy", F.col("level")
-    limit = (F.col("kind") == "limit") & F.when(buy, F.col("low") <= level).otherwise(F.col("high") >= level)
-    stop = (F.col("kind") == "stop") & F.when(buy, F.col("high") >= level).otherwise(F.col("low") <= level)
-    price = F.when(F.col("kind") == "limit", level).when(buy, F.greatest("open", level)).otherwise(F.least("open", level))
-    hits = seen.filter(limit | stop).groupBy("order_id").agg(F.min("timestamp").alias("fill_time"), F.min_by(price, "timestamp").alias("fill_price"))
-    return orders.join(hits, "order_id")
+    """First bar of start..end that fills each order (kind limit or stop, level): time and price.
+
+    A search over block extremes (``towers``): an order meets a few rows however long it lives."""
+    buy, limit, level = F.col("side") == "buy", F.col("kind") == "limit", F.col("level")
+    hits = towers.first_touch(orders.withColumn("up", buy != limit), towers.tower(bars, seconds), seconds)
+    price = F.when(limit, level).when(buy, F.greatest("_open", level)).otherwise(F.least("_open", level))
+    return orders.join(hits.select("order_id", F.col("time").alias("fill_time"), F.col("open").alias("_open")), "order_id").withColumn("fill_price", price).drop("_open")
 
 
 def resolve_trailing_stop_orders(orders: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
     """SELL stops trail the highest high, BUY stops the lowest low, this bar's included; gaps fill at the open."""
-    seen = interval_join(orders, bars.select("asset", "timestamp", "open", "high", "low"), ["asset"], "start", "end", "timestamp", seconds)
-    run = W.partitionBy("order_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
     sell = F.col("side") == "sell"
-    seen = seen.withColumn("stop", F.when(sell, F.max(F.col("high") - F.col("trail")).over(run)).otherwise(F.min(F.col("low") + F.col("trail")).over(run)))
-    hit = F.when(sell, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
-    price = F.when(sell, F.least("open", "stop")).otherwise(F.greatest("open", "stop"))
-    return seen.filter(hit).groupBy("order_id").agg(F.min("timestamp").alias("fill_time"), F.min_by(price, "timestamp").alias("fill_price"))
+    hits = towers.trailing_touch(orders.withColumn("sell", sell), towers.tower(bars, seconds), seconds)
+    found = orders.select("order_id", sell.alias("_sell")).join(hits, "order_id")
+    return found.select("order_id", F.col("time").alias("fill_time"), F.when(F.col("_sell"), F.least("open", "stop")).otherwise(F.greatest("open", "stop")).alias("fill_price"))
 
 
 def resolve_brackets(entries: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
