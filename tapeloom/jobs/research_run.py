@@ -6,11 +6,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tapeloom.functions import costs
 from tapeloom.jobs import panel_queries, trading_queries
 from tapeloom.operators import equity, ledger, orders, panel, signals
+from tapeloom.operators.joins import MONTH, asof_join
 from tapeloom.sources import results
 from tapeloom.sources import views as v
 
@@ -22,30 +22,30 @@ register = partial(panel_queries.register, queries=QUERIES, oracles=SQL)
 def research_run(bars: DataFrame, scores: DataFrame, top: int, bottom: int, slippage: float, commission: float, initial: float, run_id: str = "run", path: str | None = None) -> dict[str, DataFrame]:
     """fills, trades, equity and metrics of holding the best ``top`` assets long and the worst ``bottom`` short, by last known score.
 
-    A change of target is filled at the asset's next bar's open. Shuffles: by asset (grid, scores, next bars), by timestamp (ranks),
-    by asset (changes, positions, marks), and sums by timestamp. With a path the tables are written there."""
-    filled = panel.densify_panel(scores, "score")
-    ranked = signals.canonical_target_shares(filled, top, bottom)
-    ahead = W.partitionBy("asset").orderBy("timestamp").rowsBetween(1, W.unboundedFollowing)
-    there = ranked.join(bars.select("asset", "timestamp", "open", F.col("timestamp").alias("at")), ["asset", "timestamp"], "left")
-    there = there.withColumns({"base_price": F.first("open", ignorenulls=True).over(ahead), "fill_time": F.first("at", ignorenulls=True).over(ahead)})
-    before = F.lag("target", 1, 0.0).over(W.partitionBy("asset").orderBy("timestamp"))
-    changes = there.withColumn("delta", F.col("target") - before).filter("delta != 0 and base_price is not null")
-    todo = changes.withColumns({"side": F.when(F.col("delta") > 0, "buy").otherwise("sell"), "quantity": F.abs("delta")})
+    A change of target is filled at the asset's next bar's open. Fills, trades and the curve are written once, to ``path`` or else to a scratch
+    folder, and read back by what needs them; the metrics are computed from the files, and with a path written there, too."""
+    spark, at = bars.sparkSession, path or results.scratch(bars.sparkSession)
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    ranked = signals.canonical_target_shares(panel.densify_panel(scores, "score"), top, bottom)
+    changes = signals.target_trace(ranked).select("asset", "timestamp", "delta")
+    ahead = asof_join(changes, bars.select("asset", "timestamp", "open", F.col("timestamp").alias("at")).filter("open is not null"), ["asset"], "timestamp", "timestamp", ["open", "at"], seconds=12 * MONTH, ahead=True, strict=True)
+    todo = ahead.filter("open is not null").withColumnsRenamed({"open": "base_price", "at": "fill_time"})
+    todo = todo.withColumns({"side": F.when(F.col("delta") > 0, "buy").otherwise("sell"), "quantity": F.abs("delta")})
     priced = orders.price_fills(todo, slippage=lambda q, p: costs.slippage_percent(q, p, slippage), commission=lambda q, p: costs.commission_percent(q, p, commission))
     order_id = F.concat_ws("-", "asset", F.date_format("timestamp", "yyyyMMddHHmmss"))
-    fills = priced.select(
+    fills = stored("fills", priced.select(
         F.lit(run_id).alias("run_id"), order_id.alias("order_id"), "asset", F.col("fill_time").alias("timestamp"), "side", F.col("filled").alias("quantity"),
         F.col("fill_price").alias("price"), "commission", F.abs(F.col("fill_price") - F.col("base_price")).alias("slippage"),
-    )
-    at = results.scratch(bars.sparkSession)  # read by trades, equity and costs: written once
-    fills.write.parquet(at)
-    fills = bars.sparkSession.read.schema(fills.schema).parquet(at)
+    ))
     folded = ledger.fills_to_trades(fills)
     left = ledger.open_trades(folded, bars)
     columns = ["run_id", "asset", "episode", "entry_time", "exit_time", "entry_price", "exit_price", "quantity", "pnl", "partial_pnl", "fees", "exit_reason", "status"]
-    trades = folded.filter("not is_open").withColumns({"exit_reason": F.lit("signal"), "status": F.lit("closed")}).select(columns).unionByName(left.select(columns))
-    curve = ledger.mark_to_market(fills, bars, initial)
+    trades = stored("trades", folded.filter("not is_open").withColumns({"exit_reason": F.lit("signal"), "status": F.lit("closed")}).select(columns).unionByName(left.select(columns)))
+    curve = stored("equity", ledger.mark_to_market(fills, bars, initial))
     closed = F.col("status") == "closed"
     counts = trades.groupBy("run_id").agg(
         F.count_if(closed).alias("num_trades"), F.count_if(~closed).alias("num_open"), F.sum(F.when(closed, F.col("pnl"))).alias("closed_pnl"), F.sum(F.col("pnl") + F.col("partial_pnl")).alias("total_pnl"),
@@ -55,7 +55,7 @@ def research_run(bars: DataFrame, scores: DataFrame, top: int, bottom: int, slip
     metrics = equity.equity_metrics(curve).join(counts, "run_id").join(spent, "run_id")
     out = {"fills": fills, "trades": trades, "equity": curve, "metrics": metrics}
     if path:
-        results.write_result(out, path)
+        results.write_result(out, path, ["metrics"])
     return out
 
 

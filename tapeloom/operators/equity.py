@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tapeloom.operators.joins import MONTH, bucket
 from tapeloom.operators.sessions import session_pnl
 
 
@@ -13,11 +14,11 @@ YEAR_S = 365.25 * 86400
 INF = float("inf")
 
 
-def equity_frame(curve: DataFrame) -> DataFrame:
-    """Returns, high-water mark and drawdown along each run's curve, block by block (months): no curve is one task.
+def equity_frame(curve: DataFrame, seconds: int = MONTH) -> DataFrame:
+    """Returns, high-water mark and drawdown along each run's curve, block by block (buckets of ``seconds``): no curve is one task.
 
     A block starts from what the blocks before it leave: the last equity, the first of all and the greatest."""
-    blocks = curve.withColumn("_block", F.date_trunc("month", "timestamp"))
+    blocks = curve.withColumn("_block", bucket(F.col("timestamp"), seconds))
     ends = blocks.groupBy("run_id", "_block").agg(F.min_by("equity", "timestamp").alias("_first"), F.max_by("equity", "timestamp").alias("_last"), F.max("equity").alias("_most"), F.count("*").alias("_n"))
     over = W.partitionBy("run_id").orderBy("_block")
     earlier = over.rowsBetween(W.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapeloom.operators import towers
-from tapeloom.operators.joins import asof_join, blocked_sum
+from tapeloom.operators.joins import MONTH, asof_join, blocked_sum, bucket
 
 FILL_ORDER = ("timestamp", "order_id", "price")
 
@@ -85,26 +85,26 @@ def fills_to_trades(fills: DataFrame) -> DataFrame:
     )
 
 
-def cash_ledger(changes: DataFrame, initial: float) -> DataFrame:
-    """Cash of each run after each timestamp; runs are summed month by month, so none is one task."""
+def cash_ledger(changes: DataFrame, initial: float, seconds: int = MONTH) -> DataFrame:
+    """Cash of each run after each timestamp; runs are summed in time buckets, so none is one task."""
     per_time = changes.groupBy("run_id", "timestamp").agg(F.sum("cash_change").alias("change"))
-    return blocked_sum(per_time, ["run_id"], F.date_trunc("month", "timestamp"), ["timestamp"], "change", "cash").withColumn("cash", F.col("cash") + initial)
+    return blocked_sum(per_time, ["run_id"], bucket(F.col("timestamp"), seconds), ["timestamp"], "change", "cash").withColumn("cash", F.col("cash") + initial)
 
 
-def mark_to_market(fills: DataFrame, bars: DataFrame, initial: float) -> DataFrame:
-    """Equity of each run at each bar time: cash and positions at the last price seen."""
+def mark_to_market(fills: DataFrame, bars: DataFrame, initial: float, seconds: int = 3 * MONTH) -> DataFrame:
+    """Equity of each run at each bar time: cash and positions at the last price seen. Assets and runs are split by time buckets."""
     ran = running_positions(fills)
     held = ran.groupBy("run_id", "asset", "timestamp").agg(F.max_by("position", F.struct("order_id", "price")).alias("position"))
     owned = ran.select("run_id", "asset").distinct()
     priced = owned.join(bars.select("asset", "timestamp", "close"), "asset")
-    marked = asof_join(priced, held, ["run_id", "asset"], "timestamp", "timestamp", ["position"])
+    marked = asof_join(priced, held, ["run_id", "asset"], "timestamp", "timestamp", ["position"], seconds=seconds)
     # an asset without a bar keeps its last value: changes of value are summed over time
     value = F.coalesce(F.col("position") * F.col("close"), F.lit(0.0))
     change = marked.withColumn("value", value).withColumn("d", F.col("value") - F.coalesce(F.lag("value").over(W.partitionBy("run_id", "asset").orderBy("timestamp")), F.lit(0.0)))
     per_time = change.groupBy("run_id", "timestamp").agg(F.sum("d").alias("d"))
-    worth = blocked_sum(per_time, ["run_id"], F.date_trunc("month", "timestamp"), ["timestamp"], "d", "worth")
-    cash = cash_ledger(ran.withColumn("cash_change", -F.col("signed") * F.col("price") - F.col("commission")), initial)
-    out = asof_join(worth.select("run_id", "timestamp", "worth"), cash, ["run_id"], "timestamp", "timestamp", ["cash"])
+    worth = blocked_sum(per_time, ["run_id"], bucket(F.col("timestamp"), seconds), ["timestamp"], "d", "worth")
+    cash = cash_ledger(ran.withColumn("cash_change", -F.col("signed") * F.col("price") - F.col("commission")), initial, seconds)
+    out = asof_join(worth.select("run_id", "timestamp", "worth"), cash, ["run_id"], "timestamp", "timestamp", ["cash"], seconds=seconds)
     return out.select("run_id", "timestamp", (F.coalesce("cash", F.lit(initial)) + F.col("worth")).alias("equity"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tapeloom.operators.joins import MONTH, bucket, numbered
+
 #: Entity column names, in the order in which they are looked for.
 ENTITIES = ("symbol", "asset", "product", "ticker")
 KEY = ["timestamp", "asset"]
@@ -50,23 +52,27 @@ def timeline(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         stamps = stamps.union(f.select("timestamp"))
     stamps = stamps.distinct()
-    numbered = stamps.withColumn("bar", F.row_number().over(W.orderBy("timestamp")))  # distinct timestamps only
-    return numbered.withColumn("n_bars", F.max("bar").over(W.partitionBy()))
-
-
-def densify_panel(bars: DataFrame, value: str = "close") -> DataFrame:
-    """Every asset at every timestamp; gaps filled from before, else from behind."""
-    full = _grid(bars).join(bars.select(*KEY, value), KEY, "left")
-    before = W.partitionBy("asset").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
-    behind = W.partitionBy("asset").orderBy("timestamp").rowsBetween(0, W.unboundedFollowing)
-    return full.select(*KEY, F.coalesce(F.last(value, ignorenulls=True).over(before), F.first(value, ignorenulls=True).over(behind)).alias(value))
-
-
-def _grid(bars: DataFrame) -> DataFrame:
-    """(asset, timestamp) of all: each asset with the array of all timestamps."""
-    stamps = bars.agg(F.sort_array(F.collect_set("timestamp")).alias("_all"))  # one row: a calendar's timestamps
-    assets = bars.select("asset").distinct()
-    return assets.crossJoin(F.broadcast(stamps)).select("asset", F.explode("_all").alias("timestamp"))
+    return numbered(stamps, "timestamp")
+
+
+def densify_panel(bars: DataFrame, value: str = "close", seconds: int = MONTH) -> DataFrame:
+    """Every asset at every timestamp; gaps filled from before, else from behind.
+
+    Work goes by (asset, time bucket): a row for each asset and bucket of the calendar brings the bucket's timestamps and the last value before and
+    the first behind it (from the buckets that hold any); gaps inside are filled by two running windows, so work is linear in the panel."""
+    known = bars.select(*KEY, F.col(value).alias("_x")).withColumn("_bucket", bucket(F.col("timestamp"), seconds))
+    stamps = known.groupBy("_bucket").agg(F.collect_set("timestamp").alias("_stamps"))  # a bucket's timestamps
+    ends = known.groupBy("asset", "_bucket").agg(F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col("timestamp"))).alias("_first"), F.max_by("_x", F.when(F.col("_x").isNotNull(), F.col("timestamp"))).alias("_last"))
+    life = known.agg(F.min("_bucket").alias("_a"), F.max("_bucket").alias("_b"))  # one row
+    cells = known.select("asset").distinct().crossJoin(F.broadcast(life)).select("asset", F.explode(F.sequence("_a", "_b")).alias("_bucket"))
+    forward, backward = (W.partitionBy("asset").orderBy(order).rowsBetween(W.unboundedPreceding, -1) for order in (F.asc("_bucket"), F.desc("_bucket")))
+    cells = cells.join(ends, ["asset", "_bucket"], "left").select("asset", "_bucket", F.last("_last", ignorenulls=True).over(forward).alias("_before"), F.last("_first", ignorenulls=True).over(backward).alias("_behind"))
+    grid = cells.join(stamps, "_bucket").select("asset", "_bucket", F.explode("_stamps").alias("timestamp"), F.lit(None).cast(known.schema["_x"].dataType).alias("_x"), "_before", "_behind", F.lit(1).alias("_grid"))
+    rows = grid.unionByName(known.select("asset", "_bucket", "timestamp", "_x", F.lit(0).alias("_grid")), allowMissingColumns=True)
+    here = W.partitionBy("asset", "_bucket")
+    upto, down = (here.orderBy(order, "_grid").rowsBetween(W.unboundedPreceding, 0) for order in (F.asc("timestamp"), F.desc("timestamp")))
+    filled = rows.withColumns({"_f": F.last("_x", ignorenulls=True).over(upto), "_g": F.last("_x", ignorenulls=True).over(down)}).filter("_grid = 1")
+    return filled.select(*KEY, F.coalesce("_f", "_before", "_g", "_behind").alias(value))
 
 
 def last_known_price(bars: DataFrame, policy: str = "use_last") -> DataFrame:

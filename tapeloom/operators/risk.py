@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tapeloom.operators.joins import MONTH, bucket, scanned
+
 
 def in_order():
     return W.partitionBy("run_id").orderBy("timestamp")
 
 
-def portfolio_state(positions: DataFrame, equity: DataFrame, initial: float) -> DataFrame:
-    """Per run and time: marks, drawdown, number of positions, gross and net value, P&L of the day."""
+def portfolio_state(positions: DataFrame, equity: DataFrame, initial: float, seconds: int = MONTH) -> DataFrame:
+    """Per run and time: marks, drawdown, number of positions, gross and net value, P&L of the day. Runs are scanned in time buckets."""
     v = F.col("value")
     sums = positions.groupBy("run_id", "timestamp").agg(F.count_if(v != 0).alias("num_positions"), F.sum(F.abs(v)).alias("gross"), F.sum(v).alias("net"))
     out = equity.join(sums, ["run_id", "timestamp"], "left").fillna(0, ["num_positions", "gross", "net"])
-    run = in_order().rowsBetween(W.unboundedPreceding, 0)
-    hwm = F.greatest(F.max("equity").over(run), F.lit(initial))
-    out = out.withColumn("hwm", hwm).withColumn("drawdown", F.greatest(F.lit(0.0), 1 - F.col("equity") / F.col("hwm")))
+    out = scanned(out, ["run_id"], bucket(F.col("timestamp"), seconds), ["timestamp"], hwm=("max", F.col("equity")), first_day=("first", F.to_date("timestamp")))
+    out = out.withColumn("hwm", F.greatest("hwm", F.lit(initial))).withColumn("drawdown", F.greatest(F.lit(0.0), 1 - F.col("equity") / F.col("hwm")))
     day = W.partitionBy("run_id", F.to_date("timestamp")).orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
-    first_day = F.min(F.to_date("timestamp")).over(W.partitionBy("run_id"))
-    base = F.when(F.to_date("timestamp") == first_day, F.lit(initial)).otherwise(F.first("equity").over(day))
-    return out.withColumn("daily_pnl", F.col("equity") - base)
+    base = F.when(F.to_date("timestamp") == F.col("first_day"), F.lit(initial)).otherwise(F.first("equity").over(day))
+    return out.withColumn("daily_pnl", F.col("equity") - base).drop("first_day")
 
 
 def check_limits(state: DataFrame, drawdown: float, warn: float, positions: int, daily_loss: float, gross: float, net: tuple[float, float]) -> DataFrame:
@@ -76,8 +76,8 @@ def check_sector(positions: DataFrame, equity: DataFrame, sectors: DataFrame, mo
     return out.withColumn("breached", F.col("exposure") > most)
 
 
-def halt_timeline(results: DataFrame) -> DataFrame:
-    """Per time: halted from the first halt on, the latest halting limit, this time's warnings."""
+def halt_timeline(results: DataFrame, seconds: int = MONTH) -> DataFrame:
+    """Per time: halted from the first halt on, the latest halting limit, this time's warnings. Runs are scanned in time buckets."""
     per_time = results.groupBy("run_id", "timestamp").agg(F.max(F.col("action") == "halt").alias("halts"), F.min(F.when(F.col("action") == "halt", F.col("limit"))).alias("reason"), F.count_if(F.col("action") == "warn").alias("warnings"))
-    run = in_order().rowsBetween(W.unboundedPreceding, 0)
-    return per_time.select("run_id", "timestamp", F.max("halts").over(run).alias("halted"), F.last("reason", ignorenulls=True).over(run).alias("halt_reason"), "warnings")
+    out = scanned(per_time, ["run_id"], bucket(F.col("timestamp"), seconds), ["timestamp"], halted=("max", F.col("halts")), halt_reason=("last", F.col("reason")))
+    return out.select("run_id", "timestamp", "halted", "halt_reason", "warnings")

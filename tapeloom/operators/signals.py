@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tapeloom.operators.joins import MONTH, bucket, scanned
+
 
 def by_asset():
     return W.partitionBy("asset").orderBy("timestamp")
@@ -98,13 +100,16 @@ def kelly_fraction(trades: DataFrame, min_trades: int, base: float = 0.1, window
     return stats.withColumn("size", size).drop("_n", "_w", "_win", "_loss")
 
 
-def drawdown_sizing(curve: DataFrame) -> DataFrame:
-    """Scale of sizes by drawdown: 0 from 10 %, falling from 0.5 between 5 and 10 %, else recovering by 0.01 a bar up to 1."""
-    run = W.partitionBy("run_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
-    dd = F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("equity"), F.max("equity").over(run)))
-    out = curve.withColumns({"dd": F.coalesce(dd, F.lit(0.0)), "_i": F.row_number().over(W.partitionBy("run_id").orderBy("timestamp"))})
+def drawdown_sizing(curve: DataFrame, seconds: int = MONTH) -> DataFrame:
+    """Scale of sizes by drawdown: 0 from 10 %, falling from 0.5 between 5 and 10 %, else recovering by 0.01 a bar up to 1.
+
+    Curves are scanned in time buckets: first the running maximum and bar number, then the last bar that set the scale."""
+    block = bucket(F.col("timestamp"), seconds)
+    out = scanned(curve, ["run_id"], block, ["timestamp"], _most=("max", F.col("equity")), _i=("count", F.lit(1)))
+    dd = F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("equity"), F.col("_most")))
+    out = out.withColumn("dd", F.coalesce(dd, F.lit(0.0))).drop("_most")
     set_ = F.when(F.col("dd") >= 0.10, F.lit(0.0)).when(F.col("dd") >= 0.05, 0.5 * (0.10 - F.col("dd")) / 0.05)
-    out = out.withColumn("_a", F.when(set_.isNotNull(), F.struct(set_.alias("s"), "_i"))).withColumn("_a", F.last("_a", ignorenulls=True).over(run))
+    out = scanned(out, ["run_id"], block, ["timestamp"], _a=("last", F.when(set_.isNotNull(), F.struct(set_.alias("s"), "_i"))))
     return out.withColumn("scale", F.when(F.col("_a").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_a.s") + 0.01 * (F.col("_i") - F.col("_a._i"))))).drop("_i", "_a")
 
 

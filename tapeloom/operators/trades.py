@@ -76,15 +76,15 @@ def optimal_exit_levels(trades: DataFrame, stop_percentile: float, target_percen
     return closed.withColumn("risk_reward", F.when(F.col("stop_level") == 0, F.lit(float("inf"))).otherwise(F.abs(F.try_divide("target_level", "stop_level"))))
 
 
-def enrich_trades_with_signals(trades: DataFrame, signals: DataFrame, columns: list[str], asset: str | None = "asset", trades_asset: str = "symbol") -> DataFrame:
-    """Signal columns as of entry and exit (entry_x, exit_x); trades are kept, unmatched ones get nulls."""
+def enrich_trades_with_signals(trades: DataFrame, signals: DataFrame, columns: list[str], asset: str | None = "asset", trades_asset: str = "symbol", seconds: int | None = 365 * 86400) -> DataFrame:
+    """Signal columns as of entry and exit (entry_x, exit_x); trades are kept, unmatched ones get nulls. An asset's history is split by time buckets."""
     if not columns:
         return trades
     if trades_asset not in trades.columns or (asset is not None and asset not in signals.columns):
         raise ValueError("no such asset column")
     left, right = trades.withColumn("_a", F.col(trades_asset) if asset else F.lit("")), signals.withColumn("_a", F.col(asset) if asset else F.lit(""))
-    once = asof_join(left, right, ["_a"], "entry_time", "timestamp", columns, "entry_")
-    return asof_join(once, right, ["_a"], "exit_time", "timestamp", columns, "exit_").drop("_a")
+    once = asof_join(left, right, ["_a"], "entry_time", "timestamp", columns, "entry_", seconds)
+    return asof_join(once, right, ["_a"], "exit_time", "timestamp", columns, "exit_", seconds).drop("_a")
 
 
 def asset_trading_stats(events: DataFrame, window: int = 50) -> DataFrame:
