@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tapeloom.operators import towers
 from tapeloom.operators.joins import interval_join
+from tapeloom.sources.results import stored
 
 
 def by_position():
@@ -149,10 +151,27 @@ def stop_fill_price(level: Column, kind: str, mode: str) -> Column:
     return F.when(gapped, F.col("open")).otherwise(price) if kind == "trailing" else price
 
 
+def _records(panel: DataFrame) -> Column:
+    """Bars of a position that can be the first to touch some stop, target or trail: further out than all bars before them."""
+    before = by_position().rowsBetween(W.unboundedPreceding, -1)
+    long = F.col("sign") > 0
+    worst = F.col("sign") * F.when(long, F.least("low", "close")).otherwise(F.greatest("high", "close"))
+    best = F.col("sign") * F.when(long, F.col("high")).otherwise(F.col("low"))
+    trailed = F.when(long, F.try_divide(F.col("low"), F.col("hwm"))).otherwise(-F.try_divide(F.col("high"), F.col("lwm")))
+    least = F.min(trailed).over(before)
+    near = trailed <= least + 1e-9 * F.abs(least)  # a quotient may round the other way than the product that the rule tests
+    return F.coalesce((worst < F.min(worst).over(before)) | (best > F.max(best).over(before)) | near, F.lit(True))
+
+
 def exit_rule_sweep(panel: DataFrame, params: DataFrame) -> DataFrame:
-    """First exit of each (run_id, position) over a small grid of stop, target, trail and hold (one row per run)."""
+    """First exit of each (run_id, position) over a small grid of stop, target, trail and hold (one row per run).
+
+    Stops, targets and trails are touched first at a bar that goes beyond all earlier ones, and a time exit falls on the bar of its number, so only
+    these bars of a position meet the grid."""
     grid = params.agg(F.collect_list(F.struct("run_id", "stop", "target", "trail", "hold")).alias("_grid"))  # one row
-    many = panel.crossJoin(F.broadcast(grid)).withColumn("_p", F.explode("_grid")).drop("_grid")
+    chosen = panel.withColumn("_record", _records(panel)).crossJoin(F.broadcast(grid))
+    due = F.exists("_grid", lambda p: (p["hold"] <= F.col("bars_held")) & (p["hold"] > F.col("bars_held") - 1))
+    many = chosen.filter(F.col("_record") | due).withColumn("_p", F.explode("_grid")).drop("_grid", "_record")
     rule = F.coalesce(stop_loss(F.col("_p.stop")), take_profit(F.col("_p.target")), trailing_stop(F.col("_p.trail")), time_exit(F.col("_p.hold")))
     hit = many.withColumn("_x", rule).filter("_x is not null")
     out = hit.groupBy(F.col("_p.run_id").alias("run_id"), "position_id").agg(F.min("timestamp").alias("exit_time"), F.min_by(F.struct("_x", "close", "entry_price", "sign", "bars_held"), "timestamp").alias("_r"))
@@ -160,3 +179,20 @@ def exit_rule_sweep(panel: DataFrame, params: DataFrame) -> DataFrame:
     return out.select("run_id", "position_id", "exit_time", F.col("_r._x.reason").alias("reason"), price.alias("exit_price"), (F.col("_r.sign") * (price / F.col("_r.entry_price") - 1)).alias("ret"), F.col("_r.bars_held").alias("bars_held"))
 
 
+def touch_exits(entries: DataFrame, bars: DataFrame, stop: float | None, target: float | None, seconds: int, there: DataFrame | None = None) -> DataFrame:
+    """First bar after entry that reaches a stop or target, as stop_loss and take_profit in that order: position_id, exit_time, reason, price.
+
+    For long lives: searches in the bars' tower instead of a panel of position x bar. Bars' highs and lows have to span their close."""
+    sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
+    after = entries.select("position_id", "asset", (F.col("entry_time") + F.expr("interval 1 microsecond")).alias("start"), F.col("until").alias("end"), sign.alias("sign"), "entry_price")
+    there, found = there or stored(towers.tower(bars, seconds)), None
+    for i, (reason, pct, way) in enumerate((("stop_loss", stop, -1), ("take_profit", target, 1))):
+        if pct is None:
+            continue
+        asked = after.withColumns({"level": F.col("entry_price") * (1 + way * F.col("sign") * pct), "up": F.col("sign") * way > 0})
+        hits = asked.join(towers.first_touch(asked, there, seconds, "position_id"), "position_id")
+        better, worse = F.col("open") > F.col("level"), F.col("open") < F.col("level")
+        gapped = F.when(F.col("up"), better).otherwise(worse)
+        one = hits.select("position_id", F.struct("time", F.lit(i).alias("i"), F.lit(reason).alias("reason"), F.when(gapped, F.col("open")).otherwise(F.col("level")).alias("price")).alias("_x"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("position_id").agg(F.min("_x").alias("_x")).select("position_id", F.col("_x.time").alias("exit_time"), "_x.reason", "_x.price")

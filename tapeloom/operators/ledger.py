@@ -30,16 +30,26 @@ def running_positions(fills: DataFrame) -> DataFrame:
 
 
 def episodes(fills: DataFrame) -> DataFrame:
-    """Fills cut at zero crossings: a flip becomes a closing and an opening part, costs in proportion; ``episode`` numbers them."""
+    """Fills cut at zero crossings: a flip becomes a closing and an opening part, costs in proportion; ``episode`` numbers them, ``n`` the parts."""
     ran = running_positions(fills)
-    part = lambda share, what, signed: F.struct(F.lit(what).alias("part"), signed.alias("signed"), (F.col("commission") * share).alias("commission"), (F.col("slippage") * share).alias("slippage"))
-    one = F.lit(1.0)
+    part = lambda share, what, signed, before: F.struct(F.lit(what).alias("part"), signed.alias("signed"), before.alias("before"), (F.col("commission") * share).alias("commission"), (F.col("slippage") * share).alias("slippage"))
+    one, before = F.lit(1.0), F.col("before")
     close_share = F.abs("before") / F.abs("signed")
-    parts = F.when(F.col("event") == "flip", F.array(part(close_share, 0, -F.col("before")), part(1 - close_share, 1, F.col("position")))).otherwise(F.array(part(one, 0, F.col("signed"))))
+    parts = F.when(F.col("event") == "flip", F.array(part(close_share, 0, -before, before), part(1 - close_share, 1, F.col("position"), F.lit(0.0)))).otherwise(F.array(part(one, 0, F.col("signed"), before)))
     cut = ran.withColumn("p", F.explode(parts)).select("run_id", "asset", "timestamp", "order_id", "price", "event", F.col("p.*"))
     opens = (F.col("event") == "open") | ((F.col("event") == "flip") & (F.col("part") == 1))
-    run = W.partitionBy("run_id", "asset").orderBy(*FILL_ORDER, "part").rowsBetween(W.unboundedPreceding, 0)
-    return cut.withColumn("episode", F.sum(opens.cast("int")).over(run))
+    order = W.partitionBy("run_id", "asset").orderBy(*FILL_ORDER, "part")
+    return cut.withColumns({"episode": F.sum(opens.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)), "n": F.row_number().over(order)})
+
+
+def _entry_map(fill: Column, so_far: Column) -> Column:
+    """The entry price after one more fill as an affine map, a * entry + b, of the one before the block."""
+    size, h = F.abs(fill["signed"]), F.abs(fill["before"])
+    grows = fill["before"] * fill["signed"] >= 0
+    return F.struct(
+        F.when(grows, so_far["a"] * h / (h + size)).otherwise(so_far["a"]).alias("a"), F.when(grows, (so_far["b"] * h + fill["price"] * size) / (h + size)).otherwise(so_far["b"]).alias("b"),
+        F.when(grows, so_far["fee"] + fill["commission"]).otherwise(so_far["fee"]).alias("fee"),
+    )
 
 
 def _folded(fill: Column, so_far: Column) -> Column:
@@ -62,26 +72,41 @@ def _folded(fill: Column, so_far: Column) -> Column:
     )
 
 
-def fills_to_trades(fills: DataFrame) -> DataFrame:
+#: Fills of an episode that are folded at once.
+FOLD = 4096
+
+
+def fills_to_trades(fills: DataFrame, size: int = FOLD) -> DataFrame:
     """Average-cost round trips: one row per episode, closed or still open, with its partial exits summed.
 
-    Episodes are independent, so they are dealt out by (run, asset, episode) and folded one by one in the JVM (an episode's fills are
-    held at once). A partial exit's pnl carries its share of the entry commission; the closing trade covers what is
-    left and the whole entry commission.
+    Episodes are dealt out in blocks of at most ``size`` fills, so one that never crosses zero is many rows: what a block does to the entry
+    price is an affine map (quantities held are prefix sums) and what it adds to the entry fee a sum; the maps of the blocks before give a
+    block's start, from which its fills are folded in the JVM. A partial exit's pnl carries its share of the entry commission; the
+    closing trade covers what is left and the whole entry commission.
     """
-    per = episodes(fills).groupBy("run_id", "asset", "episode").agg(F.array_sort(F.collect_list(F.struct(*FILL_ORDER, "part", "signed", "commission"))).alias("fills"))
+    fill = F.struct(*FILL_ORDER, "part", "signed", "before", "commission")
+    blocks = episodes(fills).withColumn("block", F.floor(F.col("n") / size)).groupBy("run_id", "asset", "episode", "block").agg(F.array_sort(F.collect_list(fill)).alias("fills"))
     zero, none = F.lit(0.0), F.lit(None)
-    start = F.struct(
-        *(zero.alias(c) for c in ("entry", "held", "first", "entry_fee", "partial")), F.lit(0).alias("n_partial"), none.cast("double").alias("exit_price"),
-        none.cast("timestamp_ntz").alias("exit_time"), zero.alias("exit_fee"), zero.alias("last"),
+    start = F.struct(F.lit(1.0).alias("a"), zero.alias("b"), zero.alias("fee"))
+    blocks = blocks.withColumn("does", F.aggregate("fills", start, lambda so_far, fill: _entry_map(fill, so_far)))
+    one = W.partitionBy("run_id", "asset", "episode").orderBy("block")
+    before = F.collect_list("does").over(one.rowsBetween(W.unboundedPreceding, -1))  # a map a block
+    enter = F.aggregate("_b", F.struct(zero.alias("entry"), zero.alias("fee")), lambda s, m: F.struct((m["a"] * s["entry"] + m["b"]).alias("entry"), (s["fee"] + m["fee"]).alias("fee")))
+    blocks = blocks.withColumns({"_b": before, "_first": F.first(F.abs(F.col("fills")[0]["signed"])).over(one.rowsBetween(W.unboundedPreceding, 0))}).withColumn("_in", enter)
+    state = F.struct(
+        F.col("_in.entry").alias("entry"), F.col("fills")[0]["before"].alias("held"), F.when(F.size("_b") > 0, F.col("_first")).otherwise(zero).alias("first"), F.col("_in.fee").alias("entry_fee"), zero.alias("partial"),
+        F.lit(0).alias("n_partial"), none.cast("double").alias("exit_price"), none.cast("timestamp_ntz").alias("exit_time"), zero.alias("exit_fee"), zero.alias("last"),
+    )
+    ended = blocks.withColumn("end", F.aggregate("fills", state, lambda so_far, fill: _folded(fill, so_far)))
+    out = ended.groupBy("run_id", "asset", "episode").agg(
+        F.max_by("end", "block").alias("end"), F.sum("end.partial").alias("partial_pnl"), F.sum("end.n_partial").cast("int").alias("n_partial"), F.min_by(F.col("fills")[0]["timestamp"], "block").alias("entry_time"),
     )
-    out = per.withColumn("end", F.aggregate("fills", start, lambda so_far, fill: _folded(fill, so_far)))
     end, closed = (lambda c: F.col(f"end.{c}")), F.col("end.exit_price").isNotNull()
     fees = end("entry_fee") + end("exit_fee")
     return out.select(
-        "run_id", "asset", F.col("episode").cast("int").alias("episode"), F.col("fills")[0]["timestamp"].alias("entry_time"), end("exit_time").alias("exit_time"), end("entry").alias("entry_price"), end("exit_price").alias("exit_price"),
+        "run_id", "asset", F.col("episode").cast("int").alias("episode"), "entry_time", end("exit_time").alias("exit_time"), end("entry").alias("entry_price"), end("exit_price").alias("exit_price"),
         F.when(closed, end("last")).otherwise(end("held")).alias("quantity"), F.when(closed, (end("exit_price") - end("entry")) * end("last") - fees).alias("pnl"), fees.alias("fees"),
-        end("n_partial").alias("n_partial"), end("partial").alias("partial_pnl"), (~closed).alias("is_open"),
+        "n_partial", "partial_pnl", (~closed).alias("is_open"),
     )
 
 
@@ -131,7 +156,7 @@ def mfe_mae(trades: DataFrame, bars: DataFrame, seconds: int, extremes: bool = F
     spans = trades.select("trade_id", "asset", F.col("entry_time").alias("start"), (F.col("exit_time") - F.expr("interval 1 microsecond")).alias("end"))
     found = towers.range_extremes(spans, there, seconds, "trade_id", "close")
     side = F.signum("quantity")
-    ends = [side * (F.col(x) / F.col("entry_price") - 1) for x in ("highest", "lowest")]
+    ends = [side * (F.try_divide(x, "entry_price") - 1) for x in ("highest", "lowest")]
     out = trades.join(found, "trade_id", "left")
     return out.withColumns({"mfe": F.greatest(*ends, F.lit(0.0)), "mae": F.least(*ends, F.lit(0.0))}).drop("highest", "lowest")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tapeloom.functions import costs
 from tapeloom.operators import towers
 from tapeloom.operators.joins import interval_join
+from tapeloom.sources.results import stored
 
 
 def by_asset():
@@ -51,20 +52,21 @@ def partial_fill_schedule(orders: DataFrame, bars: DataFrame, rate: float, secon
     return seen.withColumn("filled", F.least(F.col("_cap"), left)).filter("filled > 1e-9").select("order_id", "asset", "timestamp", "close", "filled")
 
 
-def resolve_limit_stop_orders(orders: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
+def resolve_limit_stop_orders(orders: DataFrame, bars: DataFrame, seconds: int, there: DataFrame | None = None) -> DataFrame:
     """First bar of start..end that fills each order (kind limit or stop, level): time and price.
 
-    A search over block extremes (``towers``): an order meets a few rows however long it lives."""
+    A search over block extremes (``towers``): an order meets a few rows however long it lives. The bars' tower is written once
+    unless one is given (``there``)."""
     buy, limit, level = F.col("side") == "buy", F.col("kind") == "limit", F.col("level")
-    hits = towers.first_touch(orders.withColumn("up", buy != limit), towers.tower(bars, seconds), seconds)
+    hits = towers.first_touch(orders.withColumn("up", buy != limit), there or stored(towers.tower(bars, seconds)), seconds)
     price = F.when(limit, level).when(buy, F.greatest("_open", level)).otherwise(F.least("_open", level))
     return orders.join(hits.select("order_id", F.col("time").alias("fill_time"), F.col("open").alias("_open")), "order_id").withColumn("fill_price", price).drop("_open")
 
 
-def resolve_trailing_stop_orders(orders: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
+def resolve_trailing_stop_orders(orders: DataFrame, bars: DataFrame, seconds: int, there: DataFrame | None = None) -> DataFrame:
     """SELL stops trail the highest high, BUY stops the lowest low, this bar's included; gaps fill at the open."""
     sell = F.col("side") == "sell"
-    hits = towers.trailing_touch(orders.withColumn("sell", sell), towers.tower(bars, seconds), seconds)
+    hits = towers.trailing_touch(orders.withColumn("sell", sell), there or stored(towers.tower(bars, seconds)), seconds)
     found = orders.select("order_id", sell.alias("_sell")).join(hits, "order_id")
     return found.select("order_id", F.col("time").alias("fill_time"), F.when(F.col("_sell"), F.least("open", "stop")).otherwise(F.greatest("open", "stop")).alias("fill_price"))
 

@@ -95,9 +95,9 @@ def _met(spans: DataFrame, there: DataFrame, start: str, end: str, seconds: int)
 def _below(state: DataFrame, there: DataFrame, lvl: int, key: str) -> DataFrame:
     """state with the kids of row (asset, lvl, block) where its lvl is this one; the others keep their place, spread by a hash of key."""
     now = F.col("lvl") == lvl
-    rows = there.select("asset", F.col("lvl").alias("_l"), F.col("block").alias("_b"), F.col("kids").alias("_kids"))
+    rows = there.filter(F.col("lvl") == lvl).select("asset", F.col("lvl").alias("_l"), F.col("block").alias("_b"), F.col("kids").alias("_kids"))
     asked = state.withColumns({"_l": F.when(now, lvl).otherwise(0), "_b": F.when(now, F.col("block")).otherwise(F.xxhash64(key))})
-    return asked.join(rows.filter(F.col("_l") == lvl), ["asset", "_l", "_b"], "left").drop("_l", "_b")
+    return asked.join(rows, ["asset", "_l", "_b"], "left").drop("_l", "_b")
 
 
 def first_touch(orders: DataFrame, there: DataFrame, seconds: int, key: str = "order_id") -> DataFrame:

@@ -56,24 +56,53 @@ def trade_stats_by(trades: DataFrame) -> DataFrame:
     return closed.groupingSets([[], [F.col("direction")], [F.col("symbol")], [F.col("exit_reason")]], F.col("direction"), F.col("symbol"), F.col("exit_reason")).agg(level, *_stats())
 
 
+def exact_quantiles(values: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Columns name=share: exact quantiles, linear between ranks, of the values (not null) of each group; groups without values are left out.
+
+    Two passes, with no group's values in one buffer: counts in ``bins`` equal ranges of the group's span give the base rank of each range; then only
+    rows of ranges that hold a wanted rank are numbered, a range at a time."""
+    rows = values.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    place = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(0)), F.lit(bins - 1))
+    binned = rows.join(span, by).withColumn("_bin", place)
+    counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    base = F.sum("_c").over(W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")  # at most ``bins`` rows a group
+    wanted = F.array_distinct(F.flatten(F.array(*(F.array(F.floor((F.col("_n") - 1) * q), F.ceil((F.col("_n") - 1) * q)) for q in shares.values()))))
+    held = counts.withColumn("_base", base).withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_c")))).filter(F.size("_ranks") > 0)
+    inside = binned.drop("_lo", "_hi", "_n").join(held.select(*by, "_bin", "_base", "_ranks", "_n"), [*by, "_bin"])
+    rank = F.row_number().over(W.partitionBy(*by, "_bin").orderBy("_v")) - 1 + F.col("_base")
+    found = inside.withColumn("_rank", rank).filter(F.array_contains("_ranks", F.col("_rank")))
+
+    def at(q: float) -> Column:
+        exact = (F.col("_n") - 1) * q
+        low, high = (F.max(F.when(F.col("_rank") == f(exact), F.col("_v"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * (F.max(exact) - F.floor(F.max(exact)))
+
+    return found.groupBy(*by).agg(*(at(q).alias(name) for name, q in shares.items()))
+
+
 def mae_mfe_stats(trades: DataFrame) -> DataFrame:
     """Distribution of excursions per run (population deviation, linear percentiles)."""
-    at = F.array(*map(F.lit, (0.10, 0.25, 0.50, 0.75, 0.90)))
-    out = []
+    closed, out = trades.filter("status = 'closed'"), []
     for c in ("mfe", "mae"):
-        out += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), *(F.percentile(c, at)[i].alias(f"{c}_{n}") for i, n in enumerate(("p10", "p25", "median", "p75", "p90")))]
+        out += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
     edge = _ratio(F.avg("mfe"), F.abs(F.avg("mae"))).alias("edge_ratio")
     efficiency = F.coalesce(F.avg(F.when(F.col("mfe") > 0, F.col("pnl_percent") / F.when(F.col("mfe") > 0, F.col("mfe")))), F.lit(0.0)).alias("efficiency")
-    return trades.filter("status = 'closed'").groupBy("run_id").agg(F.count("*").alias("n"), *out, edge, efficiency)
+    stats = closed.groupBy("run_id").agg(F.count("*").alias("n"), *out, edge, efficiency)
+    for c in ("mfe", "mae"):
+        at = {f"{c}_{n}": q for n, q in (("p10", 0.10), ("p25", 0.25), ("median", 0.50), ("p75", 0.75), ("p90", 0.90))}
+        stats = stats.join(exact_quantiles(closed, ["run_id"], c, at), "run_id", "left")
+    return stats
 
 
 def optimal_exit_levels(trades: DataFrame, stop_percentile: float, target_percentile: float) -> DataFrame:
     """Stop from the excursions of winners (of all without any), target from all, and their ratio."""
-    closed = trades.filter("status = 'closed'").groupBy("run_id").agg(
-        F.coalesce(F.percentile(F.when(F.col("pnl") > 0, F.col("mae")), (100 - stop_percentile) / 100), F.percentile("mae", (100 - stop_percentile) / 100)).alias("stop_level"),
-        F.percentile("mfe", (100 - target_percentile) / 100).alias("target_level"),
-    )
-    return closed.withColumn("risk_reward", F.when(F.col("stop_level") == 0, F.lit(float("inf"))).otherwise(F.abs(F.try_divide("target_level", "stop_level"))))
+    closed = trades.filter("status = 'closed'")
+    stop, target = (100 - stop_percentile) / 100, (100 - target_percentile) / 100
+    levels = exact_quantiles(closed, ["run_id"], "mfe", {"target_level": target}).join(exact_quantiles(closed, ["run_id"], "mae", {"_all": stop}), "run_id", "full_outer")
+    levels = levels.join(exact_quantiles(closed.filter("pnl > 0"), ["run_id"], "mae", {"_winners": stop}), "run_id", "left")
+    levels = levels.select("run_id", F.coalesce("_winners", "_all").alias("stop_level"), "target_level")
+    return levels.withColumn("risk_reward", F.when(F.col("stop_level") == 0, F.lit(float("inf"))).otherwise(F.abs(F.try_divide("target_level", "stop_level"))))
 
 
 def enrich_trades_with_signals(trades: DataFrame, signals: DataFrame, columns: list[str], asset: str | None = "asset", trades_asset: str = "symbol", seconds: int | None = 365 * 86400) -> DataFrame:

@@ -25,6 +25,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to a scratch folder and read back: for tables that several branches of a job read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_result(tables: dict[str, DataFrame], path: str, include: list[str] | None = None, compression: str = "zstd") -> dict[str, str]:
     """Write each table as Parquet by run, metrics as JSON; name -> path."""
     out = {}
