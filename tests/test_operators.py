@@ -116,14 +116,6 @@ def test_stream_bars_match_batch(spark, tmp_path):
     assert got[dt.datetime(2024, 1, 1, 0, 0)] == (10.0, 12.0, 10.0, 12.0, 2.0) and got[dt.datetime(2024, 1, 1, 0, 15)] == (11.0, 11.0, 11.0, 11.0, 1.0)
 
 
-def test_stream_trading_stats_keep_the_last_window(spark, tmp_path):
-    schema = "asset string, ts timestamp, pnl double"
-    rows = [[("A", dt.datetime(2024, 1, d), float(d % 3 - 1))] for d in range(1, 9)]
-    out = _run(spark, rows, schema, lambda s: streams.stream_trading_stats(s, 4), "stats_out", tmp_path, "update").orderBy(F.desc("n")).first()
-    values = [float(d % 3 - 1) for d in range(1, 9)]
-    assert out["n"] == 8 and out["total_pnl"] == sum(values) and out["recent_pnl"] == sum(values[-4:])
-
-
 def test_stream_session_pnl_matches_batch(spark, tmp_path):
     schema = "run_id string, timestamp timestamp, equity double"
     at = [dt.datetime(2024, 1, 8, 18), dt.datetime(2024, 1, 8, 20), dt.datetime(2024, 1, 9, 8), dt.datetime(2024, 1, 9, 18), dt.datetime(2024, 1, 9, 20), dt.datetime(2024, 1, 12, 1)]
