@@ -2,8 +2,9 @@
 
 Items go in blocks of at most ``BLOCK`` to all tasks; documents are read once per block. Frequencies are
 counted over all items, so blocks only split the work. In a
-document, item-sized word windows are taken wherever one of an item's shingles stands (a window
-without any has similarity 0), and fingerprinted by weighted SimHash. A multi-index over the items'
+document, item-sized word windows are taken where one of an item's rarest shingles stands, those that make up more than a
+quarter of its weight (a window without any of them is below the similarity; shingles that many items share, like a
+common opening, are looked up for no item), laid by all of the item's shingles near by, and fingerprinted by weighted SimHash. A multi-index over the items'
 fingerprints, by item size, finds all within ``RADIUS`` bits: of 8 blocks of 8 bits one differs in at
 most RADIUS // 8 places, so items are filed under all such neighbours of each block. Candidates are
 verified by exact weighted-shingle similarity: the sum of least over greatest weights,
@@ -11,7 +12,7 @@ a shingle's weight being its count times its inverse frequency among the items.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; shingles have five words; an item of fewer words
 is one shingle. Cases: null and empty texts have no windows; items without words match nothing;
-repeated items and documents are reported each; an empty table gives no rows.
+repeated items and documents are reported each, null ids as null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import shared
 from tapeloom.llm.encode import gather
+from tapeloom.llm.token_files import NULL_ID
 
 K = 5
 SIMILARITY = 0.75
@@ -58,12 +60,14 @@ def build_index(item_ids: list[int], texts: list[str], total: int | None = None,
     size, count = np.diff(at), np.diff(to)
     item = np.repeat(np.arange(len(size)), count)
     keys, inverse = np.unique(hashes, return_inverse=True)
-    held = np.unique(np.stack((inverse, item)), axis=1)[0] if len(keys) else np.zeros(0, np.int64)
-    own = np.bincount(held, minlength=len(keys))
+    pairs, n_pairs = np.unique(np.stack((inverse, item)), axis=1, return_counts=True)
+    own = np.bincount(pairs[0], minlength=len(keys))
     total = len(size) if total is None else total
     idf = np.log1p(total / np.maximum(own if held_by is None else np.array([held_by[k] for k in shared.signed(keys).tolist()], np.int64), 1))
     order = np.argsort(inverse, kind="stable")
     offset = np.arange(len(hashes)) - np.repeat(to[:-1], count)
+    rare = _rarest(pairs, n_pairs * idf[pairs[0]], len(size))[np.searchsorted(pairs[0] * len(size) + pairs[1], inverse * len(size) + item)]
+    first = order[rare[order]]
     some = np.flatnonzero(count)
     prints = np.zeros(len(size), np.uint64)
     prints[some] = fingerprints(hashes, idf[inverse], np.append(to[:-1][some], len(hashes)))
@@ -79,11 +83,27 @@ def build_index(item_ids: list[int], texts: list[str], total: int | None = None,
     flags[(keys >> np.uint64(44)).astype(np.int64)] = True
     return {
         "ids": np.array(item_ids, np.int64), "size": size, "keys": keys, "idf": idf, "unseen": float(np.log1p(total)), "flags": flags,
-        "post": np.searchsorted(inverse[order], np.arange(len(keys) + 1)), "post_item": item[order], "post_offset": offset[order],
+        "pair": inverse[order] * len(size) + item[order], "pair_offset": offset[order],
+        "post": np.searchsorted(inverse[first], np.arange(len(keys) + 1)), "post_item": item[first], "post_offset": offset[first],
         "prints": prints, "sizes": sizes, "files": files, "to": to, "shingle": inverse, "short": [n for n in range(1, K) if n in set(size.tolist())],
     }
 
 
+def _rarest(pairs: np.ndarray, weight: np.ndarray, items: int) -> np.ndarray:
+    """Which (shingle, item) pairs are the item's rarest, up to more than 1 - SIMILARITY of its weight: a window without any of them is below SIMILARITY."""
+    share = np.bincount(pairs[1], weight, items)
+    each = np.bincount(pairs[1], minlength=items)
+    with np.errstate(invalid="ignore"):
+        alone = weight / np.bincount(pairs[0])[pairs[0]]
+    order = np.lexsort((pairs[0], -alone, pairs[1]))
+    sums = np.cumsum(weight[order])
+    begun = np.concatenate(([0.0], sums))[np.cumsum(each) - each]
+    before = sums - weight[order] - begun[pairs[1][order]]
+    out = np.zeros(len(weight), bool)
+    out[order] = before <= (1 - SIMILARITY) * share[pairs[1][order]] + 1e-9
+    return out
+
+
 def _anchors(ix: dict, words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Word positions and key numbers of the items' k-word shingles in the texts."""
     h, to = shared.shingles(words, at, K) if k == K else _short(words, at, k)
@@ -113,12 +133,24 @@ def find(ix: dict, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...
     pos, key = (np.concatenate(x) for x in zip(*pairs, strict=True))
     if not len(pos):
         return none
+    order = np.argsort(pos, kind="stable")
+    pos, key = pos[order], key[order]
     many = ix["post"][key + 1] - ix["post"][key]
     p = gather(ix["post"][key], many)
-    size = ix["size"][ix["post_item"][p]]
-    pos = np.repeat(pos, many)
-    text = np.searchsorted(at, pos, "right") - 1
-    start = np.clip(pos - ix["post_offset"][p], at[text], np.maximum(at[text], at[text + 1] - size))
+    item, text = ix["post_item"][p], np.searchsorted(at, np.repeat(pos, many), "right") - 1
+    size = ix["size"][item]
+    # where an item may stand, in steps of its size; windows there are laid by all of its shingles
+    spot = np.unique(np.stack((text, item, (np.repeat(pos, many) - ix["post_offset"][p]) // size), 1), axis=0)
+    text, item, size = spot[:, 0], spot[:, 1], ix["size"][spot[:, 1]]
+    low, high = np.searchsorted(pos, np.maximum(at[text], (spot[:, 2] - 1) * size)), np.searchsorted(pos, np.minimum(at[text + 1], (spot[:, 2] + 3) * size))
+    many = np.maximum(high - low, 0)
+    near, item = gather(low, many), np.repeat(item, many)
+    wanted = key[near] * len(ix["size"]) + item
+    low = np.searchsorted(ix["pair"], wanted)
+    many = np.searchsorted(ix["pair"], wanted, "right") - low
+    pos, item = np.repeat(pos[near], many), np.repeat(item, many)
+    size, text = ix["size"][item], np.searchsorted(at, pos, "right") - 1
+    start = np.clip(pos - ix["pair_offset"][gather(low, many)], at[text], np.maximum(at[text], at[text + 1] - size))
     wins = np.unique(np.stack((start, size, text), 1), axis=0)
     start, size, text = wins[:, 0], wins[:, 1], wins[:, 2]
     runs = np.minimum(size, at[text + 1] - start)
@@ -172,7 +204,7 @@ def indexes(benchmark: DataFrame) -> list:
     """Broadcast indexes of blocks of at most BLOCK items, in order of (item_id, text)."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    build = lambda rows, *of: spark.sparkContext.broadcast(build_index([r[0] if r[0] is not None else -1 for r in rows], [r[1] for r in rows], *of))
+    build = lambda rows, *of: spark.sparkContext.broadcast(build_index([r[0] if r[0] is not None else int(NULL_ID) for r in rows], [r[1] for r in rows], *of))
     if items.limit(BLOCK + 1).count() <= BLOCK:
         return [build(items.orderBy("item_id", "text").collect())]
     shared.short_batches(spark)
@@ -195,7 +227,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ix = index.value
             for batch, raw, bounds in shared.chunks(batches):
                 t, i, start, n, s = find(ix, raw, bounds)
-                yield shared.arrow(doc_id=batch.column(0).take(t), item_id=ix["ids"][i], first_word=start, n_words=n, similarity=s)
+                yield shared.arrow(doc_id=batch.column(0).take(t), item_id=pa.array(ix["ids"][i], mask=ix["ids"][i] == NULL_ID), first_word=start, n_words=n, similarity=s)
 
         parts.append(slim.mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, similarity double"))
     out = parts[0]

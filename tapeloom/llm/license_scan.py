@@ -36,8 +36,8 @@ _AS_IS = (
     "of the use of this software even if advised of the possibility of such damage"
 )
 _TWO = (
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 1>> redistributions of source code "
-    "must retain the above copyright notice this list of conditions and the following disclaimer <<any 1>> redistributions in binary form must reproduce the above copyright notice this list "
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>><<any 1>><<end>> redistributions of source code "
+    "must retain the above copyright notice this list of conditions and the following disclaimer <<optional>><<any 1>><<end>> redistributions in binary form must reproduce the above copyright notice this list "
     "of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 )
 _GNU = (
@@ -67,7 +67,13 @@ TEMPLATES = {
     "cc-by": ["licensed under <<optional>>the<<end>> <<optional>>creative commons attribution<<end>> cc by <<optional>>4 0<<end>> <<optional>>international<<end>> license", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution <<optional>><<any 3>><<end>> license"],
     "cc-by-sa": ["licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution sharealike <<optional>><<any 3>><<end>> license", "licensed under <<optional>>the<<end>> cc by sa"],
     "cc0": ["the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "<<optional>>under<<end>> <<optional>>the<<end>> cc0 1 0 universal"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled "
+        "binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment "
+        "in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind",
+    ],
     "gpl": [
         "licensed under the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license <<optional>>version <<any 2>><<end>>",
         "under the terms of the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license as published by the free software foundation",
@@ -80,7 +86,7 @@ TEMPLATES = {
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-2": [_TWO + " " + _AS_IS],
     "bsd-3": [
-        _TWO + " <<any 1>> neither the name of <<any 12>> nor the names of <<optional>>its<<end>> <<optional>>any<<end>> contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _AS_IS
+        _TWO + " <<optional>><<any 1>><<end>> neither the name of <<any 12>> nor the names of <<optional>>its<<end>> <<optional>>any<<end>> contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _AS_IS
     ],
     "isc": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
@@ -89,11 +95,22 @@ TEMPLATES = {
     ],
     "zlib": [
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this "
-        "software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+        "software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<optional>><<any 1>><<end>> the origin of "
+        "this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not "
+        "required <<optional>><<any 1>><<end>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<optional>><<any 1>><<end>> this notice may not be removed or "
+        "altered from any source distribution",
     ],
     "bsl-1": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
     "all-rights-reserved": ["copyright <<optional>>c<<end>> <<any 8>> all rights reserved"],
 }
+#: License identifiers of SPDX, in words, by label.
+SPDX = {
+    "mit": ["mit"], "apache-2": ["apache 2 0"], "gpl": ["gpl 2 0", "gpl 3 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl": ["agpl 3 0"], "bsd-2": ["bsd 2 clause"], "bsd-3": ["bsd 3 clause"], "mpl-2": ["mpl 2 0"],
+    "isc": ["isc"], "zlib": ["zlib"], "unlicense": ["unlicense"], "cc0": ["cc0 1 0"], "cc-by": ["cc by 4 0"], "cc-by-sa": ["cc by sa 4 0"], "cc-by-nc": ["cc by nc 4 0", "cc by nc sa 4 0", "cc by nc nd 4 0"], "bsl-1": ["bsl 1 0"],
+}
+for _label, _ids in SPDX.items():  # alone, or behind others in an expression
+    TEMPLATES[_label] += [f"spdx license identifier {before}{i}" for i in _ids for before in ("", "<<any 9>> or ", "<<any 9>> and ")]
 _MARK = re.compile(r"<<optional>>|<<end>>|<<any (\d+)>>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ANY = b""
@@ -164,14 +181,19 @@ class Automaton:
 
 
 @cache
-def compiled() -> list[tuple[str, Automaton]]:
-    return [(label, Automaton(t)) for label, ts in TEMPLATES.items() for t in ts]
+def compiled() -> dict[bytes, list[tuple[str, Automaton]]]:
+    """Labels and automata by their anchor."""
+    out: dict[bytes, list[tuple[str, Automaton]]] = {}
+    for label, templates in TEMPLATES.items():
+        for a in map(Automaton, templates):
+            out.setdefault(a.anchor, []).append((label, a))
+    return out
 
 
 def scan_text(raw: bytes) -> tuple:
     """(n_words, n_base, first_word, last_word, base labels, labels, score, accepted spans) of one text."""
     low = raw.lower()  # bytes: A-Z only
-    hits = [(label, a) for label, a in compiled() if a.anchor in low]
+    hits = [hit for anchor, of in compiled().items() if anchor in low for hit in of]
     if not hits and not any(p.rsplit(" ", 1)[-1].encode() in low for p in PHRASES):
         return None
     words = _WORD.findall(low)

@@ -237,3 +237,72 @@ def test_classifier_against_a_plain_solver(spark, seed):
     out = {r["doc_id"]: r for r in classifier.score(df, classifier.train(df, df)).collect()}
     held = [i for i, _, _ in rows if out[i]["held_out"]]
     assert sum((out[i]["score"] >= 0.5) == bool(rows[i][2]) for i in held) >= 0.85 * len(held)
+
+
+def test_licenses_as_they_stand_in_files(spark):
+    """Texts written out by hand, with bullets, numbers and comment marks, not made from the templates."""
+    as_is = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+    PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+    PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+    OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+    def bsd(marks, third=True):
+        parts = ["Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."]
+        parts += ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."] if third else []
+        return "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n" + "\n\n".join(f"{m} {p}" for m, p in zip(marks, parts)) + "\n\n" + as_is
+
+    zlib_text = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+      Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+      1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+      2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+      3. This notice may not be removed or altered from any source distribution."""
+    texts = {
+        bsd("***"): {"bsd", "bsd-3"}, bsd("---"): {"bsd", "bsd-3"}, bsd(["1.", "2.", "3."]): {"bsd", "bsd-3"}, bsd("**", third=False): {"bsd", "bsd-2"}, zlib_text: {"zlib"},
+        "// SPDX-License-Identifier: MIT OR Apache-2.0\nint main();": {"mit", "apache-2"}, "# SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) AND Zlib": {"gpl", "bsd-3", "zlib"}, "SPDX-License-Identifier: ISC": {"isc"},
+        "an identifier of a license is not one of SPDX": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_items_with_a_common_opening_cost_no_more_than_others(spark):
+    """Benchmarks share openings: their shingles are looked up for no item, and all planted items are found all the same."""
+    import time
+
+    rng = random.Random(21)
+    opening = "please answer the following question with care"
+    items = [(i, opening + " " + " ".join(f"w{rng.randrange(50_000)}" for _ in range(40))) for i in range(2000)]
+    index = decontaminate.build_index([i for i, _ in items], [t for _, t in items])
+    text = " ".join(f"{opening} v{n}" for n in range(2000))
+    planted = items[77][1].split()
+    planted[30] = "changed"
+    raw, bounds = shared.bytes_of(pa.array([text + " " + items[5][1] + " tail", "x " + " ".join(planted), opening]))
+    began = time.time()
+    t, i, *_, sim = decontaminate.find(index, raw, bounds)
+    assert time.time() - began < 2
+    assert list(zip(t.tolist(), i.tolist(), strict=True)) == [(0, 5), (1, 77)] and sim[0] == 1.0
+
+
+def test_rarest_shingles_lose_no_window(spark):
+    """Every window at or above the similarity holds one of the item's rarest shingles, whatever words have been changed, put in or left out."""
+    rng = random.Random(22)
+    items = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(3, 60))) for _ in range(200)]
+    index = decontaminate.build_index(list(range(200)), items)
+    rarest = {(int(k), int(i)) for k in range(len(index["keys"])) for i in index["post_item"][index["post"][k] : index["post"][k + 1]]}
+    for i, item in enumerate(items):
+        ws = item.split()
+        for _ in range(10):
+            new = [w for w in ws for w in ([] if rng.random() < 0.02 else [w, "new"] if rng.random() < 0.02 else ["other"] if rng.random() < 0.02 else [w])]
+            raw, bounds = shared.bytes_of(pa.array([" ".join(new)]))
+            h, _ = shared.shingles(*shared.word_hashes(raw, bounds), 5)
+            own, n_own = np.unique(h, return_counts=True)
+            mine, n_mine = np.unique(index["shingle"][index["to"][i] : index["to"][i + 1]], return_counts=True)
+            weight = dict(zip(index["keys"][mine].tolist(), (n_mine * index["idf"][mine]).tolist(), strict=True))
+            each = dict(zip(index["keys"].tolist(), index["idf"].tolist(), strict=True))
+            have = dict(zip(own.tolist(), n_own.tolist(), strict=True))
+            least = sum(min(weight[k], have.get(k, 0) * each[k]) for k in weight)
+            both = sum(weight.values()) + sum(n * each.get(k, index["unseen"]) for k, n in have.items()) - least
+            if both and least / both >= decontaminate.SIMILARITY:
+                numbers = np.searchsorted(index["keys"], own)
+                assert any((int(k), i) in rarest for k in numbers)
