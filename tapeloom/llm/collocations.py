@@ -10,8 +10,9 @@ by induction none is missed, and one such pass leaves nothing that a further pas
 
 Sets of phrases go to the workers as Bloom filters (``bloom``): one that is wrongly let through is counted in
 vain, none is lost. Counts are rows (hash of language and words, count), added up in each task, then by Spark. A last
-pass gives frequent phrases their words and parts: of each task's phrases it sends those occurrences that a
-hash of their place chooses (a quarter), and again all of those phrases that none was sent for.
+pass gives frequent phrases their words and parts. One occurrence of each is enough, so occurrences are chosen by a hash of
+their place, the more rarely the more frequent the phrase is: about 6 to 25 of each, however many tasks there are; where
+none was chosen, the phrase goes through a second pass that sends all.
 
 Cases: null texts are empty; a null language is ``und``; equal rows count each; phrases are told apart by 64-bit hashes;
 an empty table, or one without frequent phrases, gives no rows; columns other than doc_id, text and lang are not read.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -128,16 +129,22 @@ def count(rows: DataFrame, chosen, with_words: bool) -> DataFrame:
     return rows.mapInArrow(run, COUNTS).groupBy("h", "level").agg(F.sum("n").alias("n"))
 
 
-def _filter(phrases: DataFrame) -> bloom.Filters:
-    """A filter of the hashes h of a stored table."""
+def _filter(phrases: DataFrame, group: Column | None = None) -> bloom.Filters:
+    """A filter of the hashes h of a stored table, mixed with a number of their group."""
     segments = bloom.segments_for(phrases.count())
 
     def run(batches):
         for batch in batches:
-            h = np.unique(batch.column(0).to_numpy().view(np.uint64))
+            h = np.unique(_grouped(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
             yield from bloom.partial(h, np.zeros(len(h), bool), segments)
 
-    return bloom.build(phrases.select("h").mapInArrow(run, bloom.PARTIAL), segments, shared.shared_dir(phrases.sparkSession))
+    rows = phrases.select("h", (F.lit(0) if group is None else group).cast("long").alias("group"))
+    return bloom.build(rows.mapInArrow(run, bloom.PARTIAL), segments, shared.shared_dir(phrases.sparkSession))
+
+
+def _grouped(h: np.ndarray, group) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return h + np.asarray(group).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def frequent(docs: DataFrame, support: int = 100, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, int]:
@@ -158,25 +165,34 @@ def frequent(docs: DataFrame, support: int = 100, sample: int = SAMPLE) -> tuple
     return known.unionByName(more), totals, 1
 
 
-def named(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrases (h, level, n) of two words or more with lang, phrase (words joined by spaces) and the hashes of their two parts."""
+def named(docs: DataFrame, phrases: DataFrame, support: int) -> DataFrame:
+    """phrases (h, level, n) of two words or more with lang, phrase (words joined by spaces) and the hashes of their two parts.
+
+    Phrases are grouped by powers of 4 of n / support; group g sends one occurrence in support / 6 * 4**g."""
     rows = prepared(docs)
+    group = F.floor(F.log(F.col("n") / support) / F.log(F.lit(4.0)))
     todo, out = phrases.filter("level > 1"), None
-    for every in (4, 1):
-        wanted = _filter(todo)
+    most = todo.agg(F.max(group)).first()[0] or 0
+    for chosen in ([max(1, support // 6) * 4**g for g in range(most + 1)], [1]):
+        wanted = _filter(todo, group if len(chosen) > 1 else None)
 
-        def run(batches, wanted=wanted, every=every):
-            seen = np.zeros(0, np.uint64)
+        def run(batches, wanted=wanted, chosen=chosen):
+            sent = np.zeros(0, np.uint64)
             for batch, raw, runs in _runs(batches):
                 data, langs = raw.tobytes(), batch.column(1)
-                place = batch.column(3).to_numpy().view(np.uint64)[runs.text] + (np.arange(len(runs.text)) - runs.offsets[:-1][runs.text]).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    place = shared.mix(batch.column(3).to_numpy().view(np.uint64)[runs.text] + (np.arange(len(runs.text)) - runs.offsets[:-1][runs.text]).astype(np.uint64))
                 for m in range(2, LONGEST + 1):
-                    h = runs.hashes[m]
-                    some = np.flatnonzero(runs.there[m] & (shared.mix(h ^ shared.mix(place[: len(h)])) % np.uint64(every) == 0))
-                    distinct, where = np.unique(h[some], return_index=True)
-                    new = wanted.contains(distinct, "once") & ~np.isin(distinct, seen, assume_unique=True)
-                    seen = np.concatenate((seen, distinct[new]))[-HOLD:]  # one sent twice is sent in vain
-                    at = some[where[new]]
+                    h, at = runs.hashes[m], np.flatnonzero(runs.there[m])
+                    dice, found = shared.mix(h ^ place[: len(h)]), []
+                    for g, every in enumerate(chosen):
+                        at = at[dice[at] % np.uint64(every) == 0]
+                        found.append(at[wanted.contains(_grouped(h[at], g), "once")])
+                    at = np.concatenate(found)
+                    distinct, where = np.unique(h[at], return_index=True)
+                    new = ~np.isin(distinct, sent, assume_unique=True)
+                    sent = np.concatenate((sent, distinct[new]))[-HOLD:]  # one sent twice is sent in vain
+                    at = at[where[new]]
                     starts, ends = [runs.starts[at + j].tolist() for j in range(m)], [runs.ends[at + j].tolist() for j in range(m)]
                     words = [b" ".join(data[a[i] : b[i]] for a, b in zip(starts, ends, strict=True)).lower().decode() for i in range(len(at))]
                     yield shared.arrow(
@@ -184,8 +200,8 @@ def named(docs: DataFrame, phrases: DataFrame) -> DataFrame:
                         lang=langs.take(pa.array(runs.text[at])), phrase=pa.array(words, pa.string()),
                     )
 
-        seen = rows.mapInArrow(run, NAMES).groupBy("h").agg(*(F.first(c).alias(c) for c in ("prefix", "suffix", "lang", "phrase")))
-        found = shared.materialize(todo.join(seen, "h"))
+        names = rows.mapInArrow(run, NAMES).groupBy("h").agg(*(F.first(c).alias(c) for c in ("prefix", "suffix", "lang", "phrase")))
+        found = shared.materialize(todo.join(names, "h"))
         out = found if out is None else out.unionByName(found)
         todo = todo.join(found.select("h"), "h", "left_anti")
         if todo.isEmpty():
@@ -200,7 +216,7 @@ def collocations(docs: DataFrame, support: int = 100, top: int = 2000, sample: i
     lowest-scoring cut (ties: least k), n the language's words. Phrases inside a longer one with as many occurrences are left out.
     """
     counts, totals, _ = frequent(docs, support, sample)
-    phrases = named(docs, counts)
+    phrases = named(docs, counts, support)
     every = counts.select("h", "n").join(phrases.select("h", "prefix", "suffix"), "h", "left")
     every = shared.small(shared.materialize(every))
     cuts = phrases.withColumns({"_p": F.col("prefix"), "_s": F.col("suffix")})
