@@ -289,6 +289,24 @@ def a3(spark, d):
     return back.groupBy("run_id").agg(F.count("*").alias("num_trades"), F.round(F.sum("pnl"), 3).alias("pnl"), F.count_if(F.col("status") == "open").alias("still_open"))
 
 
+@register("A3b_clustered_panel", " SELECT asset, count(*) AS n, round(sum(close), 4) AS close FROM bu WHERE asset IN ('7', '11', '42') AND timestamp >= (SELECT min(timestamp) + INTERVAL 5 DAY FROM bu) GROUP BY 1")
+def a3b(spark, d):
+    bars = v.bars_user(spark, d)
+    path = results.write_clustered(bars, results.scratch(spark), ["asset", "timestamp"])
+    start = spark.read.parquet(path).agg((F.min("timestamp") + F.expr("interval 5 day")).cast("string")).first()[0]
+    return results.read_span(spark, path, ["7", "11", "42"], start).groupBy("asset").agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("close"))
+
+
+@register("A4_legacy_trades", " SELECT symbol, count(*) AS n, round(sum(fees), 6) AS fees, min(exit_reason) AS exit_reason, min(multiplier) AS multiplier, min(status) AS status FROM (SELECT symbol, fees, 'signal' AS exit_reason, 1.0::DOUBLE AS multiplier, 'closed' AS status FROM tr) GROUP BY 1")
+def a4(spark, d):
+    """Trades written under their older names, without the columns that came later, and read back."""
+    path = results.scratch(spark)
+    old = v.trades(spark, d).withColumnsRenamed({"symbol": "asset", "fees": "commission"}).drop("exit_reason", "entry_slippage", "multiplier", "status")
+    results.write_result({"trades": old}, path)
+    back = results.read_result(spark, path, "trades")
+    return back.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("fees"), 6).alias("fees"), *(F.min(c).alias(c) for c in ("exit_reason", "multiplier", "status")))
+
+
 @register("A7_metrics_report", _METRICS + " SELECT run_id, n, round(final, 4) AS final FROM mt")
 def a7(spark, d):
     path = results.scratch(spark)

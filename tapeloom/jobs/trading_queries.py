@@ -258,6 +258,37 @@ def f14(spark, d):
     return out.select("asset", "timestamp", F.round("delta_value", 4).alias("delta_value"), "sequence")
 
 
+def _gappy(spark, d):
+    """Daily bars without a price on every fifth day, positions, targets and equity by day."""
+    bars = v.bars_user(spark, d)
+    gaps = bars.withColumn("close", F.when(F.dayofmonth("timestamp") % 5 != 0, F.col("close")))
+    held = bars.filter("cast(asset as int) % 2 = 0").select("asset", "timestamp", F.lit(10.0).alias("quantity"))
+    worth = bars.groupBy("timestamp").agg((1e6 + 10 * F.count("*")).alias("equity"))
+    return gaps, held, signals.normalize_weights(v.signals(spark, d), "score").select("asset", "timestamp", "weight"), worth
+
+
+_TO = _WEIGHTS + """, ga AS (SELECT asset, timestamp, close, row_number() OVER (PARTITION BY asset ORDER BY timestamp) AS seen FROM bu WHERE day(timestamp) % 5 <> 0 AND close > 0), he AS (SELECT asset, timestamp, 10.0::DOUBLE AS quantity FROM bu WHERE asset::INT % 2 = 0),
+  eo AS (SELECT timestamp, 1e6 + 10 * count(*) AS equity FROM bu GROUP BY 1), ak AS (SELECT asset, timestamp, target, coalesce(quantity, 0) AS held FROM tw FULL JOIN he USING (asset, timestamp)),
+  al AS (SELECT ak.*, ga.close, ga.seen, ga.timestamp AS priced_at FROM ak ASOF LEFT JOIN ga ON ak.asset = ga.asset AND ak.timestamp >= ga.timestamp)"""
+
+
+@register("F14b_orders_to_weights", _TO + """, x AS (SELECT asset, timestamp, target, close, coalesce(target, 0) * 0.98 * equity - held * close AS dv FROM al JOIN eo USING (timestamp) WHERE close IS NOT NULL AND (target IS NULL OR seen >= 3))
+  SELECT asset, timestamp, CASE WHEN dv > 0 THEN 'buy' ELSE 'sell' END AS side, round(abs(dv) / close, 6) AS quantity, round(dv, 4) AS delta_value, row_number() OVER (PARTITION BY timestamp ORDER BY dv > 0, target IS NULL, asset) AS sequence FROM x WHERE abs(dv) >= 0.01""")
+def f14b(spark, d):
+    bars, held, targets, worth = _gappy(spark, d)
+    out = ledger.target_orders(held, targets, bars, worth, headroom=0.98, policy="use_last", min_bars=3)
+    return out.select("asset", "timestamp", "side", F.round("quantity", 6).alias("quantity"), F.round("delta_value", 4).alias("delta_value"), "sequence")
+
+
+@register("F14c_orders_to_values", _TO + """, x AS (SELECT asset, timestamp, close, 5000 - held * close * 2 AS dv FROM al WHERE target IS NOT NULL AND priced_at = timestamp)
+  SELECT asset, timestamp, CASE WHEN dv > 0 THEN 'buy' ELSE 'sell' END AS side, round(abs(dv) / (close * 2), 6) AS quantity, round(dv, 4) AS delta_value FROM x WHERE abs(dv) >= 0.01""")
+def f14c(spark, d):
+    bars, held, targets, worth = _gappy(spark, d)
+    doubled = bars.select("asset").distinct().withColumn("multiplier", F.lit(2.0))
+    out = ledger.target_orders(held, targets.select("asset", "timestamp", F.lit(5000.0).alias("value")), bars, worth, close_untargeted=False, multipliers=doubled)
+    return out.select("asset", "timestamp", "side", F.round("quantity", 6).alias("quantity"), F.round("delta_value", 4).alias("delta_value"))
+
+
 def entries(spark, d):
     o = some_orders(spark, d)
     return o.select(F.col("order_id").alias("position_id"), "asset", F.when(F.col("side") == "buy", "long").otherwise("short").alias("side"), F.col("start").alias("entry_time"), F.col("close").alias("entry_price"), F.col("end").alias("until"))
@@ -344,3 +375,10 @@ def g12(spark, d):
     k = F.col("n_nationkey")
     params = v.table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("run_id"), (0.1 + k * 0.03).alias("stop"), (0.2 + k * 0.03).alias("target"), (0.3 + k * 0.02).alias("trail"), (3 + k % 5).alias("hold"))
     return exits.exit_rule_sweep(bar_panel(spark, d), params).select("run_id", "position_id", "exit_time", "reason")
+
+
+_SWEPT = _PANEL + f""", pr AS (SELECT 'n' || n_nationkey AS run_id, 0.1 + n_nationkey * 0.03 AS stop, 0.2 + n_nationkey * 0.03 AS target, 0.3 + n_nationkey * 0.02 AS trail, 3 + n_nationkey % 5 AS hold FROM nation),
+  xl AS (SELECT *, c0 * (1 - sg * stop) AS ls, c0 * (1 + sg * target) AS lt, CASE WHEN sg > 0 THEN hwm * (1 - trail) ELSE lwm * (1 + trail) END AS lr FROM gp CROSS JOIN pr),
+  xe AS (SELECT run_id, position_id, timestamp, c0, sg, held, CASE WHEN {_ADVERSE.format("ls")} THEN 'stop_loss' WHEN CASE WHEN sg > 0 THEN high >= lt ELSE low <= lt END THEN 'take_profit' WHEN {_ADVERSE.format("lr")} THEN 'trailing_stop' WHEN held >= hold THEN 'time_exit' END AS reason,
+  CASE WHEN {_ADVERSE.format("ls")} THEN {_fill("ls")} WHEN CASE WHEN sg > 0 THEN high >= lt ELSE low <= lt END THEN {_fill("lt", True)} WHEN {_ADVERSE.format("lr")} THEN {_fill("lr")} ELSE close END AS px FROM xl),
+  xt AS (SELECT run_id, position_id, c0, sg, px, held, reason FROM xe WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, position_id ORDER BY timestamp) = 1)"""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapeloom.operators import towers
-from tapeloom.operators.joins import MONTH, asof_join, blocked_sum, bucket
+from tapeloom.operators.joins import MONTH, asof_join, blocked_sum, bucket, scanned
 
 FILL_ORDER = ("timestamp", "order_id", "price")
 
@@ -233,3 +235,31 @@ def orders_to_target_value(current: DataFrame, equity: float, headroom: float, k
     delta = F.col("target") * headroom * equity - F.col("weight") * equity
     out = current.withColumn("delta_value", delta).filter(F.abs("delta_value") >= 0.01)
     return out.withColumn("sequence", F.row_number().over(W.partitionBy(*[k for k in keys if k != "asset"]).orderBy(F.col("delta_value") > 0, "asset")))
+
+
+def target_orders(
+    positions: DataFrame, targets: DataFrame, bars: DataFrame, equity: DataFrame, keys: Sequence[str] = ("timestamp",), headroom: float = 1.0, policy: str = "skip",
+    min_bars: int = 0, close_untargeted: bool = True, multipliers: DataFrame | None = None, seconds: int = 12 * MONTH,
+) -> DataFrame:
+    """Market orders that bring positions (keys, asset, quantity) to targets (keys, asset, and weight of equity or value).
+
+    bars: asset, timestamp, close (null or not above 0: no price). Policy skip wants a price at the orders' own time, use_last takes the last one. An asset with fewer than
+    min_bars priced bars so far gets no new target. Weights are scaled by headroom and need equity (keys, equity) above 0; values, of one asset or many, are taken as they are.
+    Held assets without a target are closed (close_untargeted). Changes of less than a cent are left out; sells come first, those of untargeted assets last among them."""
+    by_weight, by = "weight" in targets.columns, [*keys, "asset"]
+    wanted = targets.select(*by, F.col("weight" if by_weight else "value").alias("_target"), F.lit(True).alias("_asked"))
+    held = positions.filter("quantity != 0").select(*by, "quantity")
+    both = wanted.join(held, by, "full_outer" if close_untargeted else "left").fillna(0.0, ["_target", "quantity"]).fillna(False, ["_asked"])
+    if by_weight:
+        both = both.join(equity.select(*keys, "equity").filter("equity > 0"), list(keys)).withColumn("_target", F.col("_target") * headroom * F.col("equity"))
+    priced = scanned(bars.filter("close > 0").select("asset", "timestamp", "close"), ["asset"], bucket(F.col("timestamp"), seconds), ["timestamp"], _seen=("count", F.col("close")))
+    both = asof_join(both, priced.withColumn("_at", F.col("timestamp")), ["asset"], "timestamp", "timestamp", ["close", "_seen", "_at"], seconds=seconds)
+    fresh = F.lit(True) if policy == "use_last" else F.col("_at") == F.col("timestamp")
+    both = both.filter(F.col("close").isNotNull() & fresh & (~F.col("_asked") | (F.col("_seen") >= min_bars)))
+    unit = F.col("close")
+    if multipliers is not None:
+        both = both.join(multipliers.select("asset", F.col("multiplier").alias("_m")), "asset", "left")
+        unit = unit * F.coalesce("_m", F.lit(1.0))
+    out = both.withColumn("delta_value", F.col("_target") - F.col("quantity") * unit).filter(F.abs("delta_value") >= 0.01)
+    order = W.partitionBy(*keys).orderBy(F.col("delta_value") > 0, ~F.col("_asked"), "asset")
+    return out.select(*by, F.when(F.col("delta_value") > 0, "buy").otherwise("sell").alias("side"), (F.abs("delta_value") / unit).alias("quantity"), F.col("close").alias("price"), "delta_value", F.row_number().over(order).alias("sequence"))

@@ -44,6 +44,28 @@ def write_result(tables: dict[str, DataFrame], path: str, include: list[str] | N
     return out
 
 
+def write_clustered(df: DataFrame, path: str, by: list[str], files: int | None = None, rows_in_group: int = 64_000) -> str:
+    """df as files that hold ranges of ``by`` (such as asset and timestamp), sorted, in small row groups: filters on these columns read few of them.
+
+    Rows are dealt out by ranges of sampled values of ``by``, all of it, so that a hot first column is split by the next one."""
+    spread = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
+    wide = max(64, sum(8 if t not in ("string", "binary") else 24 for _, t in df.dtypes))
+    spread.sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(max(1 << 16, rows_in_group * wide))).parquet(path)
+    return path
+
+
+def read_span(spark: SparkSession, path: str, assets: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows of a clustered table of some assets with start <= timestamp < end (each optional): plain comparisons, which reach the scan."""
+    df = spark.read.parquet(path)
+    if assets is not None:
+        df = df.filter(F.col("asset").isin(assets))
+    kind = dict(df.dtypes)["timestamp"]
+    for bound, test in ((start, lambda c, b: c >= b), (end, lambda c, b: c < b)):
+        if bound is not None:
+            df = df.filter(test(F.col("timestamp"), F.lit(bound).cast(kind)))
+    return df
+
+
 def read_result(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table back, legacy names and missing columns of trades filled in."""
     df = spark.read.parquet(f"{path}/{name}")

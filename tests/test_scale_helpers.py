@@ -232,3 +232,43 @@ def test_exact_quantiles(spark, bins):
     got = {x["g"]: tuple(x[c] for c in at) for x in trades.exact_quantiles(df, ["g"], "v", at, bins).collect()}
     want = {x["g"]: tuple(x[c] for c in at) for x in df.groupBy("g").agg(*(F.percentile("v", q).alias(c) for c, q in at.items())).collect()}
     assert got.keys() == want.keys() - {"d"} and all(got[g] == pytest.approx(want[g]) for g in got)
+
+
+def test_clustered_tables_are_read_in_part(spark, tmp_path):
+    """Files and row groups that a filter on asset and time has to touch, by their statistics."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tapeloom.sources import results
+
+    df = spark.range(200_000).select(F.concat(F.lit("A"), F.format_string("%02d", F.col("id") % 20)).alias("asset"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") / 20).cast("int"))).alias("timestamp"), F.rand(1).alias("close"))
+    path = results.write_clustered(df.repartition(5), str(tmp_path / "t"), ["asset", "timestamp"], 8, 2000)
+    start, end = day(1000), day(1100)
+    got = results.read_span(spark, path, ["A07"], str(start), str(end))
+    assert got.count() == 100 and got.agg(F.min("timestamp"), F.max("timestamp")).first() == (start, day(1099))
+    pushed = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp" in pushed and "asset" in pushed.split("PushedFilters")[1]
+    groups, touched, files = 0, 0, set()
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            a, t = (meta.row_group(g).column(i).statistics for i in (0, 1))
+            groups += 1
+            if a.min <= "A07" <= a.max and t.min < end and t.max >= start:
+                touched += 1
+                files.add(f)
+    assert len(files) == 1 and touched <= 2 and groups >= 16
+
+
+def test_target_orders_of_one_asset(spark):
+    bars = spark.createDataFrame([("A", day(0), 10.0), ("A", day(1), 20.0), ("B", day(0), 5.0), ("B", day(1), None), ("C", day(1), -1.0)], "asset string, timestamp timestamp_ntz, close double")
+    held = spark.createDataFrame([(day(1), "A", 4.0), (day(1), "B", 2.0), (day(1), "D", 1.0)], "timestamp timestamp_ntz, asset string, quantity double")
+    worth = spark.createDataFrame([(day(1), 1000.0)], "timestamp timestamp_ntz, equity double")
+    orders_of = lambda rows, column, **more: [(r["asset"], r["side"], r["quantity"], r["price"]) for r in ledger.target_orders(held, spark.createDataFrame([(day(1), *x) for x in rows], f"timestamp timestamp_ntz, asset string, {column} double"), bars, worth, **more).orderBy("sequence").collect()]
+    assert orders_of([("A", 0.1)], "weight", close_untargeted=False) == [("A", "buy", 1.0, 20.0)]
+    assert orders_of([("A", 80.0)], "value", close_untargeted=False) == []  # nothing to do
+    assert orders_of([("A", -20.0), ("B", 50.0), ("C", 1.0)], "value", close_untargeted=False) == [("A", "sell", 5.0, 20.0)]  # no price of B and C today
+    assert orders_of([("A", 0.1)], "weight", policy="use_last") == [("B", "sell", 2.0, 5.0), ("A", "buy", 1.0, 20.0)]  # D has never had a price
+    assert orders_of([("A", 0.1), ("B", 0.1)], "weight", policy="use_last", min_bars=2) == [("A", "buy", 1.0, 20.0)]
+    assert orders_of([("A", 0.1)], "weight", headroom=0.5, close_untargeted=False) == [("A", "sell", 1.5, 20.0)]
