@@ -49,6 +49,9 @@ WIDTH = MIN_WORDS - K + 1
 HASHES = 5
 SIMILARITY = 0.75
 REACH = 2 * WIDTH
+#: Runs of a chain that are compared at once, and those that neighbouring parts of a longer chain have in common.
+RUNS = 256
+OVERLAP = 64
 #: Words kept on both sides of the outermost signatures.
 MARGIN = 2 * MIN_WORDS + 2 * K
 #: Places of a document that have a shingle in common with another one, in some WIDTH of them, without which nothing in it is similar.
@@ -348,8 +351,25 @@ def chained(found: np.ndarray, hx: np.ndarray, hy: np.ndarray) -> list[tuple[int
             j = link[j]
         if ye[path].max() - ys[path[-1]] < WIDTH:
             continue
-        for a in range(0, len(path), 256):  # 256 runs hold many passages
-            out += stretches(np.array(path[::-1][a : a + 256]), ys, ye, xs, xe, cost, hx, hy, taken)
+        found, path = [], path[::-1]
+        for a in range(0, max(1, len(path) - OVERLAP), RUNS - OVERLAP):  # parts of a long chain overlap
+            found += stretches(np.array(path[a : a + RUNS]), ys, ye, xs, xe, cost, hx, hy, taken)
+        out += joined(found, hx, hy) if len(path) > RUNS else found
+    return out
+
+
+def joined(found: list, x: np.ndarray, y: np.ndarray) -> list:
+    """Stretches of one chain with those that overlap in both texts made one, where they are similar as one."""
+    out: list = []
+    for r in sorted(found):
+        if out and r[0] < out[-1][1] - K + 1 and out[-1][2] <= r[2] < out[-1][3] - K + 1:
+            last = out[-1]
+            whole = (last[0], max(last[1], r[1]), last[2], max(last[3], r[3]))
+            sim = similar(x[whole[2] : whole[3] - K + 1], y[whole[0] : whole[1] - K + 1])
+            if sim >= SIMILARITY:
+                out[-1] = (*whole, sim)
+                continue
+        out.append(r)
     return out
 
 

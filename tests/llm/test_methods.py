@@ -306,3 +306,14 @@ def test_rarest_shingles_lose_no_window(spark):
             if both and least / both >= decontaminate.SIMILARITY:
                 numbers = np.searchsorted(index["keys"], own)
                 assert any((int(k), i) in rarest for k in numbers)
+
+
+@pytest.mark.parametrize("edits", [267, 400, 440])
+def test_a_long_passage_with_many_edits_is_one(edits):
+    """Chains of more runs than are compared at once: the parts overlap, so no edit parts a passage."""
+    rng = np.random.default_rng(edits)
+    x = rng.integers(1, 2**63, 16_000, dtype=np.uint64)
+    y = x.copy()
+    y[np.linspace(10, 15_990, edits).astype(int)] = rng.integers(1, 2**63, edits, dtype=np.uint64)
+    found = substring_dedup.passages(x, np.array([0, len(x)]), y, np.array([0, len(y)]))
+    assert len(found) == 1 and found[0][1] <= 10 and found[0][2] >= 15_990 and found[0][5] >= 0.75
