@@ -1,17 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model.
+"""Interpolated modified Kneser-Ney n-gram model of any order from two, three unless told otherwise.
 
 Counting, in Spark: (1) word counts, aggregated in each task, go by hash range to reducers, which
-write sorted hash and count arrays; a word's place over all arrays is its number. (2) bigram counts
-as sorted 64-bit keys (number of the first word << 32 | number of the second) go by key range,
-with boundaries at equal shares of the counted words, so that a frequent first word's bigrams are
-split over files; reducers write sorted key and count arrays and the figures of each first word.
-(3) numbers of different words before each word (continuation counts) are summed by word range.
-Arrays are files in the shared folder, which workers map into memory to score.
-
-P(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + (D1 N1(u) + D2 N2(u) + D3 N3+(u)) / c(u) * P(w), and P(w)
-likewise from continuation counts, interpolated with the uniform 1 / (V + 1). Discounts are the
-usual functions of the counts of counts. Words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; each text
-ends with an end token and starts behind a start token, which is never predicted.
+write sorted hash and count arrays; a word's place over all arrays is its number. (2) level by
+level, an m-gram's key is the number of its first m - 1 words as an (m - 1)-gram and that of its
+last word, in one 64-bit integer (as many low bits for the word as the vocabulary needs). Keys and
+counts go by key range, with boundaries at equal shares of the counted (m - 1)-grams, so that a
+frequent context is split over files; reducers write sorted key and count arrays, and a key's
+place over all of them is the m-gram's number. (3) each m-gram counts once for the (m - 1)-gram
+that it ends in: these continuation counts are summed by range of numbers and stand, below the
+highest level, in place of counts (m-grams that begin a text keep their counts, as nothing can
+stand before them), and give the figures of each context. Arrays are files in the shared folder,
+which workers map into memory to score. A shard holds about SHARD_BYTES of text.
+
+P(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + (D1 N1(u) + D2 N2(u) + D3 N3+(u)) / c(u) * P(w | u'), u'
+being u without its first word; words themselves are interpolated with the uniform 1 / (V + 1). A
+context never met leaves all to the shorter one. Discounts are the usual functions of the counts
+of counts of a level. Words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; each text ends with an end
+token and starts behind a start token, which is never predicted.
+
+Limits: the bits of a word's number and of an m-gram's number are 64 together, else an error.
 
 Cases: null and empty texts are the end token alone; rows of null or repeated ids are scored each (a
 null id counts as training text); without training text P is uniform; an empty table gives no rows.
@@ -29,8 +36,12 @@ from tapeloom.llm import shared
 from tapeloom.llm.token_files import mapped, open_dir, put
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-#: Tokens counted in a task before its bigrams are sent on.
+#: Tokens counted in a task before its m-grams are sent on.
 HOLD = 3_000_000
+#: Text behind one shard of the arrays.
+SHARD_BYTES = 128 << 20
+#: Points at equal shares of a shard's counts, from which the next level's ranges are chosen.
+MARKS = 64
 
 
 def tokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +86,8 @@ _BLOBS = "part int, n long, blob binary"
 
 
 def _together(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [_unpacked(b, n) for b, n in zip(pdf["blob"], pdf["n"], strict=True)]
+    pairs = [_unpacked(b, n) for b, n in zip(pdf["blob"], pdf["n"], strict=True) if b is not None]
+    pairs = pairs or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     return _merged([p[0] for p in pairs], [p[1] for p in pairs])
 
 
@@ -132,10 +144,84 @@ def hash_bounds(shards: int) -> np.ndarray:
     return np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
 
 
-def _bigrams(numbers: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
-    before = np.concatenate(([start], numbers[:-1])) if len(numbers) else numbers
-    before[at[:-1]] = start
-    return (before.astype(np.uint64) << np.uint64(32)) | numbers.astype(np.uint64)
+class Grams:
+    """Numbers of m-grams: the places of their keys in the sorted arrays of a level's parts."""
+
+    def __init__(self, uri: str, level: dict):
+        self.arrays, self.ranges, self.level = Arrays(uri, level["parts"]), level["ranges"], level
+        sizes = [level["parts"].get(p, {"n": 0})["n"] for p in range(len(self.ranges) + 1)]
+        self.base = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        self.key = f"key{level['m']}"
+
+    def spans(self, keys: np.ndarray):
+        """(part, from, to) of sorted keys, for parts that have files."""
+        cuts = [0, *np.searchsorted(keys, self.ranges).tolist(), len(keys)]
+        return [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a and p in self.arrays.parts]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Number (-1: none) of each of some sorted distinct keys."""
+        out = np.full(len(keys), -1, np.int64)
+        for p, a, b in self.spans(keys):
+            have = self.arrays.get(p, self.key)
+            at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
+            hit = np.flatnonzero(np.asarray(have[at]) == keys[a:b])
+            out[a + hit] = self.base[p] + at[hit]
+        return out
+
+    def take(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        """An array's entries at some numbers."""
+        out = np.zeros(len(numbers), np.uint64)
+        part = np.searchsorted(self.base, numbers, "right") - 1
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            out[at] = self.arrays.get(int(p), name)[numbers[at] - self.base[p]]
+        return out
+
+
+def _before(have: np.ndarray, at: np.ndarray, first: int) -> np.ndarray:
+    """For each token the number of what ends right before it; first at the start of a text."""
+    before = np.concatenate(([first], have[:-1]))[: len(have)]
+    before[at[:-1]] = first
+    return before
+
+
+def _keys(before: np.ndarray, number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens have a known context, and the keys there; an unknown word gets a number that no file holds."""
+    known = np.flatnonzero(before >= 0)
+    word = np.where(number[known] >= 0, number[known], (1 << bits) - 1).astype(np.uint64)
+    return known, (before[known].astype(np.uint64) << np.uint64(bits)) | word
+
+
+def _figures(context: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray, list[int]]:
+    """First context, the sums (all, ones, twos, more) of each number from it to the last one, and the two at the ends."""
+    low = int(context[0])
+    begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    sums = np.zeros((int(context[-1]) - low + 1, 4), np.int64)
+    for i, x in enumerate((counts, counts == 1, counts == 2, counts >= 3)):
+        sums[context[begin] - low, i] = np.add.reduceat(x.astype(np.int64), begin)
+    return low, sums, [low, *sums[0].tolist(), int(context[-1]), *sums[-1].tolist()]
+
+
+def _types(counts: np.ndarray) -> list[int]:
+    """Numbers of types counted once to four times."""
+    return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _marks(counts: np.ndarray) -> tuple[list[int], list[float]]:
+    """Places at equal shares of the counts, and how far into the item there the share ends."""
+    sums = np.cumsum(counts, dtype=np.int64)
+    want = sums[-1] * np.arange(1, MARKS + 1) / MARKS
+    at = np.minimum(np.searchsorted(sums, want), len(sums) - 1)
+    return at.tolist(), (1 - (sums[at] - want) / counts[at]).tolist()
+
+
+def _ranges(points: list[tuple[int, float, float]], shards: int, bits: int, size: int) -> np.ndarray:
+    """Keys that cut (number, share of it, weight) points in ascending order into shards of about equal weight."""
+    weights = np.cumsum([w for _, _, w in points])
+    if not len(weights):
+        return np.zeros(0, np.uint64)
+    at = np.searchsorted(weights, weights[-1] * np.arange(1, shards) / shards)
+    return np.array(sorted((points[i][0] << bits) | int(points[i][1] * max(0, size - 1)) for i in at.tolist()), np.uint64)
 
 
 def _discounts(n: np.ndarray) -> list[float]:
@@ -148,10 +234,13 @@ def _discounts(n: np.ndarray) -> list[float]:
     return [min(max(x, 1e-3), i + 0.999) for i, x in enumerate(d)]
 
 
-def train(docs: DataFrame, shards: int | None = None) -> dict:
-    """Count and write the model of all docs; what workers need to open it (its size follows shards, not the input)."""
+def train(docs: DataFrame, shards: int | None = None, order: int = 3) -> dict:
+    """Count and write the model of all docs; what workers need to open it (a few hundred bytes a shard and level)."""
+    if order < 2:
+        raise ValueError("an order of two or more")
     spark = docs.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     uri = shared.shared_dir(spark)
     bounds = hash_bounds(shards)
 
@@ -178,39 +267,60 @@ def train(docs: DataFrame, shards: int | None = None) -> dict:
         narrow = _narrow(c)
         put(files, f"{top}/hash-{part:05d}", k.astype("<u8").tobytes())
         put(files, f"{top}/count-{part:05d}", narrow.tobytes())
-        return pd.DataFrame({"part": [part], "n": [len(k)], "total": [int(c.sum())], "count": [narrow.dtype.str]})
+        at, share = _marks(c)
+        return pd.DataFrame({"part": [part], "n": [len(k)], "total": [int(c.sum())], "count": [narrow.dtype.str], "at": [at], "share": [share]})
 
-    rows = shared.materialize(docs.mapInArrow(count_words, _BLOBS).groupBy("part").applyInPandas(write_words, "part int, n long, total long, count string")).collect()  # a row per shard
+    counted = shared.materialize(docs.mapInArrow(count_words, _BLOBS).groupBy("part").applyInPandas(write_words, "part int, n long, total long, count string, at array<long>, share array<double>"))
+    rows = sorted(counted.collect(), key=lambda r: r["part"])  # a row per shard
+    shared.discard(counted)
     parts = {r["part"]: {"n": r["n"], "total": r["total"], "hash": "<u8", "count": r["count"]} for r in rows}
     vocabulary = Vocabulary(uri, parts, shards)
     size, total = int(vocabulary.base[-1]), sum(p["total"] for p in parts.values())
-    if size >= 1 << 32:
-        raise ValueError("more than 2**32 different words")
-    start = size  # the start token's number
-    # Key ranges of equal shares of the tokens; a first word with several shares is split by its second word's number.
-    cuts = []
-    n_docs = docs.count()
-    marks = [(total + n_docs) * i // shards for i in range(1, shards)]
-    done = 0
-    for p in range(shards):
-        own = parts.get(p, {"total": 0})["total"]
-        if any(done <= m < done + own for m in marks):
-            sums = np.cumsum(np.asarray(vocabulary.arrays.get(p, "count")), dtype=np.int64) + done
-            for m in (m for m in marks if done <= m < done + own):
-                i = int(np.searchsorted(sums, m, "right"))
-                before = int(sums[i - 1]) if i else done
-                second = (m - before) * size // max(1, int(sums[i]) - before)
-                cuts.append((int(vocabulary.base[p]) + i) << 32 | second)
-        done += own
-    cuts += [(start << 32) | ((m - done) * size // max(1, n_docs)) for m in marks if m >= done]
-    ranges = np.array(sorted(cuts), np.uint64)
-
-    def count_bigrams(batches):
-        words = Vocabulary(uri, parts, shards)
+    bits = (size + 1).bit_length()  # the start token's number is size; the highest number stands for unknown words
+    points = [(int(vocabulary.base[r["part"]]) + i, x, r["total"] / MARKS) for r in rows for i, x in zip(r["at"], r["share"], strict=True)]
+    points += [(size, (i + 1) / MARKS, n_docs / MARKS) for i in range(MARKS)]
+    spec = {"uri": uri, "shards": shards, "parts": parts, "size": size, "total": total, "bits": bits, "order": order, "levels": []}
+    lowest = size  # the first number of the level below that begins a text
+    for m in range(2, order + 1):
+        level = {"m": m, "ranges": _ranges(points, shards, bits, size), "parts": {}}
+        lowest, points = _count_level(docs, spec, level, lowest)
+        spec["levels"].append(level)
+    return spec
+
+
+_META = "part int, n long, blob binary, kind string, counts array<long>, low long, sums array<string>, edge array<long>, at array<long>, share array<double>, total long, starts long"
+_BELOW = "part int, kind string, total long, counts array<long>, above long, low long, sums array<string>, edge array<long>"
+
+
+def _put_figures(files, top: str, m: int, part: int, sums: np.ndarray) -> list[str]:
+    """Write the sums of a part's contexts, a file each; their types."""
+    narrow = [_narrow(sums[:, i]) for i in range(4)]
+    for i, x in enumerate(narrow):
+        put(files, f"{top}/sum{m}{i}-{part:05d}", x.tobytes())
+    return [x.dtype.str for x in narrow]
+
+
+def _count_level(docs: DataFrame, spec: dict, level: dict, lowest: int) -> tuple[int, list]:
+    """Write the m-grams of all docs and the continuation counts of the level below; fills both levels.
+
+    Returns the first number of the m-grams that begin a text, and points for the next level's ranges.
+    """
+    uri, parts, shards, bits, size = spec["uri"], spec["parts"], spec["shards"], spec["bits"], spec["size"]
+    m, ranges, below, last = level["m"], level["ranges"], list(spec["levels"]), level["m"] == spec["order"]
+    mask = np.uint64((1 << bits) - 1)
+
+    def count(batches):
+        words, under = Vocabulary(uri, parts, shards), [Grams(uri, x) for x in below]
         keys, counts, held = [], [], 0
         for _, raw, at in shared.chunks(batches):
             t, at = tokens(raw, at)
-            k, c = np.unique(_bigrams(words.of(t)[0], at, start), return_counts=True)
+            number = have = words.of(t)[0]
+            for g in under:
+                known, k = _keys(_before(have, at, size if g.level["m"] == 2 else -1), number, bits)
+                distinct, back = np.unique(k, return_inverse=True)
+                have = np.full(len(number), -1, np.int64)
+                have[known] = g.places(distinct)[back]
+            k, c = np.unique(_keys(_before(have, at, size if m == 2 else -1), number, bits)[1], return_counts=True)
             keys.append(k)
             counts.append(c)
             held += len(k)
@@ -220,60 +330,97 @@ def train(docs: DataFrame, shards: int | None = None) -> dict:
         if keys:
             yield _blobs(*_merged(keys, counts), ranges)
 
-    def write_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
         k, c = _together(pdf)
         files, top = open_dir(uri)
         narrow = _narrow(c)
-        first = (k >> np.uint64(32)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        stats = np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (c, c == 1, c == 2, c >= 3)], 1)
-        put(files, f"{top}/pair-{part:05d}", k.astype("<u8").tobytes())
-        put(files, f"{top}/seen-{part:05d}", narrow.tobytes())
-        put(files, f"{top}/first-{part:05d}", first[begin].astype("<u4").tobytes())
-        put(files, f"{top}/stats-{part:05d}", np.ascontiguousarray(stats.astype("<i8")).tobytes())
-        second, types = np.unique(k & np.uint64(0xFFFFFFFF), return_counts=True)
-        to = Vocabulary(uri, parts, shards).base[1:-1].astype(np.uint64)
-        out = _blobs(second, types, to).to_pandas()
-        out["kind"], out["edge"], out["counts"] = "second", None, None
-        edge = [[int(first[b]), *map(int, s)] for b, s in ((begin[0], stats[0]), (begin[-1], stats[-1]))]
-        meta = pd.DataFrame({"part": [part], "n": [len(k)], "blob": [None], "kind": [narrow.dtype.str], "edge": [[x for e in edge for x in e]], "counts": [[int((c == i).sum()) for i in (1, 2, 3, 4)]]})
-        return pd.concat([meta, out], ignore_index=True)[["part", "n", "blob", "kind", "edge", "counts"]]
-
-    schema = "part int, n long, blob binary, kind string, edge array<long>, counts array<long>"
-    made = shared.materialize(docs.mapInArrow(count_bigrams, _BLOBS).groupBy("part").applyInPandas(write_bigrams, schema))
-    rows = made.filter("kind != 'second'").drop("blob").collect()  # a row per shard
-    pairs = {r["part"]: {"n": r["n"], "pair": "<u8", "seen": r["kind"], "first": "<u4", "stats": "<i8"} for r in rows}
-    edges: dict[int, np.ndarray] = {}  # first words at the ends of ranges: their figures may be in several
+        put(files, f"{top}/key{m}-{part:05d}", k.astype("<u8").tobytes())
+        put(files, f"{top}/seen{m}-{part:05d}", narrow.tobytes())
+        context = (k >> np.uint64(bits)).astype(np.int64)
+        row = dict.fromkeys(("blob", "counts", "low", "sums", "edge"))
+        if last:
+            row["low"], sums, row["edge"] = _figures(context, c)
+            row["sums"], row["counts"] = _put_figures(files, top, m, part, sums), _types(c)
+        if m == 2:
+            ends, to = k & mask, Vocabulary(uri, parts, shards).base
+        else:
+            g = Grams(uri, below[-1])
+            over = g.take("key2", context) & mask if m == 3 else g.take(f"ends{m - 1}", context)
+            distinct, back = np.unique((over << np.uint64(bits)) | (k & mask), return_inverse=True)
+            ends, to = g.places(distinct)[back].astype(np.uint64), g.base
+            if not last:
+                put(files, f"{top}/ends{m}-{part:05d}", ends.astype("<u8").tobytes())
+        out = _blobs(*np.unique(ends, return_counts=True), to[1:-1].astype(np.uint64)).to_pandas()
+        out["kind"] = "ends"
+        row["at"], row["share"] = _marks(c)
+        meta = pd.DataFrame({x: [v] for x, v in row.items()} | {"part": [part], "n": [len(k)], "kind": [narrow.dtype.str], "total": [int(c.sum())], "starts": [int((context >= lowest).sum())]})
+        return pd.concat([meta, out.astype(object)], ignore_index=True).reindex(columns=[x.split()[0] for x in _META.split(", ")]).astype(object).where(lambda x: x.notna(), None)
+
+    made = shared.materialize(docs.mapInArrow(count, _BLOBS).groupBy("part").applyInPandas(write, _META))
+    rows = sorted(made.filter("kind != 'ends'").drop("blob").collect(), key=lambda r: r["part"])  # a row per shard
     for r in rows:
-        e = np.array(r["edge"]).reshape(2, 5)
-        for x in e if e[0, 0] != e[1, 0] else e[:1]:
-            edges[int(x[0])] = edges.get(int(x[0]), np.zeros(4, np.int64)) + x[1:]
-    counts = np.sum([r["counts"] for r in rows], axis=0) if rows else np.zeros(4)
-
-    def write_seconds(pdf: pd.DataFrame) -> pd.DataFrame:
+        level["parts"][r["part"]] = {"n": r["n"], f"key{m}": "<u8", f"seen{m}": r["kind"], f"ends{m}": "<u8"}
+    numbers = sum(r["n"] for r in rows)
+    if bits + max(1, numbers).bit_length() > 64 and not last:
+        raise ValueError(f"{numbers} {m}-grams and {size} words need more than 64 bits")
+    if last:
+        _close(level, rows)
+    under = below[-1] if below else None
+    base = Grams(uri, under).base if under else None
+
+    def write_below(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Continuation counts of a part of the level below and, from bigrams on, its contexts' figures."""
         part = int(pdf["part"].iloc[0])
+        own = (under["parts"] if under else parts).get(part)
+        if own is None:
+            return pd.DataFrame(columns=[x.split()[0] for x in _BELOW.split(", ")])
         k, c = _together(pdf)
-        words = Vocabulary(uri, parts, shards)
-        dense = np.zeros(parts[part]["n"], np.int64)
-        dense[k.astype(np.int64) - words.base[part]] = c
-        narrow = _narrow(dense)
         files, top = open_dir(uri)
-        put(files, f"{top}/types-{part:05d}", narrow.tobytes())
-        return pd.DataFrame({"part": [part], "types": [narrow.dtype.str], "total": [int(c.sum())], "counts": [[int((c == i).sum()) for i in (1, 2, 3, 4)]], "above": [int((c >= 3).sum())]})
-
-    rows2 = shared.materialize(made.filter("kind = 'second'").select("part", "n", "blob").groupBy("part").applyInPandas(write_seconds, "part int, types string, total long, counts array<long>, above long")).collect()
-    for r in rows2:
-        parts[r["part"]]["types"] = r["types"]
-    shared.discard(made)
-    low = np.sum([r["counts"] for r in rows2], axis=0) if rows2 else np.zeros(4)
-    types, above = sum(r["total"] for r in rows2), sum(r["above"] for r in rows2)
-    d_low = _discounts(low)
-    left = (d_low[0] * low[0] + d_low[1] * low[1] + d_low[2] * above) / types if types else 1.0
-    return {
-        "uri": uri, "shards": shards, "parts": parts, "pairs": pairs, "ranges": ranges, "edges": edges, "size": size, "total": total, "start": start,
-        "discounts": _discounts(counts), "low_discounts": d_low, "types": types, "uniform": left / (size + 1),
-    }
+        first = int((base if under else Vocabulary(uri, parts, shards).base)[part])
+        dense = np.zeros(own["n"], np.int64)
+        dense[k.astype(np.int64) - first] = c
+        row = {"low": None, "sums": None, "edge": None}
+        if under:
+            arrays, begin = Arrays(uri, under["parts"]), max(0, lowest - first)
+            dense[begin:] = arrays.get(part, f"seen{m - 1}")[begin:]
+            row["low"], sums, row["edge"] = _figures((np.asarray(arrays.get(part, f"key{m - 1}")) >> np.uint64(bits)).astype(np.int64), dense)
+            row["sums"] = _put_figures(files, top, m - 1, part, sums)
+        narrow = _narrow(dense)
+        put(files, f"{top}/types{m - 1}-{part:05d}", narrow.tobytes())
+        return pd.DataFrame({x: [v] for x, v in row.items()} | {"part": [part], "kind": [narrow.dtype.str], "total": [int(dense.sum())], "counts": [_types(dense)], "above": [int((dense >= 3).sum())]})[[x.split()[0] for x in _BELOW.split(", ")]]
+
+    # a row of every part, as nothing ends in m-grams that begin a text
+    every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("part"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("blob"))
+    sums = shared.materialize(made.filter("kind = 'ends'").select("part", "n", "blob").unionByName(every).groupBy("part").applyInPandas(write_below, _BELOW))
+    done = sorted(sums.collect(), key=lambda r: r["part"])  # a row per shard
+    shared.discard(made, sums)
+    for r in done:
+        (under["parts"] if under else parts)[r["part"]][f"types{m - 1}"] = r["kind"]
+    if under:
+        _close(under, done)
+    else:
+        low = np.sum([r["counts"] for r in done], axis=0) if done else np.zeros(4)
+        types, above = sum(r["total"] for r in done), sum(r["above"] for r in done)
+        d = _discounts(low)
+        left = (d[0] * low[0] + d[1] * low[1] + d[2] * above) / types if types else 1.0
+        spec |= {"low_discounts": d, "types": types, "uniform": left / (size + 1)}
+    starts = numbers - sum(r["starts"] for r in rows)
+    bases = Grams(uri, level).base
+    return starts, [(int(bases[r["part"]]) + i, x, r["total"] / MARKS) for r in rows for i, x in zip(r["at"], r["share"], strict=True)]
+
+
+def _close(level: dict, rows: list) -> None:
+    """Enter the figures' places and types, those of contexts at the ends of parts (which may stand in several) and the discounts."""
+    m, ends = level["m"], {}
+    for r in rows:
+        level["parts"][r["part"]] |= {"low": r["low"]} | {f"sum{m}{i}": t for i, t in enumerate(r["sums"])}
+        e = np.array(r["edge"]).reshape(2, 5)
+        for x in e if e[0, 0] != e[1, 0] else e[:1]:
+            ends[int(x[0])] = ends.get(int(x[0]), np.zeros(4, np.int64)) + x[1:]
+    level["edges"] = np.array(sorted(ends), np.int64)
+    level["edge_sums"] = np.array([ends[x] for x in sorted(ends)], np.int64).reshape(-1, 4)
+    level["discounts"] = _discounts(np.sum([r["counts"] for r in rows], axis=0) if rows else np.zeros(4))
 
 
 class Model:
@@ -282,8 +429,8 @@ class Model:
     def __init__(self, spec: dict):
         self.spec = spec
         self.words = Vocabulary(spec["uri"], spec["parts"], spec["shards"])
-        self.pairs = Arrays(spec["uri"], spec["pairs"])
-        self.d, self.d_low = np.array([0.0, *spec["discounts"]]), np.array([0.0, *spec["low_discounts"]])
+        self.levels = [Grams(spec["uri"], x) for x in spec["levels"]]
+        self.d_low = np.array([0.0, *spec["low_discounts"]])
 
     def low(self, numbers: np.ndarray) -> np.ndarray:
         """P(w) from continuation counts, of distinct sorted numbers (-1: unknown)."""
@@ -292,56 +439,51 @@ class Model:
         part = self.words.part_of(numbers[known])
         for p in np.unique(part):
             at = known[part == p]
-            count[at] = self.words.arrays.get(int(p), "types")[numbers[at] - self.words.base[p]]
+            count[at] = self.words.arrays.get(int(p), "types1")[numbers[at] - self.words.base[p]]
         own = np.maximum(count - self.d_low[np.minimum(count, 3)], 0) / max(1, self.spec["types"])
         return own + self.spec["uniform"]
 
-    def high(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(own share, share left for P(w)) of sorted distinct bigram keys of known words or a known first word."""
-        first = (keys >> np.uint64(32)).astype(np.int64)
-        own, left = np.zeros(len(keys)), np.ones(len(keys))
-        cuts = [0, *np.searchsorted(keys, self.spec["ranges"]).tolist(), len(keys)]
-        edges = self.spec["edges"]
-        for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if b <= a:
-                continue
-            seen, stats = np.zeros(b - a, np.int64), np.zeros((b - a, 4), np.int64)
-            if p in self.pairs.parts:
-                k, count = self.pairs.get(p, "pair"), self.pairs.get(p, "seen")
-                at = np.minimum(np.searchsorted(k, keys[a:b]), len(k) - 1)
-                hit = np.asarray(k[at]) == keys[a:b]
-                seen[hit] = count[at[hit]]
-                whose, figures = self.pairs.get(p, "first"), self.pairs.get(p, "stats").reshape(-1, 4)
-                at = np.minimum(np.searchsorted(whose, first[a:b]), len(whose) - 1)
-                hit = np.asarray(whose[at]) == first[a:b]
-                stats[hit] = figures[at[hit]]
-            for i in np.flatnonzero(np.isin(first[a:b], list(edges))):
-                stats[i] = edges[int(first[a + i])]
-            c = np.maximum(stats[:, 0], 1)
-            met = stats[:, 0] > 0
-            own[a:b] = np.where(met, np.maximum(seen - self.d[np.minimum(seen, 3)], 0) / c, 0.0)
-            left[a:b] = np.where(met, (stats[:, 1:] * self.d[1:]).sum(1) / c, 1.0)
-        return own, left
+    def high(self, grams: Grams, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number or -1, own share, share left for the shorter context) of sorted distinct keys of a level."""
+        level, m = grams.level, grams.level["m"]
+        number = grams.places(keys)
+        context = (keys >> np.uint64(self.spec["bits"])).astype(np.int64)
+        seen, sums = np.zeros(len(keys), np.int64), np.zeros((len(keys), 4), np.int64)
+        counts = f"seen{m}" if m == self.spec["order"] else f"types{m}"
+        met = np.flatnonzero(number >= 0)
+        seen[met] = grams.take(counts, number[met])
+        for p, a, b in grams.spans(keys):
+            at = context[a:b] - level["parts"][p]["low"]
+            for i in range(4):
+                have = grams.arrays.get(p, f"sum{m}{i}")
+                inside = np.flatnonzero((at >= 0) & (at < len(have)))
+                sums[a + inside, i] = have[at[inside]]
+        if len(level["edges"]):
+            at = np.minimum(np.searchsorted(level["edges"], context), len(level["edges"]) - 1)
+            hit = np.flatnonzero(level["edges"][at] == context)
+            sums[hit] = level["edge_sums"][at[hit]]
+        d = np.array([0.0, *level["discounts"]])
+        c, some = np.maximum(sums[:, 0], 1), sums[:, 0] > 0
+        own = np.where(some, np.maximum(seen - d[np.minimum(seen, 3)], 0) / c, 0.0)
+        return number, own, np.where(some, (sums[:, 1:] * d[1:]).sum(1) / c, 1.0)
 
     def score(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per text: n_tokens, n_known, base score, score (log10)."""
         hashes, at = tokens(raw, bounds)
         number, count = self.words.of(hashes)
         distinct, back = np.unique(number, return_inverse=True)
-        low = self.low(distinct)[back]
-        before = np.concatenate(([-1], number[:-1]))
-        before[at[:-1]] = self.spec["start"]
-        known = before >= 0
-        # an unknown second word has a number no file holds
-        second = np.where(number >= 0, number, 0xFFFFFFFF).astype(np.uint64)
-        keys, back = np.unique((before[known].astype(np.uint64) << np.uint64(32)) | second[known], return_inverse=True)
-        own, left = np.zeros(len(number)), np.ones(len(number))
-        if len(keys):
-            o, rest = self.high(keys)
-            own[known], left[known] = o[back], rest[back]
+        p, have = self.low(distinct)[back], number
+        for g in self.levels:
+            known, keys = _keys(_before(have, at, self.spec["size"] if g.level["m"] == 2 else -1), number, self.spec["bits"])
+            have = np.full(len(number), -1, np.int64)
+            if len(known):
+                distinct, back = np.unique(keys, return_inverse=True)
+                place, own, left = self.high(g, distinct)
+                have[known] = place[back]
+                p[known] = own[back] + left[back] * p[known]
         n, v = self.spec["total"], self.spec["size"]
         sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
-        return np.diff(at), sums((count > 0).astype(np.int64)), sums(np.log10((count + 1) / (n + v + 1))), sums(np.log10(own + left * low))
+        return np.diff(at), sums((count > 0).astype(np.int64)), sums(np.log10((count + 1) / (n + v + 1))), sums(np.log10(p))
 
 
 def score(docs: DataFrame, spec: dict) -> DataFrame:

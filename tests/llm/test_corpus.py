@@ -217,32 +217,69 @@ def test_url_rules_and_aliases(spark):
     assert got == {1: ("example.org/es/", "block"), 2: (None, "block"), 3: (None, "block"), 4: ("com/de/", "block"), 5: ("com/fr/", "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("example.org/en/1", "block"), 10: (None, "allow")}
 
 
-def test_language_model_against_brute_force(spark):
-    texts = ["a b a c", "a b", "c a b d e", "b b b", "", None, "a z"]
-    df = shared.text_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    spec = language_model.train(df.filter("doc_id < 6"), 8)
+def plain_model(texts: list[str | None], order: int):
+    """Interpolated modified Kneser-Ney by plain counting: P(word | words before) and the unigram counts."""
+    seqs = [["<s>", *words(t), "</s>"] for t in texts]
+    grams = {m: collections.Counter(tuple(s[i : i + m]) for s in seqs for i in range(len(s) - m + 1)) for m in range(1, order + 1)}
+    counts = {order: grams[order]}
+    for m in range(order - 1, 0, -1):
+        own = collections.Counter(g[1:] for g in grams[m + 1])
+        counts[m] = {g: c if g[0] == "<s>" else own[g] for g, c in grams[m].items() if g != ("<s>",)}
+    off = {m: language_model._discounts(np.array([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)])) for m, c in counts.items()}
+    after = {m: collections.defaultdict(list) for m in counts}
+    for m, c in counts.items():
+        for g, n in c.items():
+            after[m][g[:-1]].append(n)
+    uni = collections.Counter(w for s in seqs for w in s[1:])
+
+    def p(before: tuple, w: str) -> float:
+        m = len(before) + 1
+        shorter = p(before[1:], w) if before else 1 / (len(uni) + 1)
+        seen = after[m][before]
+        if not seen:
+            return shorter
+        c = counts[m].get((*before, w), 0)
+        own = max(c - off[m][min(c, 3) - 1], 0) if c else 0.0
+        return (own + sum(off[m][min(n, 3) - 1] for n in seen) * shorter) / sum(seen)
+
+    return p, uni
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_against_brute_force(spark, order):
+    rng = random.Random(order)
+    texts = ["a b a c", "a b", "c a b d e", "b b b", "", None, "A z", *(" ".join(rng.choices("abcdefgh", [9, 7, 5, 3, 2, 1, 1, 1], k=rng.randrange(1, 30))) for _ in range(40)), "a q b a b zz c a b"]
+    df = shared.text_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).repartition(3)
+    spec = language_model.train(df.filter("doc_id < 30"), 8, order)
     got = {r["doc_id"]: r for r in language_model.score(df, spec).collect()}
-    seqs = [["<s>", *words(t), "</s>"] for t in texts[:6]]
-    uni, bi = collections.Counter(w for s in seqs for w in s[1:]), collections.Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
-    cont = collections.Counter(w for _, w in bi)
-    of = lambda c: language_model._discounts(np.array([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]))
-    d2, d1 = of(bi), of(cont)
-    cut = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0.0
-    types, v = len(bi), len(uni)
-    left = sum(d1[min(c, 3) - 1] for c in cont.values()) / types
-
-    def p(u, w):
-        low = cut(cont[w], d1) / types + left / (v + 1)
-        own = {b: c for (a, b), c in bi.items() if a == u}
-        n = sum(own.values())
-        return cut(own.get(w, 0), d2) / n + sum(d2[min(c, 3) - 1] for c in own.values()) / n * low if n else low
-
-    assert sum(p("a", w) for w in uni) + p("a", "unknown") == pytest.approx(1.0)
+    p, uni = plain_model(texts[:30], order)
+    for before in (("a",), ("a", "b"), ("<s>", "a", "b"), ("b", "b", "c")):
+        assert sum(p(before[-order + 1 :], w) for w in uni) + p(before[-order + 1 :], "unknown") == pytest.approx(1.0)
     total = sum(uni.values())
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
         s = ["<s>", *words(t), "</s>"]
-        assert got[i]["score"] == pytest.approx(sum(np.log10(p(a, b)) for a, b in zip(s, s[1:], strict=False)))
-        assert got[i]["base_score"] == pytest.approx(sum(np.log10((uni[w] + 1) / (total + v + 1)) for w in s[1:])) and got[i]["train_tokens"] == total
+        assert got[i]["score"] == pytest.approx(sum(np.log10(p(tuple(s[max(0, j - order + 1) : j]), s[j])) for j in range(1, len(s))))
+        assert got[i]["base_score"] == pytest.approx(sum(np.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in s[1:])) and got[i]["train_tokens"] == total
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(s) - 1, sum(uni[w] > 0 for w in s[1:]))
+
+
+def test_language_model_of_nothing(spark):
+    df = shared.text_of(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string"))
+    empty = language_model.train(df.limit(0), 8)
+    assert language_model.score(df.limit(0), empty).count() == 0
+    assert {(r["n_tokens"], round(r["score"], 6)) for r in language_model.score(df, empty).collect()} == {(3, 0.0), (1, 0.0)}
+    assert [r["n_known"] for r in language_model.score(df.limit(1), language_model.train(df, 8)).collect()] == [3]
+
+
+def test_longer_contexts_predict_held_out_texts_better(spark):
+    rng = random.Random(5)
+    tellings = [f"the {a} of {b} was {c} by {d}" for a, b, c, d in zip(*[[prose(rng, 2) for _ in range(30)] for _ in range(4)], strict=True)]
+    rows = [(i, " ".join(rng.choices(tellings, k=4))) for i in range(300)]
+    df = shared.text_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = df.filter("doc_id % 5 = 0")
+    sums = [language_model.score(held, language_model.train(df.filter("doc_id % 5 <> 0"), 8, order)).agg(F.sum("score")).first()[0] for order in (2, 3)]
+    assert sums[0] < sums[1] < 0
 
 
 def test_packing_is_whole_and_gapless(docs):
