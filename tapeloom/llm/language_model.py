@@ -91,8 +91,19 @@ def _together(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _merged([p[0] for p in pairs], [p[1] for p in pairs])
 
 
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(t).max))
+def _put_counts(files, top: str, name: str, part: int, counts: np.ndarray) -> str:
+    """Write counts in as few bytes as they take; their type.
+
+    Behind a type with a plus, counts of 255 and more stand as 255, and their places and values in a file of their own.
+    """
+    kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(t).max)
+    large = np.flatnonzero(counts >= 255)
+    if len(counts) + 16 * len(large) < np.dtype(kind).itemsize * len(counts):
+        kind = "<u1+"
+        put(files, f"{top}/{name}+-{part:05d}", np.concatenate((large, counts[large])).astype("<i8").tobytes())
+        counts = np.minimum(counts, 255)
+    put(files, f"{top}/{name}-{part:05d}", counts.astype(kind.rstrip("+")).tobytes())
+    return kind
 
 
 class Arrays:
@@ -104,9 +115,19 @@ class Arrays:
 
     def get(self, part: int, name: str) -> np.ndarray:
         if (part, name) not in self.open:
-            self.open[part, name] = mapped(self.files, f"{self.top}/{name}-{part:05d}", self.parts[part][name])
+            kind = "<i8" if name.endswith("+") else self.parts[part][name].rstrip("+")
+            self.open[part, name] = mapped(self.files, f"{self.top}/{name}-{part:05d}", kind)
         return self.open[part, name]
 
+    def at(self, part: int, name: str, places: np.ndarray) -> np.ndarray:
+        """What _put_counts() wrote for some places."""
+        out = np.asarray(self.get(part, name)[places]).astype(np.int64)
+        if self.parts[part][name].endswith("+"):
+            where, values = self.get(part, f"{name}+").reshape(2, -1)
+            large = np.flatnonzero(out == 255)
+            out[large] = values[np.searchsorted(where, places[large])]
+        return out
+
 
 class Vocabulary:
     """Numbers of words: their places in the sorted hashes of all parts."""
@@ -128,7 +149,7 @@ class Vocabulary:
                 at = np.searchsorted(keys, hashes[a:b])
                 hit = np.flatnonzero(np.asarray(keys[np.minimum(at, len(keys) - 1)]) == hashes[a:b])
                 number[a + hit] = self.base[p] + at[hit]
-                count[a + hit] = self.arrays.get(p, "count")[at[hit]]
+                count[a + hit] = self.arrays.at(p, "count", at[hit])
         return number, count
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +198,15 @@ class Grams:
             out[at] = self.arrays.get(int(p), name)[numbers[at] - self.base[p]]
         return out
 
+    def counts(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        """What _put_counts() wrote, for some numbers."""
+        out = np.zeros(len(numbers), np.int64)
+        part = np.searchsorted(self.base, numbers, "right") - 1
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            out[at] = self.arrays.at(int(p), name, numbers[at] - self.base[p])
+        return out
+
 
 def _before(have: np.ndarray, at: np.ndarray, first: int) -> np.ndarray:
     """For each token the number of what ends right before it; first at the start of a text."""
@@ -264,11 +294,10 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 3) -> dict:
         part = int(pdf["part"].iloc[0])
         k, c = _together(pdf)
         files, top = open_dir(uri)
-        narrow = _narrow(c)
         put(files, f"{top}/hash-{part:05d}", k.astype("<u8").tobytes())
-        put(files, f"{top}/count-{part:05d}", narrow.tobytes())
+        kind = _put_counts(files, top, "count", part, c)
         at, share = _marks(c)
-        return pd.DataFrame({"part": [part], "n": [len(k)], "total": [int(c.sum())], "count": [narrow.dtype.str], "at": [at], "share": [share]})
+        return pd.DataFrame({"part": [part], "n": [len(k)], "total": [int(c.sum())], "count": [kind], "at": [at], "share": [share]})
 
     counted = shared.materialize(docs.mapInArrow(count_words, _BLOBS).groupBy("part").applyInPandas(write_words, "part int, n long, total long, count string, at array<long>, share array<double>"))
     rows = sorted(counted.collect(), key=lambda r: r["part"])  # a row per shard
@@ -294,10 +323,7 @@ _BELOW = "part int, kind string, total long, counts array<long>, above long, low
 
 def _put_figures(files, top: str, m: int, part: int, sums: np.ndarray) -> list[str]:
     """Write the sums of a part's contexts, a file each; their types."""
-    narrow = [_narrow(sums[:, i]) for i in range(4)]
-    for i, x in enumerate(narrow):
-        put(files, f"{top}/sum{m}{i}-{part:05d}", x.tobytes())
-    return [x.dtype.str for x in narrow]
+    return [_put_counts(files, top, f"sum{m}{i}", part, sums[:, i]) for i in range(4)]
 
 
 def _count_level(docs: DataFrame, spec: dict, level: dict, lowest: int) -> tuple[int, list]:
@@ -334,9 +360,8 @@ def _count_level(docs: DataFrame, spec: dict, level: dict, lowest: int) -> tuple
         part = int(pdf["part"].iloc[0])
         k, c = _together(pdf)
         files, top = open_dir(uri)
-        narrow = _narrow(c)
         put(files, f"{top}/key{m}-{part:05d}", k.astype("<u8").tobytes())
-        put(files, f"{top}/seen{m}-{part:05d}", narrow.tobytes())
+        kind = _put_counts(files, top, f"seen{m}", part, c)
         context = (k >> np.uint64(bits)).astype(np.int64)
         row = dict.fromkeys(("blob", "counts", "low", "sums", "edge"))
         if last:
@@ -354,7 +379,7 @@ def _count_level(docs: DataFrame, spec: dict, level: dict, lowest: int) -> tuple
         out = _blobs(*np.unique(ends, return_counts=True), to[1:-1].astype(np.uint64)).to_pandas()
         out["kind"] = "ends"
         row["at"], row["share"] = _marks(c)
-        meta = pd.DataFrame({x: [v] for x, v in row.items()} | {"part": [part], "n": [len(k)], "kind": [narrow.dtype.str], "total": [int(c.sum())], "starts": [int((context >= lowest).sum())]})
+        meta = pd.DataFrame({x: [v] for x, v in row.items()} | {"part": [part], "n": [len(k)], "kind": [kind], "total": [int(c.sum())], "starts": [int((context >= lowest).sum())]})
         return pd.concat([meta, out.astype(object)], ignore_index=True).reindex(columns=[x.split()[0] for x in _META.split(", ")]).astype(object).where(lambda x: x.notna(), None)
 
     made = shared.materialize(docs.mapInArrow(count, _BLOBS).groupBy("part").applyInPandas(write, _META))
@@ -383,12 +408,11 @@ def _count_level(docs: DataFrame, spec: dict, level: dict, lowest: int) -> tuple
         row = {"low": None, "sums": None, "edge": None}
         if under:
             arrays, begin = Arrays(uri, under["parts"]), max(0, lowest - first)
-            dense[begin:] = arrays.get(part, f"seen{m - 1}")[begin:]
+            dense[begin:] = arrays.at(part, f"seen{m - 1}", np.arange(begin, len(dense)))
             row["low"], sums, row["edge"] = _figures((np.asarray(arrays.get(part, f"key{m - 1}")) >> np.uint64(bits)).astype(np.int64), dense)
             row["sums"] = _put_figures(files, top, m - 1, part, sums)
-        narrow = _narrow(dense)
-        put(files, f"{top}/types{m - 1}-{part:05d}", narrow.tobytes())
-        return pd.DataFrame({x: [v] for x, v in row.items()} | {"part": [part], "kind": [narrow.dtype.str], "total": [int(dense.sum())], "counts": [_types(dense)], "above": [int((dense >= 3).sum())]})[[x.split()[0] for x in _BELOW.split(", ")]]
+        kind = _put_counts(files, top, f"types{m - 1}", part, dense)
+        return pd.DataFrame({x: [v] for x, v in row.items()} | {"part": [part], "kind": [kind], "total": [int(dense.sum())], "counts": [_types(dense)], "above": [int((dense >= 3).sum())]})[[x.split()[0] for x in _BELOW.split(", ")]]
 
     # a row of every part, as nothing ends in m-grams that begin a text
     every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("part"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("blob"))
@@ -399,6 +423,7 @@ def _count_level(docs: DataFrame, spec: dict, level: dict, lowest: int) -> tuple
         (under["parts"] if under else parts)[r["part"]][f"types{m - 1}"] = r["kind"]
     if under:
         _close(under, done)
+        _delete(uri, [f"seen{m - 1}{more}-{p:05d}" for p, x in under["parts"].items() for more in ("", "+")[: 1 + x.pop(f"seen{m - 1}").endswith("+")]])
     else:
         low = np.sum([r["counts"] for r in done], axis=0) if done else np.zeros(4)
         types, above = sum(r["total"] for r in done), sum(r["above"] for r in done)
@@ -410,6 +435,12 @@ def _count_level(docs: DataFrame, spec: dict, level: dict, lowest: int) -> tuple
     return starts, [(int(bases[r["part"]]) + i, x, r["total"] / MARKS) for r in rows for i, x in zip(r["at"], r["share"], strict=True)]
 
 
+def _delete(uri: str, names: list[str]) -> None:
+    files, top = open_dir(uri)
+    for name in names:
+        files.delete_file(f"{top}/{name}")
+
+
 def _close(level: dict, rows: list) -> None:
     """Enter the figures' places and types, those of contexts at the ends of parts (which may stand in several) and the discounts."""
     m, ends = level["m"], {}
@@ -439,7 +470,7 @@ class Model:
         part = self.words.part_of(numbers[known])
         for p in np.unique(part):
             at = known[part == p]
-            count[at] = self.words.arrays.get(int(p), "types1")[numbers[at] - self.words.base[p]]
+            count[at] = self.words.arrays.at(int(p), "types1", numbers[at] - self.words.base[p])
         own = np.maximum(count - self.d_low[np.minimum(count, 3)], 0) / max(1, self.spec["types"])
         return own + self.spec["uniform"]
 
@@ -451,13 +482,12 @@ class Model:
         seen, sums = np.zeros(len(keys), np.int64), np.zeros((len(keys), 4), np.int64)
         counts = f"seen{m}" if m == self.spec["order"] else f"types{m}"
         met = np.flatnonzero(number >= 0)
-        seen[met] = grams.take(counts, number[met])
+        seen[met] = grams.counts(counts, number[met])
         for p, a, b in grams.spans(keys):
             at = context[a:b] - level["parts"][p]["low"]
             for i in range(4):
-                have = grams.arrays.get(p, f"sum{m}{i}")
-                inside = np.flatnonzero((at >= 0) & (at < len(have)))
-                sums[a + inside, i] = have[at[inside]]
+                inside = np.flatnonzero((at >= 0) & (at < len(grams.arrays.get(p, f"sum{m}{i}"))))
+                sums[a + inside, i] = grams.arrays.at(p, f"sum{m}{i}", at[inside])
         if len(level["edges"]):
             at = np.minimum(np.searchsorted(level["edges"], context), len(level["edges"]) - 1)
             hit = np.flatnonzero(level["edges"][at] == context)

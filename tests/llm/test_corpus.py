@@ -264,6 +264,19 @@ def test_language_model_against_brute_force(spark, order):
         assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(s) - 1, sum(uni[w] > 0 for w in s[1:]))
 
 
+@pytest.mark.parametrize("high", [200, 256, 70_000, 2**40])
+def test_counts_come_back_from_few_bytes(tmp_path, high):
+    rng = np.random.default_rng(high)
+    counts = np.where(rng.random(5000) < 0.01, high, rng.integers(0, 254, 5000))
+    counts[:3] = 254, 255, min(high, 256)
+    files, top = token_files.open_dir(tmp_path.as_uri())
+    kind = language_model._put_counts(files, top, "n", 3, counts)
+    places = rng.integers(0, 5000, 800)
+    arrays = language_model.Arrays(tmp_path.as_uri(), {3: {"n": kind}})
+    assert (arrays.at(3, "n", places) == counts[places]).all() and (arrays.at(3, "n", np.arange(5000)) == counts).all()
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 6500
+
+
 def test_language_model_of_nothing(spark):
     df = shared.text_of(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string"))
     empty = language_model.train(df.limit(0), 8)
