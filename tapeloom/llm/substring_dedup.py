@@ -143,10 +143,11 @@ def paired_at_once(rows: DataFrame) -> DataFrame:
     at least two hash functions. Most pairs of near-duplicate passages are such; the others meet by signatures."""
     hub = [F.min(F.struct("doc", place_of(F.col("at")).alias("c"))).alias("low"), F.max(F.struct((-F.col("doc")).alias("doc"), place_of(F.col("at")).alias("c"))).alias("high")]
     hubs = rows.groupBy("key").agg(*hub).select("key", F.col("low.doc").alias("a"), F.col("low.c").alias("a0"), F.col("high.c").alias("a1"))
+    hubs = shared.materialize(hubs)  # a stage of its own: the rows of one key that many documents have can then be split in the join
     c, kind = place_of(F.col("at")), F.bit_or(F.expr("shiftleft(1, cast(at & 255 as int))"))
-    pairs = rows.join(hubs, "key").filter("doc != a").groupBy("a", F.col("doc").alias("b"))
+    pairs = rows.join(shared.small(hubs), "key").filter("doc != a").groupBy("a", F.col("doc").alias("b"))
     pairs = pairs.agg(F.min("a0").alias("a_low"), F.max("a1").alias("a_high"), F.min(c).alias("b_low"), F.max(c).alias("b_high"), F.bit_count(kind).alias("kinds"))
-    return shared.materialize(pairs.filter("kinds > 1").drop("kinds"))
+    return shared.materialize(pairs.filter("kinds > 1").drop("kinds"), hubs)
 
 
 def signed_sets(size: int, doc: np.ndarray, key: np.ndarray, kind: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -202,8 +203,8 @@ def paired(rows: DataFrame, turn: int = 0, parts: int = 1) -> tuple[DataFrame, D
     to = hubs.select("key", F.col("part").alias("p"), F.col("hub.doc").alias("h"), F.col("hub.low").alias("h0"), F.col("hub.high").alias("h1"))
     if parts > 1:
         several = hubs.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least != most").select("key")
-        to = to.join(several, "key")
-    met = shared.materialize(rows.join(to, "key").filter("doc != h"))
+        to = shared.materialize(to.join(several, "key"))
+    met = shared.materialize(rows.join(shared.small(to), "key").filter("doc != h"), *([to] if parts > 1 else []))
     of = lambda x, y: F.when(F.col("doc") < F.col("h"), F.col(x)).otherwise(F.col(y))
     places = met.select(F.least("doc", "h").alias("a"), F.greatest("doc", "h").alias("b"), of("low", "h0").alias("a0"), of("high", "h1").alias("a1"), of("h0", "low").alias("b0"), of("h1", "high").alias("b1"))
     pairs = places.groupBy("a", "b").agg(F.min("a0").alias("a_low"), F.max("a1").alias("a_high"), F.min("b0").alias("b_low"), F.max("b1").alias("b_high"))
