@@ -175,7 +175,7 @@ def assert_packed(out, capacity):
 
 @pytest.fixture(scope="module")
 def corpus():
-    """About 130 documents: plain ones, short and repetitive ones, odd symbols, copies, near copies, common passages, benchmark items."""
+    """110 documents: plain ones, short and repetitive ones, odd symbols, copies, near copies, common passages, benchmark items."""
     rng = random.Random(71)
     texts = [prose(rng, rng.randint(70, 140)) for _ in range(90)]
     items = [(i, prose(rng, rng.randint(10, 30))) for i in range(6)] + [(6, None), (None, "")]
