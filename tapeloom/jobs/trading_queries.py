@@ -308,7 +308,7 @@ _PANEL = _ORDERS + """, ob2 AS (SELECT ob.*, CASE WHEN side = 'buy' THEN 1.0 ELS
 
 @register("G0_position_bar_panel", _PANEL + " SELECT position_id, timestamp, round(ret, 6) AS ret, hwm, lwm, held::INT AS bars_held FROM gp")
 def g0(spark, d):
-    return bar_panel(spark, d).select("position_id", "timestamp", F.round("ret", 6).alias("ret"), "hwm", "lwm", F.col("bars_held").cast("int").alias("bars_held"))
+    return bar_panel(spark, d).select("position_id", "timestamp", panel_queries.scaled_round(F.col("ret"), 6).alias("ret"), "hwm", "lwm", F.col("bars_held").cast("int").alias("bars_held"))
 
 
 def _first(condition: str, price: str, reason: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapeloom.operators import towers
-from tapeloom.operators.joins import interval_join
+from tapeloom.operators.joins import ieee, interval_join
 from tapeloom.sources.results import stored
 
 
@@ -20,10 +20,12 @@ def by_position():
 
 
 def position_bar_panel(entries: DataFrame, bars: DataFrame, seconds: int, extremes: bool = True, mark: str = "fill_price") -> DataFrame:
-    """Entries (position_id, asset, side, entry_time, entry_price, until) x bars after entry, with marks through the previous bar."""
+    """Entries (position_id, asset, side, entry_time, entry_price, until) x bars after entry, with marks through the previous bar.
+
+    Returns on an entry price of 0 are infinite or NaN. sign is whole, so that decimal shares stay exact up to their product with a price."""
     columns = [c for c in bars.columns if c != "asset"]
     seen = interval_join(entries, bars.select("asset", *columns), ["asset"], "entry_time", "until", "timestamp", seconds)
-    sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
     at_entry = F.col("timestamp") == F.col("entry_time")
     start = F.col("entry_price") if mark == "fill_price" else F.col("close")
     up = F.when(at_entry, F.greatest(start, "close")).otherwise(F.col("high") if extremes else F.col("close"))
@@ -31,7 +33,7 @@ def position_bar_panel(entries: DataFrame, bars: DataFrame, seconds: int, extrem
     before = by_position().rowsBetween(W.unboundedPreceding, -1)
     out = seen.withColumns({"sign": sign, "_u": up, "_d": down, "next_open": F.lead("open").over(by_position())})
     out = out.withColumns({"hwm": F.max("_u").over(before), "lwm": F.min("_d").over(before), "bars_held": F.row_number().over(by_position()) - 1})
-    return out.filter("timestamp > entry_time").drop("_u", "_d").withColumn("ret", F.col("sign") * (F.col("close") / F.col("entry_price") - 1))
+    return out.filter("timestamp > entry_time").drop("_u", "_d").withColumn("ret", F.col("sign") * (ieee(F.col("close"), F.col("entry_price")) - 1))
 
 
 def _hit(condition: Column, reason: str, price: Column | None = None) -> Column:

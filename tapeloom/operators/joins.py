@@ -47,6 +47,11 @@ def bucket(time: Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(time.cast("timestamp")) / seconds)
 
 
+def ieee(a: Column, b: Column) -> Column:
+    """a / b of doubles, infinite or NaN instead of an error where b is 0."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def interval_join(spans: DataFrame, points: DataFrame, by: Sequence[str], start: str, end: str, time: str, seconds: int) -> DataFrame:
     """spans x points with equal ``by`` and start <= time <= end.
 
