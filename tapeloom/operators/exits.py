@@ -178,7 +178,7 @@ def exit_rule_sweep(panel: DataFrame, params: DataFrame) -> DataFrame:
     hit = many.withColumn("_x", rule).filter("_x is not null")
     out = hit.groupBy(F.col("_p.run_id").alias("run_id"), "position_id").agg(F.min("timestamp").alias("exit_time"), F.min_by(F.struct("_x", "close", "entry_price", "sign", "bars_held"), "timestamp").alias("_r"))
     price = F.coalesce("_r._x.price", "_r.close")
-    return out.select("run_id", "position_id", "exit_time", F.col("_r._x.reason").alias("reason"), price.alias("exit_price"), (F.col("_r.sign") * (price / F.col("_r.entry_price") - 1)).alias("ret"), F.col("_r.bars_held").alias("bars_held"))
+    return out.select("run_id", "position_id", "exit_time", F.col("_r._x.reason").alias("reason"), price.alias("exit_price"), (F.col("_r.sign") * (ieee(price, F.col("_r.entry_price")) - 1)).alias("ret"), F.col("_r.bars_held").alias("bars_held"))
 
 
 def touch_exits(entries: DataFrame, bars: DataFrame, stop: float | None, target: float | None, seconds: int, there: DataFrame | None = None) -> DataFrame:
