@@ -79,11 +79,12 @@ def normalize_weights(signals: DataFrame, column: str) -> DataFrame:
     return positive.withColumn("weight", F.col(column) / F.sum(column).over(W.partitionBy("timestamp")))
 
 
-def position_size(equity: Column, fraction: float, price: Column, integer: bool = True) -> Column:
-    """Shares for a fraction of equity; null where none can be bought."""
+def position_size(equity: Column, fraction: float, price: Column, integer: bool = True, free: float | None = None) -> Column:
+    """Shares for a fraction of equity; null where none can be bought, ``free`` at a price of 0."""
     shares = F.try_divide(equity * fraction, price)
     shares = shares.cast("bigint").cast("double") if integer else shares
-    return F.when(shares > 0, shares)
+    bought = F.when(shares > 0, shares)
+    return bought if free is None else F.when((price == 0) & (equity * fraction > 0), F.lit(free)).otherwise(bought)
 
 
 def kelly_fraction(trades: DataFrame, min_trades: int, base: float = 0.1, window: int = 50) -> DataFrame:
