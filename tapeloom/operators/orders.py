@@ -72,13 +72,15 @@ def resolve_trailing_stop_orders(orders: DataFrame, bars: DataFrame, seconds: in
 
 
 def resolve_brackets(entries: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
-    """Long entries with take_profit and stop_loss, live from the entry bar: the first leg to fill; the take-profit wins a shared bar."""
+    """Long entries with take_profit and stop_loss, live from the entry bar: the first leg to fill; the take-profit wins a shared bar.
+
+    inverted: the take-profit lies below the stop-loss (equal levels, as of a price of 0, do not)."""
     leg = lambda name, kind, column: entries.select("order_id", "asset", "start", "end", F.lit("sell").alias("side"), F.lit(kind).alias("kind"), F.col(column).alias("level"), F.lit(name).alias("leg"))
     legs = leg("take_profit", "limit", "take_profit").unionByName(leg("stop_loss", "stop", "stop_loss")).withColumn("order_id", F.concat_ws("|", "order_id", "leg"))
     done = resolve_limit_stop_orders(legs, bars, seconds).withColumn("order_id", F.substring_index("order_id", "|", 1))
     first = F.struct("fill_time", (F.col("leg") == "stop_loss").alias("_second"))
     out = done.groupBy("order_id").agg(F.min("fill_time").alias("fill_time"), F.min_by("leg", first).alias("leg"), F.min_by("fill_price", first).alias("fill_price"))
-    return out.join(entries.select("order_id", (F.col("take_profit") <= F.col("stop_loss")).alias("inverted")), "order_id")
+    return out.join(entries.select("order_id", (F.col("take_profit") < F.col("stop_loss")).alias("inverted")), "order_id")
 
 
 def rejected_orders(orders: DataFrame) -> DataFrame:
