@@ -120,32 +120,49 @@ def trailing_touch(orders: DataFrame, there: DataFrame, seconds: int, key: str =
     """(key, time, open, stop): the first bar of start..end that is ``trail`` or more away from the mark, this bar's included.
 
     The mark is the highest high so far (``sell``), whose stop is below it, or the lowest low. Lows are mirrored for the latter. What a search
-    carries from row to row is the mark."""
+    carries from row to row is the mark. A bar is tested against its rounded stop; a row above bars only by its deepest fall, which may round
+    the other way. So rows within that doubt are gone down into, too, besides the first one beyond it, and an order's first bar of all is its touch."""
     high = lambda k: F.when(F.col("sell"), k["hi"]).otherwise(-k["lo"])
     low = lambda k: F.when(F.col("sell"), k["lo"]).otherwise(-k["hi"])
     fall = lambda k: F.when(F.col("sell"), k["fall"]).otherwise(k["rise"])
-    hits = lambda mark, k: F.coalesce(F.greatest(mark - low(k), fall(k)) >= F.col("trail"), F.lit(False))
+    kind = there.schema["kids"].dataType.elementType
 
-    def walk(rows: Column, mark: Column) -> Column:
-        """at: the first row (by its at or key) that hits; mark: that before it."""
-        start = F.struct(mark.cast("double").alias("mark"), F.lit(None).cast("long").alias("at"))
-        return F.aggregate(rows, start, lambda s, k: F.when(s["at"].isNotNull(), s).when(hits(s["mark"], k), F.struct(s["mark"].alias("mark"), k["at"].alias("at"))).otherwise(F.struct(F.greatest(s["mark"], high(k)).alias("mark"), s["at"].alias("at"))))
+    def beyond(mark: Column, k: Column, way: int) -> Column:
+        doubt = 1e-12 * F.greatest(F.abs(k["hi"]), F.abs(k["lo"]), F.abs(mark), F.abs("trail"))
+        return F.coalesce(F.greatest(mark - low(k), fall(k)) >= F.col("trail") + way * doubt, F.lit(False))
+
+    def walk(rows: Column, mark: Column, bars: bool) -> Column:
+        """(at, mark before it) of the rows, by their at or key, that may hold the touch: up to the first that must."""
+        place = F.array().cast("array<struct<at:bigint,mark:double>>")
+        start = F.struct(mark.cast("double").alias("mark"), F.lit(False).alias("done"), place.alias("found"))
+
+        def step(s: Column, k: Column) -> Column:
+            reached = F.greatest(s["mark"], high(k))
+            touched = F.coalesce(low(k) <= reached - F.col("trail"), F.lit(False))
+            may, must = (touched, touched) if bars else (beyond(s["mark"], k, -1), beyond(s["mark"], k, 1))
+            here = F.array(F.struct(k["at"].alias("at"), s["mark"].alias("mark")))
+            return F.when(s["done"], s).otherwise(F.struct(reached.alias("mark"), must.alias("done"), F.when(may, F.concat(s["found"], here)).otherwise(s["found"]).alias("found")))
+
+        return F.aggregate(rows, start, step, lambda s: s["found"])
 
     met = _met(orders.select(key, "asset", "start", "end", "sell", "trail"), there, "start", "end", seconds)
     part = met.withColumn("_s", _summary(F.col("kids"))).select(key, "asset", "sell", "trail", F.struct(F.col("key").alias("at"), "lvl", "block", "from", "to", "_s.hi", "_s.lo", "_s.fall", "_s.rise").alias("part"))
     per = part.groupBy(key).agg(*(F.first(c).alias(c) for c in ("asset", "sell", "trail")), F.sort_array(F.collect_list("part")).alias("parts"))  # about 2 * levels parts
-    per = per.withColumn("_w", walk(F.col("parts"), F.lit(None))).filter("_w.at is not null")
+    per = per.withColumn("_w", F.explode(walk(F.col("parts"), F.lit(None), False)))
     chosen = F.filter("parts", lambda p: p["at"] == F.col("_w.at"))[0]
-    state = per.withColumn("_c", chosen).select(key, "asset", "sell", "trail", F.col("_w.mark").alias("mark"), "_c.lvl", "_c.block", "_c.from", "_c.to", F.lit(None).cast(there.schema["kids"].dataType.elementType).alias("bar"))
+    state = per.withColumn("_c", chosen).select(key, "asset", "sell", "trail", F.col("_w.mark").alias("mark"), "_c.lvl", "_c.block", "_c.from", "_c.to", F.lit(None).cast(kind).alias("bar"))
     for lvl in range(LEVELS, 0, -1):
         now = F.col("lvl") == lvl
-        state = _below(state, there, lvl, key).withColumn("_kids", F.filter("_kids", lambda k: (k["at"] >= F.col("from")) & (k["at"] <= F.col("to")))).withColumn("_w", walk(F.col("_kids"), F.col("mark")))
+        state = _below(state, there, lvl, key).withColumn("_kids", F.filter("_kids", lambda k: (k["at"] >= F.col("from")) & (k["at"] <= F.col("to"))))
+        stay = F.array(F.struct(F.lit(None).cast("bigint").alias("at"), F.col("mark").alias("mark")))
+        state = state.withColumn("_w", F.explode(F.when(now, walk(F.col("_kids"), F.col("mark"), lvl == 1)).otherwise(stay)))
         found = F.filter("_kids", lambda k: k["at"] == F.col("_w.at"))[0]
         step = {"mark": F.when(now, F.col("_w.mark")).otherwise(F.col("mark")), "block": F.when(now, F.col("_w.at")).otherwise(F.col("block")), "lvl": F.when(now, lvl - 1).otherwise(F.col("lvl")), "from": F.when(now, F.lit(-(2**63))).otherwise(F.col("from")), "to": F.when(now, F.lit(2**63 - 1)).otherwise(F.col("to"))}
         state = state.withColumns(step | ({"bar": found} if lvl == 1 else {})).drop("_kids", "_w")
     mark = F.greatest(F.col("mark"), high(F.col("bar")))
     stop = F.when(F.col("sell"), mark - F.col("trail")).otherwise(F.col("trail") - mark)
-    return state.select(key, F.col("bar.time").alias("time"), F.col("bar.open").alias("open"), stop.alias("stop"))
+    touch = state.select(key, F.struct(F.col("bar.at").alias("at"), F.col("bar.time").alias("time"), F.col("bar.open").alias("open"), stop.alias("stop")).alias("_r"))
+    return touch.groupBy(key).agg(F.min("_r").alias("_r")).select(key, "_r.time", "_r.open", "_r.stop")
 
 
 def range_extremes(spans: DataFrame, there: DataFrame, seconds: int, key: str, at_start: str | None = None) -> DataFrame:
