@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import costs
 from tapeloom.jobs import panel_queries
 from tapeloom.jobs.panel_queries import rounded
-from tapeloom.operators import exits, ledger, orders, panel, signals
+from tapeloom.operators import exits, joins, ledger, orders, panel, signals
 from tapeloom.sources import views as v
 
 QUERIES: dict = {}
@@ -197,7 +197,7 @@ def f7(spark, d):
   SELECT order_id AS trade_id, round(greatest(max(greatest(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) + 0 AS mfe, round(least(min(least(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) + 0 AS mae FROM s GROUP BY 1""")
 def f8(spark, d):
     trades = some_orders(spark, d).select(F.col("order_id").alias("trade_id"), "asset", F.col("start").alias("entry_time"), F.col("end").alias("exit_time"), F.col("close").alias("entry_price"), F.when(F.col("side") == "buy", 1.0).otherwise(-1.0).alias("quantity"))
-    return rounded(ledger.mfe_mae(trades, v.bars_user(spark, d), 5 * DAY, extremes=True).select("trade_id", "mfe", "mae"))
+    return rounded(ledger.mfe_mae(trades, v.bars_user(spark, d), 5 * DAY, extremes=True, quotient=joins.ieee).select("trade_id", "mfe", "mae"))
 
 
 @register("F9_settlement_holds", ", p AS (SELECT run_id, date_diff('day', DATE '1990-01-01', timestamp::DATE)::INT AS bar, sum(quantity * price) AS proceeds FROM fl WHERE side = 'sell' GROUP BY 1, 2) SELECT run_id, bar, round(sum(proceeds) OVER (PARTITION BY run_id ORDER BY bar RANGE BETWEEN 1 PRECEDING AND CURRENT ROW), 3) AS unsettled FROM p")

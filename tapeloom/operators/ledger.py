@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,15 +150,16 @@ def bars_held(trades: DataFrame, stamps: DataFrame) -> DataFrame:
     return both.withColumn("bars_held", F.col("_b") - F.col("_a")).drop("_a", "_b")
 
 
-def mfe_mae(trades: DataFrame, bars: DataFrame, seconds: int, extremes: bool = False) -> DataFrame:
+def mfe_mae(trades: DataFrame, bars: DataFrame, seconds: int, extremes: bool = False, quotient: Callable[[Column, Column], Column] = F.try_divide) -> DataFrame:
     """Best and worst direction-aware return over bars from entry to before exit; the entry bar by its close.
 
-    Range extremes from a tower of blocks: a trade meets a few rows however long it is held."""
+    Range extremes from a tower of blocks: a trade meets a few rows however long it is held. On an entry price of 0 both are 0, or what
+    ``quotient`` (such as ``joins.ieee``) makes of it."""
     there = towers.tower(bars, seconds, *(("high", "low") if extremes else ("close", "close")))
     spans = trades.select("trade_id", "asset", F.col("entry_time").alias("start"), (F.col("exit_time") - F.expr("interval 1 microsecond")).alias("end"))
     found = towers.range_extremes(spans, there, seconds, "trade_id", "close")
     side = F.signum("quantity")
-    ends = [side * (F.try_divide(x, "entry_price") - 1) for x in ("highest", "lowest")]
+    ends = [side * (quotient(F.col(x), F.col("entry_price")) - 1) for x in ("highest", "lowest")]
     out = trades.join(found, "trade_id", "left")
     return out.withColumns({"mfe": F.greatest(*ends, F.lit(0.0)), "mae": F.least(*ends, F.lit(0.0))}).drop("highest", "lowest")
 
