@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -367,14 +368,19 @@ def g11(spark, d):
     return out.withColumn("stop_price", F.round("stop_price", 6))
 
 
+def sweep_grid(spark, d):
+    """A parameter set a nation; its shares are decimals, as the SQL's literals are."""
+    k, of = F.col("n_nationkey"), lambda x: F.lit(Decimal(x))
+    grid = {"stop": of("0.1") + k * of("0.03"), "target": of("0.2") + k * of("0.03"), "trail": of("0.3") + k * of("0.02"), "hold": 3 + k % 5}
+    return v.table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("run_id"), *(c.alias(name) for name, c in grid.items()))
+
+
 @register("G12_exit_rule_sweep", _PANEL + """, pr AS (SELECT 'n' || n_nationkey AS run_id, 0.1 + n_nationkey * 0.03 AS stop, 0.2 + n_nationkey * 0.03 AS target, 0.3 + n_nationkey * 0.02 AS trail, 3 + n_nationkey % 5 AS hold FROM nation),
   x AS (SELECT run_id, position_id, timestamp, CASE WHEN CASE WHEN sg > 0 THEN low <= c0 * (1 - sg * stop) ELSE high >= c0 * (1 - sg * stop) END THEN 'stop_loss' WHEN CASE WHEN sg > 0 THEN high >= c0 * (1 + sg * target) ELSE low <= c0 * (1 + sg * target) END THEN 'take_profit'
   WHEN CASE WHEN sg > 0 THEN low <= hwm * (1 - trail) ELSE high >= lwm * (1 + trail) END THEN 'trailing_stop' WHEN held >= hold THEN 'time_exit' END AS reason FROM gp CROSS JOIN pr)
   SELECT run_id, position_id, min(timestamp) AS exit_time, arg_min(reason, timestamp) AS reason FROM x WHERE reason IS NOT NULL GROUP BY 1, 2""")
 def g12(spark, d):
-    k = F.col("n_nationkey")
-    params = v.table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("run_id"), (0.1 + k * 0.03).alias("stop"), (0.2 + k * 0.03).alias("target"), (0.3 + k * 0.02).alias("trail"), (3 + k % 5).alias("hold"))
-    return exits.exit_rule_sweep(bar_panel(spark, d), params).select("run_id", "position_id", "exit_time", "reason")
+    return exits.exit_rule_sweep(bar_panel(spark, d), sweep_grid(spark, d)).select("run_id", "position_id", "exit_time", "reason")
 
 
 _SWEPT = _PANEL + f""", pr AS (SELECT 'n' || n_nationkey AS run_id, 0.1 + n_nationkey * 0.03 AS stop, 0.2 + n_nationkey * 0.03 AS target, 0.3 + n_nationkey * 0.02 AS trail, 3 + n_nationkey % 5 AS hold FROM nation),

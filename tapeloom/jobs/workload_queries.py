@@ -41,11 +41,9 @@ def sweep(entries: DataFrame, bars: DataFrame, params: DataFrame, seconds: int,
   SELECT run_id, stop, target, count(*) AS num_trades, round(avg((pnl > 0)::INT), 9) AS win_rate, round(avg(r), 9) AS avg_trade, round(CASE WHEN sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) > 0 THEN sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) ELSE 'inf'::DOUBLE END, 7) AS profit_factor
   FROM ret JOIN pr USING (run_id) GROUP BY 1, 2, 3""")
 def w2(spark, d):
-    k = F.col("n_nationkey")
-    params = v.table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("run_id"), (0.1 + k * 0.03).alias("stop"), (0.2 + k * 0.03).alias("target"), (0.3 + k * 0.02).alias("trail"), (3 + k % 5).alias("hold"))
     bars = v.bars_user(spark, d).join(v.signals(spark, d).select("asset", "timestamp"), ["asset", "timestamp"])
-    out = sweep(trading_queries.entries(spark, d), bars, params, 5 * 86400, results.scratch(spark))["summary"]
-    return out.select("run_id", "stop", "target", "num_trades", *(F.round(c, 9).alias(c) for c in ("win_rate", "avg_trade")), F.round("profit_factor", 7).alias("profit_factor"))
+    out = sweep(trading_queries.entries(spark, d), bars, trading_queries.sweep_grid(spark, d), 5 * 86400, results.scratch(spark))["summary"]
+    return out.select("run_id", *(F.col(c).cast("double").alias(c) for c in ("stop", "target")), "num_trades", *(F.round(c, 9).alias(c) for c in ("win_rate", "avg_trade")), F.round("profit_factor", 7).alias("profit_factor"))
 
 
 def report(closed: DataFrame, signals: DataFrame, curve: DataFrame, columns: list[str], reasons: list[str] | None, path: str) -> dict[str, DataFrame]:
