@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapeloom.operators.joins import asof_join
+from tapeloom.sources.results import stored
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -56,20 +59,31 @@ def trade_stats_by(trades: DataFrame) -> DataFrame:
     return closed.groupingSets([[], [F.col("direction")], [F.col("symbol")], [F.col("exit_reason")]], F.col("direction"), F.col("symbol"), F.col("exit_reason")).agg(level, *_stats())
 
 
-def exact_quantiles(values: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+#: Groups whose spans and bins may be broadcast.
+FEW = 1000
+
+
+def few(values: DataFrame, by: list[str]) -> bool:
+    """Whether there are at most FEW groups (counted)."""
+    return values.select(*by).distinct().limit(FEW + 1).count() <= FEW
+
+
+def exact_quantiles(values: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 4096, small: bool = False) -> DataFrame:
     """Columns name=share: exact quantiles, linear between ranks, of the values (not null) of each group; groups without values are left out.
 
     Two passes, with no group's values in one buffer: counts in ``bins`` equal ranges of the group's span give the base rank of each range; then only
-    rows of ranges that hold a wanted rank are numbered, a range at a time."""
+    rows of ranges that hold a wanted rank are numbered, a range at a time. With few groups (``small``) their spans and ranges, at most two a share
+    and group, are broadcast, so that only rows of those ranges are shuffled."""
+    sent = F.broadcast if small else lambda df: df
     rows = values.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
     place = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(0)), F.lit(bins - 1))
-    binned = rows.join(span, by).withColumn("_bin", place)
+    binned = rows.join(sent(span), by).withColumn("_bin", place)
     counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     base = F.sum("_c").over(W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")  # at most ``bins`` rows a group
     wanted = F.array_distinct(F.flatten(F.array(*(F.array(F.floor((F.col("_n") - 1) * q), F.ceil((F.col("_n") - 1) * q)) for q in shares.values()))))
     held = counts.withColumn("_base", base).withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_c")))).filter(F.size("_ranks") > 0)
-    inside = binned.drop("_lo", "_hi", "_n").join(held.select(*by, "_bin", "_base", "_ranks", "_n"), [*by, "_bin"])
+    inside = binned.drop("_lo", "_hi", "_n").join(sent(held.select(*by, "_bin", "_base", "_ranks", "_n")), [*by, "_bin"])
     rank = F.row_number().over(W.partitionBy(*by, "_bin").orderBy("_v")) - 1 + F.col("_base")
     found = inside.withColumn("_rank", rank).filter(F.array_contains("_ranks", F.col("_rank")))
 
@@ -82,8 +96,9 @@ def exact_quantiles(values: DataFrame, by: list[str], value: str, shares: dict[s
 
 
 def mae_mfe_stats(trades: DataFrame) -> DataFrame:
-    """Distribution of excursions per run (population deviation, linear percentiles)."""
-    closed, out = trades.filter("status = 'closed'"), []
+    """Distribution of excursions per run (population deviation, linear percentiles). The columns read are stored once for all passes."""
+    closed, out = stored(trades.filter("status = 'closed'").select("run_id", "mfe", "mae", "pnl_percent")), []
+    small = few(closed, ["run_id"])
     for c in ("mfe", "mae"):
         out += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
     edge = _ratio(F.avg("mfe"), F.abs(F.avg("mae"))).alias("edge_ratio")
@@ -91,16 +106,17 @@ def mae_mfe_stats(trades: DataFrame) -> DataFrame:
     stats = closed.groupBy("run_id").agg(F.count("*").alias("n"), *out, edge, efficiency)
     for c in ("mfe", "mae"):
         at = {f"{c}_{n}": q for n, q in (("p10", 0.10), ("p25", 0.25), ("median", 0.50), ("p75", 0.75), ("p90", 0.90))}
-        stats = stats.join(exact_quantiles(closed, ["run_id"], c, at), "run_id", "left")
+        stats = stats.join(exact_quantiles(closed, ["run_id"], c, at, small=small), "run_id", "left")
     return stats
 
 
 def optimal_exit_levels(trades: DataFrame, stop_percentile: float, target_percentile: float) -> DataFrame:
-    """Stop from the excursions of winners (of all without any), target from all, and their ratio."""
-    closed = trades.filter("status = 'closed'")
+    """Stop from the excursions of winners (of all without any), target from all, and their ratio. The columns read are stored once for all passes."""
+    closed = stored(trades.filter("status = 'closed'").select("run_id", "mfe", "mae", (F.col("pnl") > 0).alias("won")))
+    quantiles = partial(exact_quantiles, by=["run_id"], small=few(closed, ["run_id"]))
     stop, target = (100 - stop_percentile) / 100, (100 - target_percentile) / 100
-    levels = exact_quantiles(closed, ["run_id"], "mfe", {"target_level": target}).join(exact_quantiles(closed, ["run_id"], "mae", {"_all": stop}), "run_id", "full_outer")
-    levels = levels.join(exact_quantiles(closed.filter("pnl > 0"), ["run_id"], "mae", {"_winners": stop}), "run_id", "left")
+    levels = quantiles(closed, value="mfe", shares={"target_level": target}).join(quantiles(closed, value="mae", shares={"_all": stop}), "run_id", "full_outer")
+    levels = levels.join(quantiles(closed.filter("won"), value="mae", shares={"_winners": stop}), "run_id", "left")
     levels = levels.select("run_id", F.coalesce("_winners", "_all").alias("stop_level"), "target_level")
     return levels.withColumn("risk_reward", F.when(F.col("stop_level") == 0, F.lit(float("inf"))).otherwise(F.abs(F.try_divide("target_level", "stop_level"))))
 
