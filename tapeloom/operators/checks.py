@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from tapeloom.operators.trades import trade_costs
 
 
-def check_trades(trades: DataFrame, tolerance: float = 1e-3, final: DataFrame | None = None, open_reason: str = "still_open") -> DataFrame:
+def check_trades(trades: DataFrame, tolerance: float = 1e-3, final: DataFrame | list[Column] | None = None, open_reason: str = "still_open") -> DataFrame:
     """Counts of violations per run, in one pass.
 
     exit_reason: losing take-profits, winning stop-losses, trailing stops without a favourable move, closed trades with the reason of open ones.
     final (run_id, initial_cash, final_equity, fill_costs): adds ``terminal``, 1 where initial cash and all P&L do not add up to the final equity
-    within the greatest of the tolerance, 1e-6 of the equity, 5 % of the fills' costs and 1e-4 of the open notional."""
+    (or with the columns of such a table as aggregates of the trades themselves, in the same pass) within the greatest of the tolerance, 1e-6 of the equity, 5 % of the fills' costs and 1e-4 of the open notional."""
     bad = lambda c, name: F.count_if(F.coalesce(c, F.lit(True))).alias(name)
     why = F.when(F.col("exit_reason") == "stop_loss", F.col("gross_pnl") > 1e-4).when(F.col("exit_reason") == "take_profit", F.col("gross_pnl") < -1e-4)
     why = why.when(F.col("exit_reason") == "trailing_stop", F.col("mfe") <= -1e-4).when(F.col("exit_reason") == open_reason, F.col("status") != "open").otherwise(False)
@@ -23,13 +23,14 @@ def check_trades(trades: DataFrame, tolerance: float = 1e-3, final: DataFrame |
         bad(F.abs(F.col("gross_pnl") - F.col("fees") - F.col("pnl")) > tolerance, "pnl_identity"),
         bad((F.col("gross_pnl") * F.col("pnl_percent") < 0) & (F.abs("pnl_percent") > 1e-4), "sign"), bad(F.col("mfe") < 0, "mfe"), bad(F.col("mae") > 0, "mae"),
         bad((F.col("fees") < 0) | (F.col("multiplier") <= 0), "costs"), bad(F.isnan("pnl") | F.isnan("entry_price") | F.isnan("exit_price"), "nan"), bad(F.col("exit_time") < F.col("entry_time"), "order"),
-        F.count_if(why).alias("exit_reason"), F.sum("pnl").alias("_pnl"), F.sum(F.when(is_open, F.abs("quantity") * F.col("exit_price") * F.col("multiplier")).otherwise(0.0)).alias("_open"),
+        F.count_if(why).alias("exit_reason"), F.sum("pnl").alias("_pnl"), F.sum(F.when(is_open, F.abs("quantity") * F.col("exit_price") * F.col("multiplier")).otherwise(0.0)).alias("_open"), *(final if isinstance(final, list) else ()),
     )
     if final is None:
         return counts.drop("_pnl", "_open")
     within = F.greatest(F.lit(tolerance), F.abs("final_equity") * 1e-6, F.col("fill_costs") * 0.05, F.col("_open") * 1e-4)
     off = F.abs(F.col("initial_cash") + F.col("_pnl") - F.col("final_equity")) > within
-    return counts.join(final, "run_id", "left").withColumn("terminal", F.coalesce(off, F.lit(True)).cast("int")).drop("_pnl", "_open", "initial_cash", "final_equity", "fill_costs")
+    ended = counts if isinstance(final, list) else counts.join(final, "run_id", "left")
+    return ended.withColumn("terminal", F.coalesce(off, F.lit(True)).cast("int")).drop("_pnl", "_open", "initial_cash", "final_equity", "fill_costs")
 
 
 def check_fills(fills: DataFrame, sequence: list[str], block: Column) -> DataFrame:
