@@ -181,10 +181,8 @@ def f5(spark, d):
 @register("F6_open_trades", _FOLD + """, la AS (SELECT asset, max(timestamp) AS exit_time, max_by(price, (timestamp, order_id, price)) AS exit_price FROM fl GROUP BY 1)
   SELECT run_id, asset, episode, entry_time, la.exit_time, round(la.exit_price, 8) AS exit_price, last AS quantity, round((la.exit_price - entry) * last - (entry_fee + exit_fee), 6) AS pnl, 'still_open' AS exit_reason, 'open' AS status FROM td JOIN la USING (asset) WHERE td.exit_price IS NULL""")
 def f6(spark, d):
-    fills = v.fills(spark, d)
-    last = fills.groupBy("asset", "timestamp").agg(F.max_by("price", F.struct("order_id", "price")).alias("close"))
-    out = ledger.open_trades(ledger.fills_to_trades(fills), last)
-    return out.select("run_id", "asset", "episode", "entry_time", "exit_time", F.round("exit_price", 8).alias("exit_price"), "quantity", F.round("pnl", 6).alias("pnl"), "exit_reason", "status")
+    out = ledger.open_trades(ledger.fills_to_trades(v.fills(spark, d)))
+    return out.select("run_id", "asset", "episode", "entry_time", "exit_time", F.round("exit_price", 8).alias("exit_price"), "quantity", panel_queries.scaled_round(F.col("pnl"), 6).alias("pnl"), "exit_reason", "status")
 
 
 @register("F7_bars_held", ", t AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) AS n FROM (SELECT entry_time AS timestamp FROM tr UNION SELECT exit_time FROM tr)) SELECT trade_id, symbol, (b.n - a.n)::INT AS bars_held FROM tr JOIN t a ON a.timestamp = entry_time JOIN t b ON b.timestamp = exit_time")

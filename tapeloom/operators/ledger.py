@@ -102,13 +102,14 @@ def fills_to_trades(fills: DataFrame, size: int = FOLD) -> DataFrame:
     ended = blocks.withColumn("end", F.aggregate("fills", state, lambda so_far, fill: _folded(fill, so_far)))
     out = ended.groupBy("run_id", "asset", "episode").agg(
         F.max_by("end", "block").alias("end"), F.sum("end.partial").alias("partial_pnl"), F.sum("end.n_partial").cast("int").alias("n_partial"), F.min_by(F.col("fills")[0]["timestamp"], "block").alias("entry_time"),
+        F.max_by(F.element_at("fills", -1), "block").alias("_last"),
     )
     end, closed = (lambda c: F.col(f"end.{c}")), F.col("end.exit_price").isNotNull()
     fees = end("entry_fee") + end("exit_fee")
     return out.select(
         "run_id", "asset", F.col("episode").cast("int").alias("episode"), "entry_time", end("exit_time").alias("exit_time"), end("entry").alias("entry_price"), end("exit_price").alias("exit_price"),
         F.when(closed, end("last")).otherwise(end("held")).alias("quantity"), F.when(closed, (end("exit_price") - end("entry")) * end("last") - fees).alias("pnl"), fees.alias("fees"),
-        "n_partial", "partial_pnl", (~closed).alias("is_open"),
+        "n_partial", "partial_pnl", (~closed).alias("is_open"), F.struct(*(F.col(f"_last.{c}").alias(c) for c in FILL_ORDER)).alias("last_fill"),
     )
 
 
@@ -135,10 +136,18 @@ def mark_to_market(fills: DataFrame, bars: DataFrame, initial: float, seconds: i
     return out.select("run_id", "timestamp", (F.coalesce("cash", F.lit(initial)) + F.col("worth")).alias("equity"))
 
 
-def open_trades(trades: DataFrame, bars: DataFrame, reason: str = "still_open") -> DataFrame:
-    """Positions left at the end, marked at the last price."""
+def open_trades(trades: DataFrame, bars: DataFrame | None = None, reason: str = "still_open") -> DataFrame:
+    """Positions left at the end, marked at the last price; without bars at that of the asset's last fill in any run, out of the trades themselves."""
+    if bars is None:
+        last_fill = F.max("last_fill").over(W.partitionBy("asset"))  # rows are round trips, not fills
+        marked = trades.withColumn("_last", last_fill).filter("is_open").withColumns({"exit_time": F.col("_last.timestamp"), "exit_price": F.col("_last.price")}).drop("_last", "last_fill")
+        return _left(marked, reason)
     last = bars.groupBy("asset").agg(F.max("timestamp").alias("exit_time"), F.max_by("close", "timestamp").alias("exit_price"))
     left = trades.filter("is_open").drop("exit_time", "exit_price", "pnl").join(last, "asset")
+    return _left(left, reason)
+
+
+def _left(left: DataFrame, reason: str) -> DataFrame:
     return left.withColumns({"pnl": (F.col("exit_price") - F.col("entry_price")) * F.col("quantity") - F.col("fees"), "exit_reason": F.lit(reason), "status": F.lit("open"), "slippage": F.lit(0.0)})
 
 
