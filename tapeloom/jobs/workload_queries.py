@@ -46,12 +46,12 @@ def w2(spark, d):
     return out.select("run_id", *(F.col(c).cast("double").alias(c) for c in ("stop", "target")), "num_trades", *(F.round(c, 9).alias(c) for c in ("win_rate", "avg_trade")), F.round("profit_factor", 7).alias("profit_factor"))
 
 
-def report(closed: DataFrame, signals: DataFrame, curve: DataFrame, columns: list[str], reasons: list[str] | None, path: str) -> dict[str, DataFrame]:
+def report(closed: DataFrame, signals: DataFrame, curve: DataFrame, columns: list[str], reasons: list[str] | None, path: str, seconds: int | None = 365 * 86400) -> dict[str, DataFrame]:
     """Enriched trades (of some exit reasons, or all), their statistics by direction, symbol and reason, and a report a run; written below path.
 
     Enriched trades are written once and read by all statistics."""
     chosen = closed if reasons is None else closed.filter(F.col("exit_reason").isin(reasons))
-    rich = trades.enrich_trades_with_signals(chosen, signals, columns)
+    rich = trades.enrich_trades_with_signals(chosen, signals, columns, seconds=seconds)
     rich.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/trades")
     rich = closed.sparkSession.read.schema(rich.schema).parquet(f"{path}/trades")
     stats = trades.trade_stats_by(rich)
@@ -68,6 +68,6 @@ def report(closed: DataFrame, signals: DataFrame, curve: DataFrame, columns: lis
   SELECT run_id, count(*) FILTER (status = 'closed') AS num_trades, round(avg((pnl > 0)::INT) FILTER (status = 'closed'), 9) AS win_rate, round(sum(pnl) FILTER (status = 'closed'), 3) AS net_profit, round(quantile_cont(mae, 0.2) FILTER (pnl > 0 AND status = 'closed'), 7) AS stop_level, round(quantile_cont(mfe, 0.4) FILTER (status = 'closed'), 7) AS target_level,
   round(avg(momentum), 7) AS entry_momentum, round(avg(rsi), 7) AS entry_rsi, count(momentum) AS num_enriched FROM a GROUP BY 1""")
 def w3(spark, d):
-    out = report(v.trades(spark, d), analysis_queries.part_signals(spark, d), v.equity(spark, d), ["momentum", "rsi"], ["stop_loss", "take_profit"], results.scratch(spark))["report"]
+    out = report(v.trades(spark, d), analysis_queries.part_signals(spark, d), v.equity(spark, d), ["momentum", "rsi"], ["stop_loss", "take_profit"], results.scratch(spark), seconds=None)["report"]
     seven = ("stop_level", "target_level", "entry_momentum", "entry_rsi")
     return out.select("run_id", "num_trades", F.round("win_rate", 9).alias("win_rate"), F.round("net_profit", 3).alias("net_profit"), *(F.round(c, 7).alias(c) for c in seven), "num_enriched")
