@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapeloom.operators.joins import blocked_sum
+from tapeloom.operators.joins import blocked_sum, ieee
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,37 +50,39 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
 
-
-
 def _line_id() -> Column:
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round trips: order lines shipped after their order date."""
-    lines = _lines(spark, sf_dir).filter("l_shipdate > o_orderdate")
-    base = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("o_orderpriority").alias("run_id"),
+def extremes(ret: Column, above: str = "slippage", below: str = "entry_slippage") -> dict[str, Column]:
+    """Excursions of a round trip with a return: the slippages go beyond it."""
+    return {"mfe": F.greatest(ret, F.lit(0.0)) + F.col(above), "mae": F.least(ret, F.lit(0.0)) - F.col(below)}
+
+
+def _round_trips(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """Order lines and their parts as round trips, with what their orders give where these are joined; quotients are plain, as the SQL's."""
+    dated = "o_orderdate" in lines.columns
+    base = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("o_orderpriority").alias("run_id") if dated else "l_orderkey",
         _line_id().alias("trade_id"),
         F.col("l_partkey").cast("string").alias("symbol"),
-        F.col("o_orderdate").alias("entry_time"),
+        *([F.col("o_orderdate").alias("entry_time")] if dated else []),
         F.col("l_shipdate").alias("exit_time"),
         F.col("p_retailprice").alias("entry_price"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("exit_price"),
+        ieee(F.col("l_extendedprice"), F.col("l_quantity")).alias("exit_price"),
         F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"),
         "l_tax", "l_discount", "l_linenumber",
     )
     side = F.signum("quantity")
-    ret = side * (F.col("exit_price") / F.col("entry_price") - 1)
+    ret = side * (ieee(F.col("exit_price"), F.col("entry_price")) - 1)
     out = base.withColumns({
         "direction": F.when(F.col("quantity") > 0, "long").otherwise("short"),
         "pnl_percent": ret,
         "fees": F.col("entry_price") * F.abs("quantity") * F.col("l_tax") * 0.01,
-        "bars_held": F.datediff("exit_time", "entry_time"),
+        **({"bars_held": F.datediff("exit_time", "entry_time")} if dated else {}),
         "slippage": F.col("l_discount"),
         "entry_slippage": F.col("l_tax"),
-        "mfe": F.greatest(ret, F.lit(0.0)) + F.col("l_discount"),
-        "mae": F.least(ret, F.lit(0.0)) - F.col("l_tax"),
+        **extremes(ret, "l_discount", "l_tax"),
         "multiplier": F.lit(1.0),
         "exit_reason": F.element_at(F.array(*map(F.lit, ("stop_loss", "take_profit", "signal", "time_exit"))), F.col("l_linenumber") % 4 + 1),
         "status": F.when(F.col("l_linenumber") == 7, "open").otherwise("closed"),
@@ -89,6 +91,18 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("l_tax", "l_discount", "l_linenumber")
 
 
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trips: order lines shipped after their order date."""
+    return _round_trips(_lines(spark, sf_dir).filter("l_shipdate > o_orderdate"), table(spark, sf_dir, "part"))
+
+
+def narrow_trades(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """run_id and some columns of trades, of those that lines and parts give. They are worked out before the join with orders, so that only they are shuffled."""
+    told = _round_trips(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")).select("l_orderkey", "exit_time", *columns)
+    held = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("exit_time") > F.col("o_orderdate"))
+    return told.join(table(spark, sf_dir, "orders"), held).select(F.col("o_orderpriority").alias("run_id"), *told.columns[2:])
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills: every order line, by supplier; returned or open ones sell."""
     return _lines(spark, sf_dir).select(
