@@ -11,6 +11,8 @@ integer products. So the intervals only save work: results are exact.
 
 Spark deals rows out by a hash of vec_id; every task reads all anchors block by block from the shared folder and
 sends on its best rows for each anchor (at most as many as are asked for), which Spark merges. Anchors are a stated query set.
+A task holds one slab of rows and one block of anchors, and compares them tile by tile: the best rows so far bound what the
+next tile's intervals have to reach. Its memory goes by the sizes of slab and tile, not by the table's.
 
 Cases: rows with a null vec_id, label or vector, or a null or non-finite component, take no part; of rows with one
 vec_id the first by label and vector takes part; shorter vectors count as filled up with zeros (an
@@ -29,11 +31,14 @@ from pyspark.sql import Window as W
 from tapeloom.llm import shared
 from tapeloom.llm.token_files import open_dir, put
 
-#: Rotations that make a code, bit planes of a rounded query, rows of a task held at once, anchors of a block.
+#: Rotations that make a code, bit planes of a rounded query, components of a task's rows held at once, anchors of a block,
+#: pairs of a tile, components that are turned or multiplied at once.
 ROTATIONS = 4
 PLANES = 6
-SLAB = 1 << 16
+SLAB = 1 << 22
 BLOCK = 256
+TILE = 1 << 18
+STEP = 1 << 20
 _LARGEST = 2.0**27
 ROWS = "vec_id long, label int, ints binary, code binary, norm double, alignment double"
 
@@ -71,6 +76,25 @@ def code(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return _words(bits), norm, np.where(norm > 0, np.minimum(t, 1.0), 1.0)
 
 
+def _steps(n: int, width: int) -> range:
+    """Starts of runs of n rows of so many components, and the runs' length as step."""
+    return range(0, n, max(1, STEP // max(1, width)))
+
+
+class Rounded:
+    """Queries (rows), turned and rounded to bit planes, the highest first."""
+
+    def __init__(self, queries: np.ndarray, turn: np.ndarray):
+        turned = queries @ turn.T
+        low, high = turned.min(1, keepdims=True), turned.max(1, keepdims=True)
+        self.low, self.step = low, np.where(high > low, (high - low) / (2**PLANES - 1), 1.0)
+        level = np.rint((turned - low) / self.step).astype(np.int64)
+        self.planes = [_words((level >> p) & 1 > 0) for p in reversed(range(PLANES))]
+        self.error = np.sqrt(((turned - low - self.step * level) ** 2).sum(1))[:, None]
+        self.total = (low + self.step * level).sum(1)[:, None]
+        self.length = np.sqrt((queries * queries).sum(1))[:, None]
+
+
 class Codes:
     """Rows with codes, as arrays."""
 
@@ -82,39 +106,43 @@ class Codes:
         self.ints, self.code = flat("ints", "<i4", d), flat("code", "<u8", words)
         self.turn = rotations(d)
         # the length of the signs turned back, from the code itself
-        bits = np.unpackbits(self.code.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : ROTATIONS * d]
-        self.size = np.sqrt((((2.0 * bits - 1) @ self.turn) ** 2).sum(1))
+        self.size, self.ones = np.empty(n), np.bitwise_count(self.code).sum(1, dtype=np.int32)
+        for i in (runs := _steps(n, ROTATIONS * d)):
+            bits = np.unpackbits(self.code[i : i + runs.step].view(np.uint8), axis=1, bitorder="little")[:, : ROTATIONS * d]
+            self.size[i : i + runs.step] = np.sqrt((((2.0 * bits - 1) @ self.turn) ** 2).sum(1))
         self.residual = np.sqrt(np.maximum(0.0, 1 - self.alignment**2))
 
-    def intervals(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of the products of each query (rows) with each row (columns)."""
-        turned = queries @ self.turn.T
-        low, high = turned.min(1, keepdims=True), turned.max(1, keepdims=True)
-        step = np.where(high > low, (high - low) / (2**PLANES - 1), 1.0)
-        level = np.rint((turned - low) / step).astype(np.int64)
-        error = np.sqrt(((turned - low - step * level) ** 2).sum(1))[:, None]
-        ones = np.bitwise_count(self.code).sum(1, dtype=np.int64)[None, :]
-        weighted = np.zeros((len(queries), len(self.ids)), np.int64)
-        for p in range(PLANES):
-            plane = _words((level >> p) & 1 > 0)
+    def tiles(self, queries: int) -> list[slice]:
+        """The rows in parts that make a tile with so many queries."""
+        n, step = len(self.ids), max(1, TILE // max(1, queries))
+        return [slice(i, min(n, i + step)) for i in range(0, n, step)]
+
+    def intervals(self, queries: np.ndarray | Rounded, rows: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the products of each query (rows) with each of some rows (columns)."""
+        q = queries if isinstance(queries, Rounded) else Rounded(queries, self.turn)
+        codes, norm, alignment = self.code[rows], self.norm[rows], self.alignment[rows]
+        weighted = np.zeros((len(q.low), len(codes)), np.int32)
+        common, count = np.empty(weighted.shape, np.uint64), np.empty(weighted.shape, np.uint8)
+        for plane in q.planes:
+            weighted <<= 1
             for w in range(plane.shape[1]):
-                weighted += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]).astype(np.int64) << p
-        rounded = low + step * level
-        signs = 2 * (low * ones + step * weighted) - rounded.sum(1)[:, None]  # <rounded query, signs>
+                np.bitwise_and(plane[:, w, None], codes[None, :, w], out=common)
+                weighted += np.bitwise_count(common, out=count)
+        signs = 2 * (q.low * self.ones[None, rows] + q.step * weighted) - q.total  # <rounded query, signs>
         # an error of the turned query shifts its product with the signs by at most its length times theirs
-        size = np.maximum(self.size, 1e-300)[None, :]
-        along, slack = signs / size, error * np.sqrt(self.code.shape[1] * 64) / size
-        length = np.sqrt((queries * queries).sum(1))[:, None]
-        across = np.sqrt(np.maximum(0.0, length**2 - np.maximum(0.0, np.abs(along) - slack) ** 2))
-        middle = self.norm * self.alignment * along
-        width = self.norm * (np.abs(self.alignment) * slack + self.residual * across) + 1e-6 * (1 + self.norm * length)
+        size = np.maximum(self.size[rows], 1e-300)[None, :]
+        along, slack = signs / size, q.error * np.sqrt(codes.shape[1] * 64) / size
+        across = np.sqrt(np.maximum(0.0, q.length**2 - np.maximum(0.0, np.abs(along) - slack) ** 2))
+        middle = norm * alignment * along
+        width = norm * (np.abs(alignment) * slack + self.residual[rows] * across) + 1e-6 * (1 + norm * q.length)
         return middle - width, middle + width
 
-    def scores(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Integer products of pairs of queries (vectors) and rows (places)."""
+    def scores(self, queries: np.ndarray, asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Integer products of pairs of queries and rows (places of both)."""
         out = np.empty(len(rows), np.int64)
-        for a in range(0, len(rows), 1 << 16):
-            out[a : a + (1 << 16)] = np.einsum("ij,ij->i", queries[a : a + (1 << 16)].astype(np.int64), self.ints[rows[a : a + (1 << 16)]].astype(np.int64))
+        for i in (runs := _steps(len(rows), queries.shape[1])):
+            at = slice(i, i + runs.step)
+            out[at] = np.einsum("ij,ij->i", queries[asked[at]].astype(np.int64), self.ints[rows[at]].astype(np.int64))
         return out
 
 
@@ -125,21 +153,24 @@ def _packed(vectors: np.ndarray) -> pa.Array:
 
 def coded(rows: DataFrame) -> tuple[DataFrame, int]:
     """Stored rows with codes (ROWS), dealt out by a hash of vec_id, and the number of components."""
+    shared.short_batches(rows.sparkSession)
     rows = shared.materialize(rows)
-    d, n = rows.agg(F.coalesce(F.max(F.size("ints")), F.lit(0)), F.count("*")).first()
+    d, n = rows.agg(F.coalesce(F.greatest(F.max(F.size("ints")), F.lit(1)), F.lit(1)), F.count("*")).first()
 
     def run(batches):
         turn = rotations(d)
         for batch in batches:
-            lists = batch.column(2)
-            values, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
-            whole = np.zeros((batch.num_rows, d))
-            size = np.diff(at)
-            whole[np.repeat(np.arange(batch.num_rows), size), np.arange(len(values)) - np.repeat(at[:-1], size)] = values
-            bits, norm, t = code(whole, turn)
-            yield shared.arrow(vec_id=batch.column(0), label=batch.column(1), ints=_packed(whole), code=pa.array([b.tobytes() for b in bits], pa.binary()), norm=norm, alignment=t)
-
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SLAB))
+            for i in (runs := _steps(batch.num_rows, ROTATIONS * d)):
+                part = batch.slice(i, runs.step)
+                lists = part.column(2)
+                values, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+                whole = np.zeros((part.num_rows, d))
+                size = np.diff(at)
+                whole[np.repeat(np.arange(part.num_rows), size), np.arange(len(values)) - np.repeat(at[:-1], size)] = values
+                bits, norm, t = code(whole, turn)
+                yield shared.arrow(vec_id=part.column(0), label=part.column(1), ints=_packed(whole), code=pa.array([b.tobytes() for b in bits], pa.binary()), norm=norm, alignment=t)
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * d // SLAB))
     return shared.materialize(rows.repartition(parts, "vec_id").mapInArrow(run, ROWS), rows), d
 
 
@@ -175,13 +206,15 @@ def _blocks(uri: str, parts: list[int], d: int):
 
 
 def _slabs(batches, d: int):
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= SLAB:
-            yield Codes(pa.Table.from_batches(held), d)
-            held, n = [], 0
+    held, n, most = [], 0, max(1, SLAB // max(1, d))
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, most - n))
+            n += held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if n == most:
+                yield Codes(pa.Table.from_batches(held), d)
+                held, n = [], 0
     if n:
         yield Codes(pa.Table.from_batches(held), d)
 
@@ -202,6 +235,29 @@ def _best(group: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.
     return order[place < k]
 
 
+class Best:
+    """The first k of each of n groups by score descending, then id, of what was added so far."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.reach = n, k, np.full(n, -np.inf)
+        self.group, self.scores, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+
+    def bound(self, low: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """What a score has to reach, as those ``there`` have at least ``low``."""
+        return self.reach if (self.reach > -np.inf).all() else np.maximum(self.reach, _kth(np.where(there, low, -np.inf), self.k))
+
+    def add(self, group: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        good = scores >= self.reach[group]
+        if not good.any():
+            return
+        g, s, i = (np.concatenate(x) for x in ((self.group, group[good]), (self.scores, scores[good]), (self.ids, ids[good])))
+        at = _best(g, s, i, self.k)
+        self.group, self.scores, self.ids = g[at], s[at], i[at]
+        count = np.bincount(self.group, minlength=self.n)
+        full = count == self.k
+        self.reach[full] = self.scores[(np.cumsum(count) - 1)[full]]
+
+
 def positives(rows: DataFrame, d: int, anchors: DataFrame, k: int) -> DataFrame:
     """(anchor_id, positive_id, score, i): the first k other rows of each anchor's label."""
     uri, parts = _anchor_files(anchors)
@@ -210,13 +266,14 @@ def positives(rows: DataFrame, d: int, anchors: DataFrame, k: int) -> DataFrame:
         for slab in _slabs(batches, d):
             for t, q in _blocks(uri, parts, d):
                 ids, labels = t.column("vec_id").to_numpy(), t.column("label").to_numpy()
-                low, high = slab.intervals(q)
-                same = (labels[:, None] == slab.labels[None, :]) & (ids[:, None] != slab.ids[None, :])
-                reach = _kth(np.where(same, low, -np.inf), k)
-                a, r = np.nonzero(same & (high >= reach[:, None]))
-                s = slab.scores(q[a], r)
-                b = _best(a, s, slab.ids[r], k)
-                yield shared.arrow(anchor_id=ids[a[b]], positive_id=slab.ids[r[b]], score=s[b])
+                asked, best = Rounded(q, slab.turn), Best(len(q), k)
+                for tile in slab.tiles(len(q)):
+                    low, high = slab.intervals(asked, tile)
+                    same = (labels[:, None] == slab.labels[None, tile]) & (ids[:, None] != slab.ids[None, tile])
+                    a, r = np.nonzero(same & (high >= best.bound(low, same)[:, None]))
+                    r += tile.start
+                    best.add(a, slab.scores(q, a, r), slab.ids[r])
+                yield shared.arrow(anchor_id=ids[best.group], positive_id=best.ids, score=best.scores)
 
     found = rows.mapInArrow(run, "anchor_id long, positive_id long, score long")
     return found.withColumn("i", F.row_number().over(W.partitionBy("anchor_id").orderBy(F.desc("score"), "positive_id"))).filter(F.col("i") <= k)
@@ -231,24 +288,25 @@ def negatives(rows: DataFrame, d: int, anchors: DataFrame, k: int, low_share: in
             for t, q in _blocks(uri, parts, d):
                 ids, labels = t.column("vec_id").to_numpy(), t.column("label").to_numpy()
                 found = t.column("positive_scores").to_pylist()
-                low, high = slab.intervals(q)
-                other = labels[:, None] != slab.labels[None, :]
-                needed, bands = np.zeros(other.shape, bool), []
-                for i in range(max(map(len, found), default=0)):
-                    p = np.array([f[i] if len(f) > i else -1 for f in found], np.float64)
-                    bottom, top = (p * low_share / 100)[:, None], (p * high_share / 100)[:, None]
-                    wide = 1e-9 * (1 + np.abs(p))[:, None]
-                    sure = other & (low >= bottom + wide) & (high <= top - wide)  # within the band whatever their score
-                    reach = _kth(np.where(sure, low, -np.inf), k)[:, None]
-                    needed |= other & (high >= bottom - wide) & (low <= top + wide) & (high >= reach) & (p >= 0)[:, None]
-                    bands.append(p.astype(np.int64))
-                a, r = np.nonzero(needed)
-                s = slab.scores(q[a], r)
-                for i, p in enumerate(bands):
-                    there = (p[a] >= 0) & (low_share * p[a] <= 100 * s) & (100 * s <= high_share * p[a])
-                    aa, rr, ss = a[there], r[there], s[there]
-                    b = _best(aa, ss, slab.ids[rr], k)
-                    yield shared.arrow(anchor_id=ids[aa[b]], i=np.full(len(b), i + 1, np.int32), negative_id=slab.ids[rr[b]], score=ss[b])
+                scored = [np.array([f[i] if len(f) > i else -1 for f in found], np.int64) for i in range(max(map(len, found), default=0))]
+                asked, bests = Rounded(q, slab.turn), [Best(len(q), k) for _ in scored]
+                for tile in slab.tiles(len(q)):
+                    low, high = slab.intervals(asked, tile)
+                    other = labels[:, None] != slab.labels[None, tile]
+                    needed = np.zeros(other.shape, bool)
+                    for whole, best in zip(scored, bests):
+                        p = whole.astype(np.float64)[:, None]
+                        bottom, top, wide = p * low_share / 100, p * high_share / 100, 1e-9 * (1 + np.abs(p))
+                        sure = other & (low >= bottom + wide) & (high <= top - wide)  # within the band whatever their score
+                        needed |= other & (high >= bottom - wide) & (low <= top + wide) & (high >= best.bound(low, sure)[:, None]) & (p >= 0)
+                    a, r = np.nonzero(needed)
+                    r += tile.start
+                    s = slab.scores(q, a, r)
+                    for p, best in zip(scored, bests):
+                        there = (p[a] >= 0) & (low_share * p[a] <= 100 * s) & (100 * s <= high_share * p[a])
+                        best.add(a[there], s[there], slab.ids[r[there]])
+                for i, best in enumerate(bests):
+                    yield shared.arrow(anchor_id=ids[best.group], i=np.full(len(best.ids), i + 1, np.int32), negative_id=best.ids, score=best.scores)
 
     found = rows.mapInArrow(run, "anchor_id long, i int, negative_id long, score long")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("anchor_id", "i").orderBy(F.desc("score"), "negative_id"))).filter(F.col("rank") <= k)
