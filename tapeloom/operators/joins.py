@@ -48,8 +48,9 @@ def bucket(time: Column, seconds: int) -> Column:
 
 
 def ieee(a: Column, b: Column) -> Column:
-    """a / b of doubles, infinite or NaN instead of an error where b is 0."""
-    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+    """a / b of doubles, infinite (by the signs of both, -0.0 is a negative b) or NaN instead of an error where b is 0."""
+    endless = F.when(b.cast("string").startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(b == 0, a * endless).otherwise(F.try_divide(a, b))
 
 
 def interval_join(spans: DataFrame, points: DataFrame, by: Sequence[str], start: str, end: str, time: str, seconds: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapeloom.operators.joins import MONTH, bucket, scanned
+from tapeloom.operators.joins import MONTH, bucket, ieee, scanned
 
 
 def by_asset():
@@ -80,11 +80,11 @@ def normalize_weights(signals: DataFrame, column: str) -> DataFrame:
 
 
 def position_size(equity: Column, fraction: float, price: Column, integer: bool = True, free: float | None = None) -> Column:
-    """Shares for a fraction of equity; null where none can be bought, ``free`` at a price of 0."""
+    """Shares for a fraction of equity; null where none can be bought, ``free`` at a price of 0 (but not at -0.0). Quotients of 2**53 and more are whole as they are."""
     shares = F.try_divide(equity * fraction, price)
-    shares = shares.cast("bigint").cast("double") if integer else shares
+    shares = F.when(F.abs(shares) < 2.0**53, shares.cast("bigint").cast("double")).otherwise(shares) if integer else shares
     bought = F.when(shares > 0, shares)
-    return bought if free is None else F.when((price == 0) & (equity * fraction > 0), F.lit(free)).otherwise(bought)
+    return bought if free is None else F.when((price == 0) & (equity * fraction > 0) & (ieee(equity * fraction, price) > 0), F.lit(free)).otherwise(bought)
 
 
 def kelly_fraction(trades: DataFrame, min_trades: int, base: float = 0.1, window: int = 50) -> DataFrame:
