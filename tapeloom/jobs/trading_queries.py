@@ -195,8 +195,11 @@ def f7(spark, d):
 @register("F8_mfe_mae", _ORDERS + """, s AS (SELECT order_id, c0, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS sg, CASE WHEN timestamp = start THEN close ELSE high END AS h, CASE WHEN timestamp = start THEN close ELSE low END AS l FROM ob WHERE timestamp < start + INTERVAL 10 DAY)
   SELECT order_id AS trade_id, round(greatest(max(greatest(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) + 0 AS mfe, round(least(min(least(sg * (h / c0 - 1), sg * (l / c0 - 1))), 0), 6) + 0 AS mae FROM s GROUP BY 1""")
 def f8(spark, d):
-    trades = some_orders(spark, d).select(F.col("order_id").alias("trade_id"), "asset", F.col("start").alias("entry_time"), F.col("end").alias("exit_time"), F.col("close").alias("entry_price"), F.when(F.col("side") == "buy", 1.0).otherwise(-1.0).alias("quantity"))
-    return rounded(ledger.mfe_mae(trades, v.bars_user(spark, d), 5 * DAY, extremes=True, quotient=joins.ieee).select("trade_id", "mfe", "mae"))
+    """Excursions of each order at its own price; orders of one id, on equal days of several months, are one trade."""
+    told = some_orders(spark, d).withColumns({"trade_id": F.concat_ws("-", "asset", F.col("start").cast("string")), "quantity": F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)})
+    trades = told.select("trade_id", "order_id", "asset", F.col("start").alias("entry_time"), F.col("end").alias("exit_time"), F.col("close").alias("entry_price"), "quantity")
+    out = ledger.mfe_mae(trades, v.bars_user(spark, d), 5 * DAY, extremes=True, quotient=joins.ieee)
+    return rounded(out.groupBy(F.col("order_id").alias("trade_id")).agg(F.max("mfe").alias("mfe"), F.min("mae").alias("mae")))
 
 
 @register("F9_settlement_holds", ", p AS (SELECT run_id, date_diff('day', DATE '1990-01-01', timestamp::DATE)::INT AS bar, sum(quantity * price) AS proceeds FROM fl WHERE side = 'sell' GROUP BY 1, 2) SELECT run_id, bar, round(sum(proceeds) OVER (PARTITION BY run_id ORDER BY bar RANGE BETWEEN 1 PRECEDING AND CURRENT ROW), 3) AS unsettled FROM p")

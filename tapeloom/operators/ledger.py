@@ -168,7 +168,7 @@ def mfe_mae(trades: DataFrame, bars: DataFrame, seconds: int, extremes: bool = F
     spans = trades.select("trade_id", "asset", F.col("entry_time").alias("start"), (F.col("exit_time") - F.expr("interval 1 microsecond")).alias("end"))
     found = towers.range_extremes(spans, there, seconds, "trade_id", "close")
     side = F.signum("quantity")
-    ends = [side * (quotient(F.col(x), F.col("entry_price")) - 1) for x in ("highest", "lowest")]
+    ends = [side * (quotient(F.col(x), F.col("entry_price")) - 1) for x in ("highest", "lowest", "entry_price")]  # of the last one 0, or what 0 / 0 gives
     out = trades.join(found, "trade_id", "left")
     return out.withColumns({"mfe": F.greatest(*ends, F.lit(0.0)), "mae": F.least(*ends, F.lit(0.0))}).drop("highest", "lowest")
 
